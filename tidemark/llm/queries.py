@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secrets, simhash, tiff, token_counts, toxicity
+from . import exact_dedup, mixing, packing, secrets, simhash, substring_dedup, tiff, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")), "page_id")
+    return found.drop("record", "error")
+
+
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +72,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op6_tiff": op6_tiff,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
@@ -73,6 +89,30 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    # A word goes if one of the 50 windows that cover it starts in an earlier document.
+    "op2_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, generate_subscripts(h, 1) AS at, unnest(h) AS h
+            FROM (SELECT doc_id, list_transform(range(1, len(w) - 48), i -> md5(array_to_string(w[i:i + 49], ' '))) AS h FROM d)
+        ), f AS (
+            SELECT doc_id, at, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM p
+        ), r AS (
+            SELECT doc_id, list(at ORDER BY at) AS at FROM f WHERE again GROUP BY doc_id
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(flatten(list_transform(at, i -> range(i, i + 50)))) AS gone FROM r
+        ), k AS (
+            SELECT doc_id, count(*) AS n_removed, list(gone) AS gone FROM c GROUP BY doc_id
+        ), e AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d
+        ), l AS (
+            SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.at) AS kept
+            FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.at = c.gone GROUP BY e.doc_id
+        )
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(l.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+    """,
     # Sources in order of what they have by weight: the first ones are those above their cap.
     "op3_mixing": r"""
         WITH d AS (
