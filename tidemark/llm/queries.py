@@ -94,21 +94,21 @@ ORACLES: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
         ), p AS (
-            SELECT doc_id, generate_subscripts(h, 1) AS at, unnest(h) AS h
-            FROM (SELECT doc_id, list_transform(range(1, len(w) - 48), i -> md5(array_to_string(w[i:i + 49], ' '))) AS h FROM d)
+            SELECT doc_id, generate_subscripts(h, 1) AS pos, unnest(h) AS h
+            FROM (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS h FROM d)
         ), f AS (
-            SELECT doc_id, at, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM p
+            SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY h) < doc_id AS again FROM p
         ), r AS (
-            SELECT doc_id, list(at ORDER BY at) AS at FROM f WHERE again GROUP BY doc_id
+            SELECT doc_id, list(pos ORDER BY pos) AS places FROM f WHERE again GROUP BY doc_id
         ), c AS (
-            SELECT DISTINCT doc_id, unnest(flatten(list_transform(at, i -> range(i, i + 50)))) AS gone FROM r
+            SELECT DISTINCT doc_id, unnest(flatten(list_transform(places, lambda i: range(i, i + 50)))) AS gone FROM r
         ), k AS (
             SELECT doc_id, count(*) AS n_removed, list(gone) AS gone FROM c GROUP BY doc_id
         ), e AS (
-            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM d
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
         ), l AS (
-            SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.at) AS kept
-            FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.at = c.gone GROUP BY e.doc_id
+            SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.pos) AS kept
+            FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.pos = c.gone GROUP BY e.doc_id
         )
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(l.kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
