@@ -1,0 +1,81 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import correlate, counters
+from tidemark.operators.sampling import hot_shards, rotating_sample
+
+
+def column(df, order, name):
+    return [r[name] for r in df.orderBy(order).collect()]
+
+
+def test_rejections_after_a_gap_count_as_none(spark):
+    df = spark.createDataFrame([("p", t, v) for t, v in [(0, 2), (5000, 4), (17000, 9), (33000, 20), (36000, 21), (39000, 19)]], "type string, t long, rejected long")
+    assert column(counters.delta_max_gap(df, ["type"], "t", "rejected"), "t", "delta") == [0, 2, 5, 0, 1, 0]
+
+
+def test_first_sample_gives_its_value(spark):
+    df = spark.createDataFrame([("a", 1, 5, 9), ("a", 2, 7, 8), ("a", 3, 3, 7), ("b", 1, 4, 6)], "k string, t long, hits long, bytes long")
+    found = counters.delta_first_absolute(df, ["k"], ["t"], ["hits"], ["bytes"])
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 5, 9), ("a", 2, 2, 8), ("a", 3, 0, 7), ("b", 1, 4, 6)]
+
+
+@pytest.mark.parametrize("negative", ["zero", "keep"])
+def test_interval_means(spark, negative):
+    df = spark.createDataFrame([("n", 1, 23, 46, 2), ("n", 2, 25, 54, 2), ("n", 3, 25, 60, 1), ("n", 4, 24, 66, 1)], "k string, t long, n long, ms long, failed long")
+    assert column(counters.interval_mean(df, ["k"], ["t"], "ms", "n", negative), "t", "mean") == [2.0, 4.0, 0.0, 0.0 if negative == "zero" else -6.0]
+    assert column(counters.interval_failures(df, ["k"], ["t"], "failed", clamp=True), "t", "failures") == [2, 0, 0, 0]
+    assert column(counters.interval_failures(df, ["k"], ["t"], "failed", clamp=False), "t", "failures") == [2, 0, -1, 0]
+
+
+def test_mean_of_the_first_sample(spark):
+    df = spark.createDataFrame([("n", 1, 23, 15)], "k string, t long, n long, ms long")
+    assert column(counters.interval_mean(df, ["k"], ["t"], "ms", "n"), "t", "mean") == [0.6521739130434783]
+
+
+def test_rates(spark):
+    df = spark.createDataFrame([("n", 0, 2, 6, 22, 5, 1, 1, 8), ("n", 10, 1, 5, 21, 6, 2, 1, 9), ("n", 10, 1, 5, 21, 6, 2, 1, 9)], "k string, t long, in_packets long, in_delivers long, in_bytes long, out_packets long, out_discards long, out_no_routes long, out_bytes long")
+    found = {(r["direction"], r["packets"]): (r["drops"], r["bits"]) for r in counters.counter_rate(df, ["k"], "t").collect()}
+    assert found == {("in", -100.0): (0.0, -800.0), ("out", 100.0): (100.0, 800.0), ("in", None): (None, None), ("out", None): (None, None)}
+
+
+def test_last_sample_wins(spark):
+    df = spark.createDataFrame([("a", 1000, 1, 1.0), ("a", 4999, 2, 2.0), ("a", 4999, 3, 3.0), ("a", 5000, 4, None)], "k string, t long, seq long, v double")
+    assert sorted(tuple(r) for r in counters.last_sample(df, ["k"], "t", tiebreak=["seq"]).select("bucket", "v").collect()) == [(0, 3.0), (5000, None)]
+
+
+def test_alignment_weighs_by_time(spark):
+    df = spark.createDataFrame([("a", 7000, 1.0), ("a", 12000, 2.0), ("a", 18000, 4.0)], "k string, t long, v double")
+    found = {r["bucket"]: r["v"] for r in correlate.align(df, ["k"], "t", "v").collect()}
+    assert found == {5000: 2.0, 10000: pytest.approx((2 * 2 + 3 * 4) / 5), 15000: 4.0}
+    assert correlate.align(df, ["k"], "t", "v", max_gap=1000).count() == 0
+
+
+def test_resources_go_to_tasks_and_the_rest_to_other(spark):
+    samples = spark.createDataFrame([("n", 1, 0, 0.8)], "node_id string, thread_id long, bucket long, cpu double")
+    ops = spark.createDataFrame([("n", 1, "q", "i", 0, 1000, 2000), ("n", 1, "q", "i", 0, 4000, 9000)], "node_id string, thread_id long, op string, index_name string, shard_id int, start_ms long, finish_ms long")
+    found = {r["op"]: r["cpu"] for r in correlate.attribute_resources(samples, ops, "cpu").collect()}
+    assert found == {"q": pytest.approx(0.32), "other": pytest.approx(0.48)}
+
+
+def test_gate_by_state_covers_days(spark):
+    day = correlate.DAY_MS
+    events = spark.createDataFrame([("c", t) for t in (5, 3 * day, 3 * day + 10, 9 * day)] + [("d", 5)], "cluster_id string, ms long")
+    on = spark.createDataFrame([("c", "pipeline", 4, 3 * day + 10, True), ("c", "pipeline", 3 * day + 10, 8 * day, False), ("c", "pipeline", 8 * day, None, True)], "cluster_id string, feature string, from_ms long, to_ms long, enabled boolean")
+    assert column(correlate.gate_by_state(events, on, "ms"), "ms", "ms") == [5, 3 * day, 9 * day]
+    assert correlate.gate_by_collector(events.withColumnRenamed("cluster_id", "collector"), spark.createDataFrame([], "collector string")).count() == 0
+
+
+def test_rotation_ends_with_a_short_tick(spark):
+    keys = spark.createDataFrame([("n", k) for k in range(5)], "node string, key long")
+    found = {}
+    for r in rotating_sample(keys, ["node"], ["key"], ticks=4, n=2).collect():
+        found.setdefault(r["tick"], set()).add(r["key"])
+    assert found == {0: {0, 1}, 1: {2, 3}, 2: {4}, 3: {0, 1}}
+    assert rotating_sample(keys, ["node"], ["key"], 4, 0).count() == 0
+
+
+def test_largest_trackers_stay(spark):
+    df = spark.range(200).select((F.col("id") % 2).alias("s"), "id", (F.col("id") % 7).alias("bytes"))
+    found = hot_shards(df, ["s"], "bytes", ["id"], 3)
+    assert found.count() == 6 and found.filter("bytes < 6").count() == 0

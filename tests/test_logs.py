@@ -1,0 +1,41 @@
+from tidemark.schemas import FAMILIES
+from tidemark.sources import logs
+
+
+def test_events_of_a_log(spark, tmp_path):
+    (tmp_path / "5000").write_text("^12/shardquery/7/start\ncurrent_time:1\nname:a:b\ncost:$5\nbroken$^12/shardquery/7/finish\nfailed:false\nfailed:true$")
+    found = {tuple(r["path"]): r["kv"] for r in logs.read_events(spark, f"file://{tmp_path}/5000").collect()}
+    assert found == {("12", "shardquery", "7", "start"): {"current_time": "1", "name": "a:b", "cost": "$5"}, ("12", "shardquery", "7", "finish"): {"failed": "true"}}
+
+
+def test_events_on_lines_of_their_own_and_an_empty_log(spark, tmp_path):
+    (tmp_path / "a").write_text("^x/1/start\nk:1$\n^x/1/finish\nk:2$\n")
+    (tmp_path / "b").write_text("")
+    assert sorted(r["kv"]["k"] for r in logs.read_events(spark, f"file://{tmp_path}/a", "$\n^").collect()) == ["1", "2"]
+    assert logs.read_events(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_paths_of_another_arity_are_set_aside(spark):
+    df = spark.createDataFrame([(["1", "query", "7", "start"],), (["1", "7", "start"],), (["x", "query", "7", "start"],)], "path array<string>")
+    good, bad = logs.quarantine(logs.split_family(df, "shard_search", {"thread_id": "bigint"}))
+    assert [(r["thread_id"], r["edge"]) for r in good.collect()] == [(1, "start")]
+    assert sorted(r["_corrupt"] for r in bad.collect()) == ["1/7/start", "x/query/7/start"]
+
+
+def test_samples_with_several_headers_and_two_objects_on_a_line(spark, tmp_path):
+    (tmp_path / "r").write_text('{"current_time":10}\n{"type":"a","estimated":1}{"type":"b","limit":2}\n{"current_time":20}{"type":"c"}\n{"type": oops}')
+    good, bad = logs.quarantine(logs.read_samples(spark, f"file://{tmp_path}/r", "circuit_breaker"))
+    assert sorted((r["time_ms"], r["type"], r["estimated"], r["limit"]) for r in good.collect()) == [(10, "a", 1, None), (10, "b", None, 2), (20, "c", None, None)]
+    assert [r["time_ms"] for r in bad.collect()] == [20]
+
+
+def test_keys_against_the_contract(spark):
+    family = FAMILIES["circuit_breaker"]
+    raw = spark.createDataFrame([('{"type":"a","estimated":1,"tripped":2,"limit":3}',), ('{"type":"a","new":1}',), (None,)], "json string")
+    found = {(r["key"], r["kind"]): r["n"] for r in logs.check_contract(raw, list(family.dims), list(family.values)).collect()}
+    assert found == {("type", "missing"): 1, ("estimated", "missing"): 2, ("tripped", "missing"): 2, ("limit", "missing"): 2, ("new", "unknown"): 1}
+
+
+def test_schemas_have_dimensions_then_values():
+    for family in FAMILIES.values():
+        assert family.schema.names == [*family.dims, *family.values]
