@@ -174,7 +174,9 @@ class Scanner:
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         found: list[list[tuple[int, int, str, int]]] = [[] for _ in texts]
-        index = TrigramIndex(texts, self.wanted, self.table) if self.wanted and texts else None
+        if not texts:
+            return []
+        index = TrigramIndex(texts, self.wanted, self.table)
         for place, (rule, pattern, query) in enumerate(self.rules):
             for i in range(len(texts)) if query is None else index.find(query).tolist():
                 for m in pattern.finditer(texts[i] or ""):
