@@ -72,9 +72,9 @@ def gate_by_state(events: DataFrame, intervals: DataFrame, time: str, cluster: s
 
     Joined on cluster and day: an interval stands under each day that it meets, up to the last day of events.
     """
-    last = events.agg(F.max(time).alias("__last"))
+    until = events.agg(F.max(time) + 1).scalar()
     on = intervals.filter((F.col("feature") == feature) & F.col("enabled")).select(F.col(cluster).alias("__cluster"), "from_ms", "to_ms")
-    on = on.join(F.broadcast(last), how="inner").withColumn("__to", F.least(F.coalesce(F.col("to_ms"), F.col("__last") + 1), F.col("__last") + 1)).filter("from_ms < __to")  # one row
+    on = on.withColumn("__to", F.least(F.coalesce(F.col("to_ms"), until), until)).filter("from_ms < __to")
     days = on.withColumn("__day", F.explode(_buckets(F.col("from_ms"), F.col("__to"), DAY_MS)))
     rows = events.withColumn("__on", bucket(F.col(time), DAY_MS))
     inside = (F.col(cluster) == F.col("__cluster")) & (F.col("__on") == F.col("__day")) & (F.col(time) >= F.col("from_ms")) & (F.col(time) < F.col("__to"))
