@@ -21,15 +21,17 @@ none). Repeated rows get equal scores. The fit is deterministic.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import map_texts, stored
 from .words import LOWER, split_words, xxh64_ranges
 
 #: Labelled rows that the model is fitted on, at most.
@@ -68,26 +70,20 @@ def terms_of(texts: list[str | None], known: np.ndarray | None = None) -> tuple[
     return np.divmod(np.unique(np.concatenate(found)), PLACES)
 
 
-def fit(rows: list[tuple[int, list[int]]], factors: int = FACTORS, features: int = FEATURES) -> Model:
-    """rows: label and places of each text, in a fixed order."""
-    y = np.array([r[0] for r in rows], float)
-    n = np.array([len(r[1]) for r in rows], np.int64)
-    place = np.array([p for r in rows for p in r[1]], np.int64)
-    rate = y.mean() if len(y) else 0.0
-    if not 0 < rate < 1:
-        return Model(np.zeros(0, np.int64), 30.0 if rate else -30.0, np.zeros(0), np.zeros((0, factors)))
-    row = np.repeat(np.arange(len(y)), n)
-    seen = np.bincount(place, minlength=PLACES)
-    toxic = np.bincount(place, weights=y[row], minlength=PLACES)
+def telling(seen: np.ndarray, toxic: np.ndarray, rows: int, rate: float, features: int = FEATURES) -> np.ndarray:
+    """Of all places, by the texts and the toxic texts that hold each: those with the largest chi-square, sorted."""
     expected = seen * rate
-    chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - seen / len(y)), 1e-9) * ((seen >= 3) & (seen < len(y)))
+    chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - seen / max(rows, 1)), 1e-9) * ((seen >= 3) & (seen < rows))
     best = np.argsort(-chi, kind="stable")[:features]
-    places = np.sort(best[chi[best] >= LEAST_CHI])
-    index = np.full(PLACES, -1)
-    index[places] = np.arange(len(places))
-    has = index[place] >= 0
-    row, feature = row[has], index[place[has]]
-    start = np.searchsorted(row, np.arange(len(y) + 1))
+    return np.sort(best[chi[best] >= LEAST_CHI])
+
+
+def fit(y: np.ndarray, start: np.ndarray, place: np.ndarray, places: np.ndarray, factors: int = FACTORS) -> Model:
+    """Text i has label y[i] and the places place[start[i]:start[i + 1]], all of them in `places`."""
+    rate = float(y.mean()) if len(y) else 0.0
+    if not 0 < rate < 1:
+        return Model(np.zeros(0, np.int64), 30.0 if rate else -30.0, np.zeros(0), np.zeros((0, factors)))
+    feature = np.searchsorted(places, place)
     rng = np.random.default_rng(7)
     w0, w, v = float(np.log(rate / (1 - rate))), np.zeros(len(places)), rng.normal(0, 0.05, (len(places), factors))
     g0, gw, gv = 1e-8, np.full(len(places), 1e-8), np.full((len(places), factors), 1e-8)
@@ -148,11 +144,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {"places": pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))}
 
     terms = map_texts(chosen, ["__id", "__label"], "__text", fields, run)
-    got: dict = {}
-    for r in terms.collect():  # a row per sampled label
-        row = (r["__label"], r["places"])
-        got[r["__id"]] = min(got.get(r["__id"], row), row)  # of rows that repeat an id, the one with the smallest terms
-    return fit([got[k] for k in sorted(got)])
+    # of rows that repeat an id, the one with the smallest terms
+    terms = stored(terms.groupBy("__id").agg(F.min(F.struct("__label", "places")).alias("t")).select("__id", "t.*"), "terms")
+    n, toxic = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("__label"), F.lit(0))).first()
+    # a row per place, so at most PLACES
+    stats = terms.select("__label", F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("seen"), F.sum("__label").alias("toxic")).toArrow()
+    seen, hits = np.zeros(PLACES), np.zeros(PLACES)
+    seen[stats["place"].to_numpy()], hits[stats["place"].to_numpy()] = stats["seen"].to_numpy(), stats["toxic"].to_numpy()
+    places = telling(seen, hits, n, toxic / n if n else 0.0)
+    # at most rows x FEATURES numbers
+    got = terms.select("__id", "__label", "places").mapInArrow(_only(places), terms.schema).toArrow().combine_chunks().sort_by("__id")
+    held = got["places"].combine_chunks()
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return fit(got["__label"].to_numpy().astype(float), start, pc.list_flatten(held).to_numpy(zero_copy_only=False).astype(np.int64), places)
+
+
+def _only(places: np.ndarray):
+    """Keeps those of a row's places that the model has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+            place = pc.list_flatten(held).to_numpy(zero_copy_only=False)
+            keep = np.isin(place, places)
+            cuts = np.searchsorted(row[keep], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[keep].astype(np.int32)))], batch.schema.names)
+
+    return run
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
