@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import correlate, counters
+from tidemark.schemas import FAMILIES
 from tidemark.operators.sampling import hot_shards, rotating_sample
 
 
@@ -20,6 +21,14 @@ def test_first_sample_gives_its_value(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 5, 9), ("a", 2, 2, 8), ("a", 3, 0, 7), ("b", 1, 4, 6)]
 
 
+def test_a_family_knows_its_counters(spark):
+    family = FAMILIES["shard_cache"]
+    data = [("n", t, "i", 0, *([v] * 9)) for t, v in ((1, 5), (2, 8), (3, 2))]
+    df = spark.createDataFrame(data, "node_id string, t long, index_name string, shard_id int, " + ", ".join(f"{n} long" for n in family.values))
+    found = counters.family_deltas(df, family, ["node_id", *family.dims], ["t"]).orderBy("t").collect()
+    assert [r["query_hit"] for r in found] == [5, 3, 0] and [r["query_bytes"] for r in found] == [5, 8, 2]
+
+
 @pytest.mark.parametrize("negative", ["zero", "keep"])
 def test_interval_means(spark, negative):
     df = spark.createDataFrame([("n", 1, 23, 46, 2), ("n", 2, 25, 54, 2), ("n", 3, 25, 60, 1), ("n", 4, 24, 66, 1)], "k string, t long, n long, ms long, failed long")

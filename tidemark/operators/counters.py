@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import bucket
+from ..schemas import Family
 
 
 def _by(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -29,6 +30,13 @@ def delta_first_absolute(df: DataFrame, keys: Sequence[str], order: Sequence[str
     return df.select(*keys, *[c for c in order if c not in keys], *map(grown, counters), *gauges)
 
 
+def family_deltas(df: DataFrame, family: Family, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """delta_first_absolute of a family's own counters; its gauges stay."""
+    kinds = {m.name: m.kind for m in family.metrics}
+    grown = [n for n, k in kinds.items() if k == "counter"]
+    return delta_first_absolute(df, keys, order, grown, [n for n in kinds if n not in grown])
+
+
 def delta_max_gap(df: DataFrame, keys: Sequence[str], time: str, counter: str, max_gap: int = 15_000, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Adds `delta`: growth at least 0 since the last sample if that is at most max_gap old; 0 else, and for a first sample."""
     by = _by(keys, [time, *tiebreak])

@@ -30,6 +30,8 @@ class Family:
     dims: dict[str, str]
     values: dict[str, str]
     units: dict[str, str] = field(default_factory=dict)
+    #: Values that only grow; all others are gauges.
+    counters: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -38,7 +40,7 @@ class Family:
 
     @property
     def metrics(self) -> list[MetricSpec]:
-        return [MetricSpec(n, f"CAST({n} AS DOUBLE)", tuple(self.dims), self.units.get(n, "count")) for n in self.values]
+        return [MetricSpec(n, f"CAST({n} AS DOUBLE)", tuple(self.dims), self.units.get(n, "count"), "counter" if n in self.counters else "gauge") for n in self.values]
 
 
 def _longs(names: str) -> dict[str, str]:
@@ -50,14 +52,15 @@ _SHARD = {"index_name": "string", "shard_id": "int"}
 FAMILIES = {
     f.name: f
     for f in (
-        Family("thread_pool", {"type": "string"}, {"queue_size": "int", "rejected": "bigint", "threads": "int", "active": "int", "queue_latency": "double", "queue_capacity": "int"}, {"queue_latency": "ms"}),
+        Family("thread_pool", {"type": "string"}, {"queue_size": "int", "rejected": "bigint", "threads": "int", "active": "int", "queue_latency": "double", "queue_capacity": "int"}, {"queue_latency": "ms"}, ("rejected",)),
         Family("circuit_breaker", {"type": "string"}, _longs("estimated tripped limit"), {"estimated": "B", "limit": "B"}),
         Family("cache_config", {"type": "string"}, _longs("max_size"), {"max_size": "B"}),
         Family("admission_control", {"controller": "string"}, _longs("current threshold rejections")),
         Family("election_term", {}, _longs("term")),
         Family("throttling", {}, _longs("retrying throttled")),
         Family(
-            "shard_cache", _SHARD, _longs("query_hit query_miss fielddata_evict request_hit request_miss request_evict query_bytes fielddata_bytes request_bytes"), dict.fromkeys(("query_bytes", "fielddata_bytes", "request_bytes"), "B")
+            "shard_cache", _SHARD, _longs("query_hit query_miss fielddata_evict request_hit request_miss request_evict query_bytes fielddata_bytes request_bytes"), dict.fromkeys(("query_bytes", "fielddata_bytes", "request_bytes"), "B"),
+            ("query_hit", "query_miss", "fielddata_evict", "request_hit", "request_miss", "request_evict"),
         ),
         Family(
             "shard_stats",
@@ -69,12 +72,15 @@ FAMILIES = {
         ),
         Family("pressure", _SHARD | {"stage": "string"}, {"rejections": "bigint", "current_bytes": "bigint", "limit_bytes": "bigint", "average": "double", "last_success_ms": "bigint"}, {"current_bytes": "B", "limit_bytes": "B"}),
         Family("node_details", {"id": "string", "host_address": "string", "role": "string"}, {"is_master": "boolean"}),
-        Family("publish_stats", {}, _longs("total_count time_ms failed"), {"time_ms": "ms"}),
-        Family("applier_stats", {}, _longs("total_count time_ms failed current_elapsed_ms"), {"time_ms": "ms", "current_elapsed_ms": "ms"}),
+        Family("publish_stats", {}, _longs("total_count time_ms failed"), {"time_ms": "ms"}, ("total_count", "time_ms", "failed")),
+        Family("applier_stats", {}, _longs("total_count time_ms failed current_elapsed_ms"), {"time_ms": "ms", "current_elapsed_ms": "ms"}, ("total_count", "time_ms", "failed")),
         Family("shard_state", _SHARD | {"kind": "string", "node_name": "string"}, {"state": "string"}),
     )
 }
 
+#: Metrics of all families with their units.
+UNITS = sorted({(m.name, m.unit) for f in FAMILIES.values() for m in f.metrics})
+
 #: Keys of an event's path by family, in their order.
 PATHS = {
     "shard_search": ("thread_id", "phase", "id", "edge"),
