@@ -75,7 +75,9 @@ def b5_response_status(spark, sf_dir):
     return shape.response_status(view(spark, sf_dir, "replies")).select("id", "kind", "status", "exception")
 
 
-@registered()
+@registered("", """, s AS (SELECT unnest([0, 1, 2]) AS i)
+    SELECT p_brand AS index_name, p_partkey AS shard_id, ['coordinating', 'primary', 'replica'][i + 1] AS stage, p_size + i AS rejections, floor(p_retailprice)::BIGINT + i AS current_bytes,
+        floor(p_retailprice)::BIGINT * (CASE i WHEN 2 THEN 2 ELSE 4 END) AS limit_bytes, p_retailprice AS average, p_size * 1000 AS last_success_ms FROM part, s""")
 def b6_indexing_pressure(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col("p_retailprice")).cast("long")
@@ -433,7 +435,9 @@ def a8_retain(spark, sf_dir):
     return store.retain(view(spark, sf_dir, "metrics"), RANGE[0] + DAY, 60)
 
 
-@registered()
+@registered("metrics", f"""SELECT node_id, to_json({{'data': {{'fields': [{{'name': 'shard_id', 'type': 'DOUBLE'}}, {{'name': 'click', 'type': 'DOUBLE'}}],
+    'records': list([CAST(shard_id::DOUBLE AS STRING), CAST(click AS STRING)] ORDER BY shard_id)}}, 'timestamp': {RANGE[1]}}})::STRING AS response
+    FROM (SELECT node_id, shard_id, max(value) AS click FROM metrics WHERE metric = 'click' GROUP BY ALL) GROUP BY node_id""")
 def a9_to_response(spark, sf_dir):
     found = f3_query_nodes(spark, sf_dir).withColumn("bucket", F.lit(RANGE[1]))
     return store.to_response(found, ["shard_id", "click"])
@@ -445,6 +449,27 @@ def a10_check_contract(spark, sf_dir):
     return logs.check_contract(view(spark, sf_dir, "ev").select(body.alias("json")), ["type"], ["estimated", "tripped", "limit"])
 
 
+@registered("op_start op_finish", f"{PAIRED} SELECT node_id, op, index_name, shard_id, {LATENCY}, sum(failed::INT)::BIGINT AS failures FROM pair GROUP BY ALL")
+def a1_log_to_metrics(spark, sf_dir):
+    """Events written as a log, read back, split, set aside if broken, paired and aggregated."""
+    entry = lambda *names: F.concat_ws("\n", *[F.concat(F.lit(f"{n}:"), F.col(n).cast("string")) for n in names])
+    keys = F.concat_ws("/", "thread_id", "op", "op_id")
+    starts = view(spark, sf_dir, "op_start").select(F.concat(keys, F.lit("/start\n"), entry("node_id", "start_ms", "items", "index_name", "shard_id")).alias("value"))
+    finishes = view(spark, sf_dir, "op_finish").select(F.concat(keys, F.lit("/finish\n"), entry("node_id", "finish_ms", "failed")).alias("value"))
+    broken = starts.limit(10).select(F.lit("1/start\nnode_id:x").alias("value"))
+    path = new_path(spark, "log")
+    starts.union(finishes).union(broken).write.option("lineSep", "$^").text(path)
+    good, _ = logs.quarantine(logs.split_family(logs.read_events(spark, path), "shard_search", {"thread_id": "bigint", "id": "bigint"}))
+    typed = lambda edge, **kinds: good.filter(F.col("edge") == edge).select("thread_id", F.col("phase").alias("op"), F.col("id").alias("op_id"), *[F.col("kv")[k].cast(t).alias(k) for k, t in kinds.items()])
+    found = events.pair_events(
+        typed("start", node_id="string", start_ms="bigint", items="bigint", index_name="string", shard_id="bigint"), typed("finish", node_id="string", finish_ms="bigint", failed="boolean")
+    )
+    return found.groupBy("node_id", "op", "index_name", "shard_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("items").alias("items"), F.sum("latency_ms").alias("latency_sum"), F.avg("latency_ms").alias("latency_avg"),
+        F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"), F.sum(F.col("failed").cast("int")).alias("failures"),
+    )
+
+
 # --- I: streams, run over what there is
 
 
