@@ -16,8 +16,9 @@ window whose words also start somewhere in a document with a smaller id.
    lose the words of their spans.
 
 A shard's size is bounded: an anchor with more than HOT occurrences (a passage that
-a great part of all documents share) doesn't go to a shard. Its windows are grouped by
-128-bit digest instead, where copies combine before they are shuffled.
+a great part of all documents share) doesn't go to a shard. Its equal segments combine
+before they are shuffled: all but the first document lose such a segment whole. Only the windows of
+distinct segments are then grouped, by 128-bit digest, for what the first documents lose.
 
 Ids are integers. Null texts have no words; a null id has no smaller one and is smaller than
 none, so its words stay. Rows that repeat an id and a text get equal results; rows that
@@ -45,6 +46,8 @@ from .words import split_words, xxh64_ranges
 WINDOW, GRAM = 50, 12
 #: Occurrences of an anchor up to which its segments go to one shard.
 HOT = 4_096
+#: Windows of a segment, at most.
+LONGEST = 256
 #: Segments of a shard on average, and queries that are streamed at a time.
 SHARD, STREAM = 4_096, 1_024
 
@@ -76,9 +79,13 @@ def anchors_of(texts: list[str | None], window: int = WINDOW, gram: int = GRAM)
     if not len(start):
         return none, none, none, none
     place, text = place[start], text[start]
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+    anchor = grams[place]
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
-    return text[first], grams[place[first]].view(np.int64), start[first] - words.first[:-1][text[first]], np.diff(np.append(first, len(start)))
+    # long runs, as of one word over and over, are cut; their parts have one anchor still
+    run = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+    first = np.flatnonzero(run % LONGEST == 0)
+    return text[first], anchor[first].view(np.int64), start[first] - words.first[:-1][text[first]], np.diff(np.append(first, len(start)))
 
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -109,8 +116,9 @@ def _unpacked(packed: bytes) -> list[bytes]:
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """From (id, row, packed, runs): a row per segment (anchor, segment), or per window of a hot anchor (digest); first: its place in the document."""
-    schema = T.StructType.fromDDL("id bigint, row bigint, first int, anchor bigint, segment binary, digest binary")
+    """From (id, row, packed, runs): a row per segment; first: its place in the document, n: its windows; digest: of a hot anchor's segment."""
+    schema = T.StructType.fromDDL("id bigint, row bigint, first int, n int, anchor bigint, segment binary, digest binary")
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,18 +127,43 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
                 for key, row, packed, runs in zip(*(part.column(c).to_pylist() for c in ("id", "row", "packed", "runs")), strict=True):
                     words = _unpacked(packed)
                     for r in runs:
-                        first, end = r["first"], r["first"] + r["n"] + window - 1
-                        if r["hot"]:
-                            made += [(key, row, at, None, None, xxhash.xxh3_128_digest(b" ".join(words[at : at + window]))) for at in range(first, first + r["n"])]
-                        else:
-                            made.append((key, row, first, r["anchor"], b" ".join(words[first:end]), None))
-                columns = zip(*made, strict=True) if made else [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                        segment = b" ".join(words[r["first"] : r["first"] + r["n"] + window - 1])
+                        made.append((key, row, r["first"], r["n"], r["anchor"], segment, xxhash.xxh3_128_digest(segment) if r["hot"] else None))
+                columns = zip(*made, strict=True) if made else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _windows(segments: DataFrame, window: int) -> DataFrame:
+    """From (digest, segment, least): digest and least with each window's place in the segment and its own digest."""
+    schema = T.StructType.fromDDL("digest binary, least bigint, at int, window binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "segment", 1 << 17):
+                made = []
+                for digest, segment, least in zip(*(part.column(c).to_pylist() for c in ("digest", "segment", "least")), strict=True):
+                    words = segment.split(b" ")
+                    made += [(digest, least, at, xxhash.xxh3_128_digest(b" ".join(words[at : at + window]))) for at in range(len(words) - window + 1)]
+                types = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
+
+    return segments.mapInArrow(run, schema)
+
+
+def _hot_spans(cut: DataFrame, window: int) -> DataFrame:
+    """Spans (id, row, start, end) of the segments of hot anchors."""
+    distinct = cut.groupBy("digest", "segment").agg(F.min("id").alias("least"))
+    places = cut.select("id", "row", "first", "n", "digest")
+    later = places.join(distinct.select("digest", "least"), "digest").filter("id > least").select("id", "row", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
+    windows = _windows(distinct, window)
+    earliest = windows.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("most")).filter("before < most")
+    lost = windows.join(earliest, "window").filter("before < least").select("digest", F.col("least").alias("id"), "at")
+    first = places.join(lost, ["digest", "id"]).select("id", "row", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + window).alias("end"))
+    return later.union(first)
+
+
 def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """Of each segment: the runs [from, to) of its windows that also start in a segment with a smaller id."""
     number: dict[bytes, int] = {}
@@ -162,7 +195,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     runs = anchors.join(shared, "anchor").groupBy("id", "row").agg(F.collect_set(F.struct("first", "n", "anchor", "hot")).alias("runs"))
     cut = stored(_segments(_compressed(docs).join(runs, ["id", "row"]), window), "segments")
 
-    shards = max(1, -(-cut.filter("segment IS NOT NULL").count() // shard))
+    shards = max(1, -(-cut.filter("digest IS NULL").count() // shard))
     spans = T.StructType.fromDDL("id bigint, row bigint, start int, end int")
 
     def search(table: pa.Table) -> pa.Table:
@@ -174,13 +207,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
         columns = [pa.array(ids[of]), table.column("row").take(pa.array(of)).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
         return pa.table(columns, names=spans.names)
 
-    dealt = cut.filter("segment IS NOT NULL").select("id", "row", "first", "segment", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    by_index = dealt.groupBy("shard").applyInArrow(search, spans)
-
-    windows = cut.filter("digest IS NOT NULL").select("id", "row", "first", "digest")
-    earliest = windows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    by_digest = windows.join(earliest, "digest").filter("least < id").select("id", "row", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
-    return by_index.union(by_digest).groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    dealt = cut.filter("digest IS NULL").select("id", "row", "first", "segment", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    found = dealt.groupBy("shard").applyInArrow(search, spans).union(_hot_spans(cut.filter("digest IS NOT NULL"), window))
+    return found.groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, **how: int) -> DataFrame:
