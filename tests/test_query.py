@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.operators import config, query, shape
 from tidemark.schemas import FAMILIES, MetricSpec
-from tidemark.sources import store
+from tidemark.sources import shared, store
 
 
 @pytest.fixture()
@@ -124,3 +124,12 @@ def test_store_and_responses(spark, metrics, tmp_path):
     found = {r["node_id"]: json.loads(r["response"]) for r in store.to_response(metrics, ["metric", "value"]).collect()}
     assert found["n2"] == {"data": {"fields": [{"name": "metric", "type": "VARCHAR"}, {"name": "value", "type": "DOUBLE"}], "records": [["a", "7.0"]]}, "timestamp": 5000}
     assert json.loads(store.rows_json(metrics.filter("shard_id IS NULL")).first()[0]) == {"bucket": 0, "node_id": "n1", "metric": "a", "value": 3.0}
+
+
+def test_stored_tables_can_be_dropped(spark):
+    path = shared.new_path(spark, "numbers")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert shared.drop_made(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

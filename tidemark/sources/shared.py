@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,4 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below it that no one has used."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_made(spark: SparkSession) -> int:
+    """Deletes what this application's operators have stored so far; DataFrames that read it can't be used any more. Returns the number of paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in map(hadoop, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
