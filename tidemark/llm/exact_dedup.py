@@ -3,8 +3,10 @@
 Texts are compared whole, without any normalisation; a null text counts as empty.
 Copies are combined three times: within each task (the partial aggregate), within
 each salt of a digest, and across the salts of a digest. Every one of these groups by
-the text itself beside its digest, so that texts with one digest stay apart. No step
-sees more rows of a hot text than there are tasks, or salts.
+the text itself beside its digest, so that texts with one digest stay apart. Digests are
+counted first, without texts: those that hold more than a 10,000th of all rows, of which
+there can't be more than 10,000, are dealt into salts; the others have one salt, so
+that the second step is their last and their texts are shuffled once.
 
 Of equal texts the row with the largest id stays; null ids lose to any other. Rows
 that repeat an id and a text count in group_size, and one of them stays. An empty
@@ -16,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that the copies of one text are dealt into. At most 63, as they are bits of a long.
+from .common import stored
+
+#: Parts that the copies of a hot text are dealt into. At most 63, as they are bits of a long.
 SALTS = 32
+#: A digest is hot if it holds more than this part of all rows, and more than so many.
+HOT_SHARE, HOT_LEAST = 1 / 10_000, 32
 
 #: What tells a text in joins that don't carry it: two unrelated digests and its length.
 _ADDRESS = ["__sha", "__xx", "__length"]
@@ -28,22 +34,28 @@ def _addressed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__sha": F.sha2(text, 256), "__xx": F.xxhash64(text), "__length": F.octet_length(text)})
 
 
-def _winners(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    """A row per distinct text: its address, __keep (largest id), __n (rows) and __salts (bits of those that have it)."""
-    rows = _addressed(docs, text_col).select(
-        *_ADDRESS,
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"),
-        F.col(f"`{id_col}`").alias("__id"),
-        _salt(id_col, salts).alias("__salt"),
-    )
-    by_salt = rows.groupBy("__salt", *_ADDRESS, "__text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
-    return by_salt.groupBy(*_ADDRESS, "__text").agg(
-        F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"), F.expr("bit_or(shiftleft(1L, __salt))").alias("__salts")
-    )
+def _hot(docs: DataFrame, text_col: str) -> DataFrame:
+    """Addresses of hot texts; no more than 1 / HOT_SHARE, whatever the rows."""
+    least = max(docs.count() * HOT_SHARE, HOT_LEAST)
+    counted = _addressed(docs, text_col).groupBy(*_ADDRESS).agg(F.count(F.lit(1)).alias("__n"))
+    return stored(counted.filter(F.col("__n") > least).drop("__n"), "hot")
 
 
-def _salt(id_col: str, salts: int):
-    return F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int")
+def _salted(docs: DataFrame, hot: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """Rows of docs as __id and __text, with their address, and __salt: 0 unless the text is hot."""
+    rows = _addressed(docs, text_col).select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), *_ADDRESS)
+    rows = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), _ADDRESS, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    return rows.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+
+
+def _winners(salted: DataFrame) -> DataFrame:
+    """A row per distinct text: its address, __keep (largest id), __n (rows) and __salts (bits of those that have it)."""
+    by_salt = salted.groupBy("__salt", "__hot", *_ADDRESS, "__text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
+    # a text that is not hot is whole by now: it needs no comparing, and its number keeps it apart
+    whole = F.when(~F.col("__hot"), F.struct("__keep", "__n"))
+    return by_salt.groupBy(*_ADDRESS, F.when(F.col("__hot"), F.col("__text")).alias("__text"), whole.alias("__whole")).agg(
+        F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"), F.expr("bit_or(shiftleft(1L, __salt))").alias("__salts")
+    ).drop("__text", "__whole")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -51,9 +63,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each text's winner goes back to the salts that have the text, so that the join is dealt out as evenly as the combining was.
     """
-    found = _winners(docs, id_col, text_col, salts).drop("__text")
+    salted = _salted(docs, _hot(docs, text_col), id_col, text_col, salts)
+    found = _winners(salted)
     found = found.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (__salts & shiftleft(1L, s)) != 0)"))).drop("__salts")
-    rows = _addressed(docs, text_col).select(F.col(f"`{id_col}`").alias("__id"), *_ADDRESS, _salt(id_col, salts).alias("__salt"))
+    rows = salted.drop("__text", "__hot")
     again = Window.partitionBy("__salt", *_ADDRESS, "__id").orderBy("__keep")
     return rows.join(found, ["__salt", *_ADDRESS]).select(
         F.col("__id").alias(id_col),
@@ -69,7 +82,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat both id and text, the one with the smallest hash of the other columns stays.
     """
-    keep = _winners(docs, id_col, text_col, salts).select(*_ADDRESS, "__keep")
+    keep = _winners(_salted(docs, _hot(docs, text_col), id_col, text_col, salts)).select(*_ADDRESS, "__keep")
     rows = _addressed(docs, text_col).withColumn("__id", F.col(f"`{id_col}`"))
     on = [rows[c] == keep[c] for c in _ADDRESS] + [rows["__id"].eqNullSafe(keep["__keep"])]
     held = rows.join(keep, on, "left_semi")
