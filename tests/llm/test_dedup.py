@@ -29,7 +29,7 @@ def found(df, *columns):
 @pytest.mark.parametrize("salts", [1, 3, 32])
 def test_exact_groups(spark, salts):
     rng = random.Random(salts)
-    rows = [(i, rng.choice(["a", "b", "A", "", None, "a ", "é" * 50_000])) for i in range(200)] + [(None, "a"), (None, "only null")]
+    rows = [(i, rng.choice(["a", "b", "A", "", None, "a ", "é" * 50_000])) for i in range(400)] + [(None, "a"), (None, "only null")]
     groups = defaultdict(list)
     for d, t in rows:
         groups[t or ""].append(d)

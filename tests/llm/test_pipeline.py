@@ -62,7 +62,5 @@ def test_stages_in_order(spark, tmp_path):
 
     assert sum(r["length"] for r in packed) == sum(taken.values())
 
-
-def test_run_gives_what_the_stages_give(spark):
-    got = corpus_pipeline.run(spark, FOLDER)
-    assert got.columns[0] == "doc_id" and got.count() > 0
+    run = corpus_pipeline.run(spark, FOLDER).collect()
+    assert sorted(map(tuple, run), key=str) == sorted(map(tuple, packed), key=str)
