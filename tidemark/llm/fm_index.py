@@ -8,6 +8,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Word with the lowest n bits set.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """Ranks over a sequence of symbols: a bit vector per bit of a symbol, 64 bits to a word with counts between."""
 
@@ -20,25 +24,25 @@ class WaveletMatrix:
             padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, bool)
             padded[: len(bit)] = bit
             words = np.packbits(padded, bitorder="little").view(np.uint64)
-            counts = np.zeros(len(words), np.int64)
+            counts = np.zeros(len(words), np.int32)
             np.cumsum(np.bitwise_count(words[:-1]), out=counts[1:])
             self.words.append(words)
             self.counts.append(counts)
-            self.zeros.append(len(bit) - int(bit.sum()))
+            self.zeros.append(np.int32(len(bit) - int(bit.sum())))
             held = np.concatenate([held[~bit], held[bit]])
-        self.start = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
+        self.start = self._down(np.arange(sigma), np.zeros(sigma, np.int32))
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
             place = at >> 6
-            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.counts[k][place] + np.bitwise_count(self.words[k][place] & below)
-            at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
+            held = self.words[k][place] & _BELOW[at & 63]
+            ones = self.counts[k][place] + np.bitwise_count(held)
+            at = np.where(symbol & (1 << level), self.zeros[k] + ones, at - ones)
         return at
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol comes before each place."""
-        return self._down(symbol, at) - self.start[symbol]
+        return self._down(symbol, at.astype(np.int32)) - self.start[symbol]
 
 
 class FMIndex:

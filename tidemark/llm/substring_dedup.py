@@ -49,7 +49,7 @@ HOT = 4_096
 #: Windows of a segment, at most.
 LONGEST = 256
 #: Segments of a shard on average, and queries that are streamed at a time.
-SHARD, STREAM = 4_096, 1_024
+SHARD, STREAM = 12_288, 8_192
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -97,7 +97,8 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
         rows = pa.StructArray.from_arrays([pa.array(anchor), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "first", "n"])
         return {"found": pa.ListArray.from_arrays(cuts, rows)}
 
-    return map_texts(docs, ["id", "row"], "text", fields, run).select("id", "row", F.inline("found"))
+    # stored, as they are counted first and looked at again then
+    return stored(map_texts(docs, ["id", "row"], "text", fields, run), "anchors").select("id", "row", F.inline("found"))
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -136,8 +137,8 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(segments: DataFrame, window: int) -> DataFrame:
-    """From (digest, segment, least): digest and least with each window's place in the segment and its own digest."""
-    schema = T.StructType.fromDDL("digest binary, least bigint, at int, window binary")
+    """From (digest, segment, least): digest and least with each different window's digest and its places in the segment."""
+    schema = T.StructType.fromDDL("digest binary, least bigint, window binary, places array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +146,11 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
                 made = []
                 for digest, segment, least in zip(*(part.column(c).to_pylist() for c in ("digest", "segment", "least")), strict=True):
                     words = segment.split(b" ")
-                    made += [(digest, least, at, xxhash.xxh3_128_digest(b" ".join(words[at : at + window]))) for at in range(len(words) - window + 1)]
-                types = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
+                    places: dict[bytes, list[int]] = {}
+                    for at in range(len(words) - window + 1):
+                        places.setdefault(xxhash.xxh3_128_digest(b" ".join(words[at : at + window])), []).append(at)
+                    made += [(digest, least, *p) for p in places.items()]
+                types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
 
     return segments.mapInArrow(run, schema)
@@ -159,13 +163,13 @@ def _hot_spans(cut: DataFrame, window: int) -> DataFrame:
     later = places.join(distinct.select("digest", "least"), "digest").filter("id > least").select("id", "row", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
     windows = _windows(distinct, window)
     earliest = windows.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("most")).filter("before < most")
-    lost = windows.join(earliest, "window").filter("before < least").select("digest", F.col("least").alias("id"), "at")
+    lost = windows.join(earliest, "window").filter("before < least").select("digest", F.col("least").alias("id"), F.explode("places").alias("at"))
     first = places.join(lost, ["digest", "id"]).select("id", "row", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + window).alias("end"))
     return later.union(first)
 
 
-def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """Of each segment: the runs [from, to) of its windows that also start in a segment with a smaller id."""
+def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to) of each run of a segment's windows that also start in a segment with a smaller id."""
     number: dict[bytes, int] = {}
     of = np.array([number.setdefault(s, len(number)) for s in segments], np.int64)
     least = np.full(len(number), np.iinfo(np.int64).max)
@@ -174,17 +178,22 @@ def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) ->
     texts = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in s.split(b" ")], np.int64) for s in number]
     index = FMIndex(texts, window)
     earliest = index.classes(least, window)
-    found: list[np.ndarray] = []
+    found = []
     for at in range(0, len(texts), STREAM):
-        block = texts[at : at + STREAM]
-        length, row = index.statistics(block)
-        smallest = np.where(length >= window, earliest[row], np.iinfo(np.int64).max)
-        found += np.split(smallest, np.cumsum([len(t) for t in block])[:-1])
-    out = []
-    for n, own in zip(of.tolist(), ids.tolist(), strict=True):
-        hit = np.flatnonzero(np.diff(np.concatenate([[False], found[n] < own, [False]])))
-        out.append(list(zip(hit[::2].tolist(), hit[1::2].tolist(), strict=True)))
-    return out
+        length, row = index.statistics(texts[at : at + STREAM])
+        found.append(np.where(length >= window, earliest[row], np.iinfo(np.int64).max))
+    smallest = np.concatenate(found)
+    # the words of all segments one after another, each with what its text's word has
+    sizes = np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    n = sizes[of]
+    first = np.cumsum(n) - n
+    segment = np.repeat(np.arange(len(of)), n)
+    place = np.arange(len(segment)) - first[segment]
+    hit = np.concatenate([[False], smallest[begin[of][segment] + place] < ids[segment], [False]])
+    start = np.flatnonzero(hit[1:-1] & (~hit[:-2] | (place == 0)))
+    end = np.flatnonzero(hit[1:-1] & (~hit[2:] | (place == n[segment] - 1)))
+    return segment[start], place[start], place[end] + 1
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
@@ -200,11 +209,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     def search(table: pa.Table) -> pa.Table:
         ids, first = (table.column(c).to_numpy() for c in ("id", "first"))
-        found = shard_spans(table.column("segment").to_pylist(), ids, window)
-        of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        start = np.array([s for x in found for s, _ in x], np.int32) + first[of]
-        end = np.array([e for x in found for _, e in x], np.int32) + first[of] + window - 1
-        columns = [pa.array(ids[of]), table.column("row").take(pa.array(of)).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+        of, start, end = shard_spans(table.column("segment").to_pylist(), ids, window)
+        ends = [pa.array((x + first[of]).astype(np.int32)) for x in (start, end + window - 1)]
+        columns = [pa.array(ids[of]), table.column("row").take(pa.array(of)).combine_chunks(), *ends]
         return pa.table(columns, names=spans.names)
 
     dealt = cut.filter("digest IS NULL").select("id", "row", "first", "segment", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
