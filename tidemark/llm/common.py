@@ -29,7 +29,7 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batch: pa.RecordBatch, column: str | int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about limit bytes of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first, held = 0, 0
@@ -50,8 +50,8 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, fields: T.StructT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "__text"):
-                made = fn(part.column("__text").to_pylist())
+            for part in steps(batch, len(keep)):
+                made = fn(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[made[f.name] for f in fields.fields]], names)
 
     return given.mapInArrow(run, schema)
