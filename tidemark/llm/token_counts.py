@@ -42,7 +42,7 @@ REMEMBERED = 600_000
 
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space to Unicode, or to Python, outside the six ASCII characters.
-_OTHER_SPACE = re.compile("[^ \t-\r\\S]|[\x1c-\x1f\x85\xa0᠎​⁠﻿]")
+_OTHER_SPACE = re.compile("[^ \t-\r\\S]|[\x1c-\x1f\x85\xa0\u180e\u200b\u2060\ufeff]")
 
 
 class Counter:
