@@ -183,6 +183,22 @@ def test_components_of_near_copies(spark):
     assert simhash.near_components(docs(spark, [])).count() == 0
 
 
+def test_each_component_keeps_one_row_whatever_its_id(spark):
+    rng = random.Random(6)
+    alone, shared, other, nulls = (" ".join(rng.choice("abcdefghijklm") for _ in range(400)) for _ in range(4))
+    near = shared + " a"  # one word more
+    assert (plain_print(near) ^ plain_print(shared)).bit_count() <= 3
+    far = [plain_print(t) for t in (alone, shared, other, nulls)]
+    assert all((a ^ b).bit_count() > 3 for a in far for b in far if a is not b)
+    # a unique text without an id; an id that wins one component and repeats on a copy in another; only null ids; whole rows that repeat
+    rows = [(None, alone), (1, shared), (2, near), (2, other), (None, nulls), (None, nulls), (None, other), (2, other)]
+    kept = simhash.near_dedup(docs(spark, rows))
+    assert found(kept, "doc_id", "text") == sorted([(None, alone), (1, shared), (2, other), (None, nulls)], key=str)
+    again = simhash.near_dedup(docs(spark, rows[::-1]))
+    assert found(again, "doc_id", "text") == found(kept, "doc_id", "text")
+    assert simhash.near_dedup(docs(spark, [])).count() == 0
+
+
 def test_large_buckets_give_the_same_links():
     rng = np.random.default_rng(2)
     members = np.unique((rng.integers(0, 1 << 12, 300) | (7 << 40)).astype(np.int64))
