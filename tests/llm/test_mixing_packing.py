@@ -126,3 +126,18 @@ def test_packing(spark):
             assert sorted(pieces[d]) == [(a, min(64, n - a)) for a in range(0, n, 64)]
     assert sum(1 for r in got if not r["length"]) == sum(1 for _, t, _ in rows if not (t or "").split())
     assert packing.packed(docs(spark, [])).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_are_dealt_over_groups(spark):
+    rows = [(None, "a b c", "s")] * 700 + [(5, "d " * 70, "s")] * 3 + [(i, "e f", "s") for i in range(300)]
+    got = packing.packed(docs(spark, rows), lengths=(16, 64, 32), group=40).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in got if r["doc_id"] == 5) == sorted([(5, 0, 2)] + [(5, 0, 64), (5, 64, 6)] * 3)
+    assert sum(1 for r in got if r["doc_id"] is None and r["length"] == 3) == 700
+    in_group, bins = {}, {}
+    for r in got:
+        name = r["bin_id"].split(":")[0]
+        in_group[name] = in_group.get(name, 0) + 1
+        bins.setdefault(r["bin_id"], []).append((r["bin_start"], r["length"], r["bin_used"]))
+    assert max(in_group.values()) < 120
+    for members in bins.values():
+        assert sum(n for _, n, _ in members) == members[0][2] and len({at for at, _, _ in members}) == len(members)

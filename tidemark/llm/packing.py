@@ -10,13 +10,14 @@ that holds its contents. A group leaves a few bins that are not full, whatever t
 of groups.
 
 Null and empty texts have one row of length 0 and no bin. Every row is packed for itself,
-also rows that repeat an id. Empty tables give empty results, and reruns agree.
+also rows that repeat an id; those that repeat id and text are dealt over the groups. Empty tables give empty results, and reruns agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,12 +99,18 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), words_in(F.col(f"`{text_col}`")).alias("__size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__hash"))
     rows = stored(rows, "lengths")
     groups = max(1, -(-rows.filter("__size > 0").count() // group))
-    rows = rows.withColumn("__group", F.pmod("__hash", F.lit(groups)))
+    # rows that repeat id and text are counted, and their number is dealt over the groups, from that of their hash on
+    counted = rows.filter("__size > 0").groupBy("__id", "__size", "__hash").agg(F.count(F.lit(1)).alias("__n"))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("__n"), F.lit(groups)) - 1)).alias("__step")
+    dealt = counted.select("*", step).withColumns(
+        {"__group": F.pmod(F.pmod("__hash", F.lit(groups)) + F.col("__step"), F.lit(groups)), "__n": F.expr(f"(__n - __step + {groups - 1}) div {groups}")}
+    )
     schema = T.StructType([T.StructField(id_col, rows.schema["__id"].dataType), *T.StructType.fromDDL(_OUT).fields])
     arrow = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("__size", "ascending"), ("__id", "ascending"), ("__hash", "ascending")])
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table.column("__n").to_numpy())))
         sizes, name = table.column("__size").to_pylist(), table.column("__group")[0].as_py()
         order = sorted((i for i, n in enumerate(sizes) if n % most), key=lambda i: -(sizes[i] % most))
         bins, ends = best_fit([sizes[i] % most for i in order], lengths, costs)
@@ -126,7 +133,7 @@ def packed(docs: DataFrame, lengths: Sequence[int] = LENGTHS, id_col: str = "doc
         ids = table.column("__id").take(pa.array(of, pa.int64()))
         return pa.table([ids, *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)]], names=schema.names)
 
-    some = rows.filter("__size > 0").groupBy("__group").applyInArrow(pack, schema)
+    some = dealt.groupBy("__group").applyInArrow(pack, schema)
     zero, none = F.lit(0).cast("long"), F.lit(None)
     empty = rows.filter("__size = 0").select(F.col("__id").alias(id_col), zero, zero, zero, none.cast("string"), none.cast("long"), none.cast("long"), none.cast("long"))
     return some.union(empty)
