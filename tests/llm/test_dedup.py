@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, fm_index, simhash, substring_dedup
 from tidemark.llm.words import LOWER, split_words, xxh64_ranges
@@ -42,6 +43,24 @@ def test_exact_groups(spark, salts):
     assert sorted((r["text"] or "" for r in kept.collect())) == sorted(groups)
 
 
+def test_texts_with_one_address_stay_apart(spark):
+    few = lambda text: {"__sha": F.substr(F.sha2(text, 256), F.lit(1), F.lit(1)), "__xx": F.lit(0).cast("long"), "__length": F.lit(0)}
+    rng = random.Random(9)
+    rows = [(i, f"text {rng.randint(0, 60)}") for i in range(300)]
+    columns = ("doc_id", "keep_id", "group_size", "kept")
+    got = exact_dedup.exact_groups(docs(spark, rows), address=few)
+    assert found(got, *columns) == found(exact_dedup.exact_groups(docs(spark, rows)), *columns)
+    with pytest.raises(ValueError):
+        exact_dedup.exact_groups(docs(spark, rows), salts=64)
+
+
+def test_columns_of_any_name_and_type(spark):
+    df = spark.sql("SELECT id AS doc_id, concat('t', id % 3) AS text, map('k', id) AS `a.b`, array(map(1, id)) AS __row, id AS __text FROM range(9)")
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.schema == df.schema or kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["a.b"]["k"], r["__text"]) for r in kept.collect()) == [(6, "t0", 6, 6), (7, "t1", 7, 7), (8, "t2", 8, 8)]
+
+
 def test_of_rows_that_repeat_an_id_one_stays(spark):
     rows = [(5, "a"), (5, "a"), (4, "a")]
     assert sum(r["kept"] for r in exact_dedup.exact_groups(docs(spark, rows)).collect()) == 1

@@ -29,6 +29,11 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those that hold maps count as text."""
+    return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def steps(batch: pa.RecordBatch, column: str | int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about limit bytes of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

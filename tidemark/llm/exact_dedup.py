@@ -1,91 +1,86 @@
 """Exact deduplication by salted combining, in DataFrame operations only.
 
 Texts are compared whole, without any normalisation; a null text counts as empty.
-Copies are combined three times: within each task (the partial aggregate), within
-each salt of a digest, and across the salts of a digest. Every one of these groups by
-the text itself beside its digest, so that texts with one digest stay apart. Digests are
-counted first, without texts: those that hold more than a 10,000th of all rows, of which
-there can't be more than 10,000, are dealt into salts; the others have one salt, so
-that the second step is their last and their texts are shuffled once.
+Copies are combined three times: within each task (the partial aggregate), within each
+salt of a digest, and across the salts of a digest. All texts take this way, and every
+step groups by the text itself beside its digest, so that texts with one digest stay apart.
+
+A row finds its winner again by its text's address (two unrelated digests and the length),
+which the combining has shown to name one text only; where an address names several,
+rows find theirs by the text.
 
 Of equal texts the row with the largest id stays; null ids lose to any other. Rows
 that repeat an id and a text count in group_size, and one of them stays. An empty
-table gives an empty result. Extra columns are not touched, whatever their names.
+table gives an empty result. Extra columns are not touched, whatever their names and types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_hash, stored
 
-#: Parts that the copies of a hot text are dealt into. At most 63, as they are bits of a long.
+#: Parts that the copies of a text are dealt into. At most 63, as they are bits of a long.
 SALTS = 32
-#: A digest is hot if it holds more than this part of all rows, and more than so many.
-HOT_SHARE, HOT_LEAST = 1 / 10_000, 32
 
-#: What tells a text in joins that don't carry it: two unrelated digests and its length.
 _ADDRESS = ["__sha", "__xx", "__length"]
 
 
-def _addressed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.withColumns({"__sha": F.sha2(text, 256), "__xx": F.xxhash64(text), "__length": F.octet_length(text)})
-
+def _address(text: Column) -> dict[str, Column]:
+    return {"__sha": F.sha2(text, 256), "__xx": F.xxhash64(text), "__length": F.octet_length(text)}
 
-def _hot(docs: DataFrame, text_col: str) -> DataFrame:
-    """Addresses of hot texts; no more than 1 / HOT_SHARE, whatever the rows."""
-    least = max(docs.count() * HOT_SHARE, HOT_LEAST)
-    counted = _addressed(docs, text_col).groupBy(*_ADDRESS).agg(F.count(F.lit(1)).alias("__n"))
-    return stored(counted.filter(F.col("__n") > least).drop("__n"), "hot")
 
+def _salt(key: Column, salts: int) -> Column:
+    if not 1 <= salts <= 63:
+        raise ValueError("salts must be from 1 to 63")
+    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
-def _salted(docs: DataFrame, hot: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
-    """Rows of docs as __id and __text, with their address, and __salt: 0 unless the text is hot."""
-    rows = _addressed(docs, text_col).select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), *_ADDRESS)
-    rows = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), _ADDRESS, "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    return rows.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("__id"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
 
+def _combined(rows: DataFrame) -> DataFrame:
+    """From (__id, __text, __salt, address): a row per distinct text with its address, __keep (largest id), __n (rows) and __salts (bits of those that have it)."""
+    by_salt = rows.groupBy("__salt", *_ADDRESS, "__text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
+    return by_salt.groupBy(*_ADDRESS, "__text").agg(F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"), F.expr("bit_or(shiftleft(1L, __salt))").alias("__salts"))
 
-def _winners(salted: DataFrame) -> DataFrame:
-    """A row per distinct text: its address, __keep (largest id), __n (rows) and __salts (bits of those that have it)."""
-    by_salt = salted.groupBy("__salt", "__hot", *_ADDRESS, "__text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
-    # a text that is not hot is whole by now: it needs no comparing, and its number keeps it apart
-    whole = F.when(~F.col("__hot"), F.struct("__keep", "__n"))
-    return by_salt.groupBy(*_ADDRESS, F.when(F.col("__hot"), F.col("__text")).alias("__text"), whole.alias("__whole")).agg(
-        F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"), F.expr("bit_or(shiftleft(1L, __salt))").alias("__salts")
-    ).drop("__text", "__whole")
 
+def _found(rows: DataFrame, winners: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """Each row with its winner. A winner goes to the salts that have its text, so that the join is dealt out as evenly as the combining was."""
+    dealt = winners.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (__salts & shiftleft(1L, s)) != 0)"))).drop("__salts")
+    again = Window.partitionBy("__salt", *on, "__id").orderBy("__keep")
+    joined = rows.join(dealt, ["__salt", *on])
+    kept = F.col("__id").eqNullSafe(F.col("__keep")) & (F.row_number().over(again) == 1)
+    return joined.select("__id", F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"), kept.alias("kept"), "__sha")
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """Per row of docs: id, keep_id, group_size, kept, text_sha256.
 
-    Each text's winner goes back to the salts that have the text, so that the join is dealt out as evenly as the combining was.
-    """
-    salted = _salted(docs, _hot(docs, text_col), id_col, text_col, salts)
-    found = _winners(salted)
-    found = found.withColumn("__salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (__salts & shiftleft(1L, s)) != 0)"))).drop("__salts")
-    rows = salted.drop("__text", "__hot")
-    again = Window.partitionBy("__salt", *_ADDRESS, "__id").orderBy("__keep")
-    return rows.join(found, ["__salt", *_ADDRESS]).select(
-        F.col("__id").alias(id_col),
-        F.col("__keep").alias("keep_id"),
-        F.col("__n").alias("group_size"),
-        (F.col("__id").eqNullSafe(F.col("__keep")) & (F.row_number().over(again) == 1)).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
-    )
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, address: Callable[[Column], dict[str, Column]] = _address) -> DataFrame:
+    """Per row of docs: id, keep_id, group_size, kept, text_sha256. address: the columns __sha, __xx and __length of a text."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__text")).withColumns(address(F.col("__text")) | {"__salt": _salt(F.col("__id"), salts)})
+    by_address = _combined(rows).groupBy(*_ADDRESS).agg(F.count(F.lit(1)).alias("__texts"), *[F.max(c).alias(c) for c in ("__keep", "__n", "__salts")])
+    winners = stored(by_address, "winners")
+    found = _found(rows.drop("__text"), winners.filter("__texts = 1").drop("__texts"), _ADDRESS, salts)
+    several = winners.filter("__texts > 1").select(*_ADDRESS)
+    if not several.isEmpty():
+        some = rows.join(several, _ADDRESS, "left_semi")
+        found = found.union(_found(some, _combined(some), [*_ADDRESS, "__text"], salts))
+    return found.withColumnsRenamed({"__id": id_col, "__sha": "text_sha256"})
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Of rows that repeat both id and text, the one with the smallest hash of the other columns stays.
+    Winners carry their rows through the combining, so that nothing is joined. Of rows that
+    repeat both id and text, the one with the smallest hash of its columns stays.
     """
-    keep = _winners(_salted(docs, _hot(docs, text_col), id_col, text_col, salts)).select(*_ADDRESS, "__keep")
-    rows = _addressed(docs, text_col).withColumn("__id", F.col(f"`{id_col}`"))
-    on = [rows[c] == keep[c] for c in _ADDRESS] + [rows["__id"].eqNullSafe(keep["__keep"])]
-    held = rows.join(keep, on, "left_semi")
-    rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    again = Window.partitionBy(*_ADDRESS, "__id").orderBy(rest)
-    return held.withColumn("__again", F.row_number().over(again)).filter("__again = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    rest = [c for c in docs.columns if c != text_col]
+    row = F.struct(own.isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    rows = docs.select(
+        F.coalesce(own, F.lit("")).alias("__text"), row.alias("__row"), F.struct(key.alias("id"), F.bitwise_not(row_hash(docs)).alias("rest")).alias("__order"), _salt(key, salts).alias("__salt")
+    ).withColumns(_address(F.col("__text")))
+    best = lambda: (F.max_by("__row", "__order").alias("__row"), F.max("__order").alias("__order"))
+    won = rows.groupBy("__salt", *_ADDRESS, "__text").agg(*best()).groupBy(*_ADDRESS, "__text").agg(*best())
+    place = {c: F.col(f"__row.c{i}") for i, c in enumerate(rest)} | {text_col: F.when(~F.col("__row.none"), F.col("__text"))}
+    return won.select(*[place[c].alias(c) for c in docs.columns])
