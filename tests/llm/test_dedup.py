@@ -107,9 +107,9 @@ def plain_removal(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("vocabulary, hot", [(3, 4096), (3, 2), (40, 4096), (40, 0)])
-def test_words_of_repeated_windows_go(spark, vocabulary, hot):
-    rng = random.Random(vocabulary + hot)
+@pytest.mark.parametrize("vocabulary, crowd", [(3, 4096), (3, 2), (40, 4096), (40, 0)])
+def test_words_of_repeated_windows_go(spark, vocabulary, crowd):
+    rng = random.Random(vocabulary + crowd)
     words = [f"w{i}é" for i in range(vocabulary)]
     passages = [[rng.choice(words) for _ in range(rng.randint(8, 25))] for _ in range(6)]
     rows = []
@@ -119,7 +119,7 @@ def test_words_of_repeated_windows_go(spark, vocabulary, hot):
             text += rng.choice(passages) if rng.random() < 0.6 else [rng.choice(words) for _ in range(rng.randint(0, 12))]
         rows.append((rng.choice([d, d, d, None]), rng.choice([" ", "\n\t "]).join(text)))
     rows += rows[:5] + [(3, None), (4, ""), (7, rows[9][1]), (70, "one " * 3000), (71, "one " * 2000)]
-    got = substring_dedup.without_repeats(docs(spark, rows), window=8, gram=3, hot=hot, shard=40, keep_text=True)
+    got = substring_dedup.without_repeats(docs(spark, rows), window=8, grams=(3, 5, 8), crowd=crowd, shard=40, keep_text=True)
     assert found(got, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(rows, 8)
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
 
@@ -133,22 +133,47 @@ def test_matching_statistics():
     for _ in range(60):
         sigma, cap = int(rng.integers(2, 6)), int(rng.choice([3, 8, 300]))
         texts = [rng.integers(1, sigma + 1, rng.integers(1, 30)) for _ in range(rng.integers(1, 12))]
-        index = fm_index.FMIndex(texts, cap)
+        owners = rng.integers(0, 5, len(texts))
+        index = fm_index.FMIndex(texts, owners, cap)
         queries = [rng.integers(0, sigma + 3, rng.integers(1, 25)) for _ in range(5)] + texts[:2]
-        known = {tuple(t[i:j]) for t in map(np.ndarray.tolist, texts) for i in range(len(t)) for j in range(i + 1, min(len(t), i + cap) + 1)}
-        length, row = index.statistics(queries)
-        at = 0
-        for q in map(np.ndarray.tolist, queries):
+        own = np.concatenate([rng.integers(0, 7, 5), owners[:2]])
+        length, at = index.statistics(queries, own), 0
+        for q, o in zip(map(np.ndarray.tolist, queries), own):
+            earlier = [t.tolist() for t, owner in zip(texts, owners) if owner < o]
+            known = {tuple(t[i:j]) for t in earlier for i in range(len(t)) for j in range(i + 1, min(len(t), i + cap) + 1)}
             for i in range(len(q)):
                 n = 0
                 while n < cap and i + n < len(q) and tuple(q[i : i + n + 1]) in known:
                     n += 1
                 assert length[at] == n
-                place = index.suffixes[row[at]]
-                assert n == 0 or index.text[place : place + n].tolist() == q[i : i + n]
                 at += 1
 
 
+def test_an_index_is_smaller_than_its_suffix_array():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(1, 5000, 70) for _ in range(2000)]
+    index = fm_index.FMIndex(texts, np.arange(2000), 50)
+    assert index.nbytes < 8 * index.rows + index.minima.nbytes
+
+
+def test_the_search_decides(spark, monkeypatch):
+    """Windows that no smaller document has stay because their statistic is less than a window."""
+    shared = [f"p{i}" for i in range(30)]
+    rows = [(d, " ".join([f"a{d}_{i}" for i in range(10)] + shared + [f"b{d}_{i}" for i in range(10)])) for d in range(6)]
+    run = lambda: found(substring_dedup.without_repeats(docs(spark, rows), window=12, grams=(4, 12)), "doc_id", "n_removed")
+    assert run() == [(0, 0)] + [(d, 30) for d in range(1, 6)]
+    segments = [r[1].encode() for r in rows]
+    assert [x.tolist() for x in substring_dedup.shard_spans(segments, np.arange(6), 12)] == [[1, 2, 3, 4, 5], [10] * 5, [29] * 5]
+    for constant in (0, 12):
+        monkeypatch.setattr(fm_index.FMIndex, "statistics", lambda self, queries, owners, n=constant: np.full(sum(map(len, queries)), n))
+        assert [x.tolist() for x in substring_dedup.shard_spans(segments, np.arange(6), 12)] != [[1, 2, 3, 4, 5], [10] * 5, [29] * 5]
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.without_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # --- SimHash
 
 

@@ -1,4 +1,9 @@
-"""An FM-index over the words of one shard: wavelet-matrix ranks, backward search, matching statistics.
+"""A compressed FM-index over the words of one shard: backward search in wavelet matrices, and matching statistics.
+
+What is kept of the sequences is the Burrows-Wheeler transform as a wavelet matrix (the
+bits of a symbol for each word), the owner of each row as another one, and the common
+prefix of neighbouring rows with its minima (two bytes a word). Sequences, suffix array
+and its inverse are dropped once the index is built.
 
 All steps work on arrays: many queries move one word to the left at a time.
 """
@@ -7,13 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 
-
 #: Word with the lowest n bits set.
 _BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletMatrix:
-    """Ranks over a sequence of symbols: a bit vector per bit of a symbol, 64 bits to a word with counts between."""
+    """Ranks and counts over a sequence of symbols: a bit vector per bit of a symbol, 64 bits to a word with counts between."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
@@ -30,143 +34,175 @@ class WaveletMatrix:
             self.counts.append(counts)
             self.zeros.append(np.int32(len(bit) - int(bit.sum())))
             held = np.concatenate([held[~bit], held[bit]])
-        self.start = self._down(np.arange(sigma), np.zeros(sigma, np.int32))
+        self.start = np.zeros(sigma, np.int32)
+        self.start = self.rank(np.arange(sigma), np.zeros(sigma, np.int32))
 
-    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            place = at >> 6
-            held = self.words[k][place] & _BELOW[at & 63]
-            ones = self.counts[k][place] + np.bitwise_count(held)
-            at = np.where(symbol & (1 << level), self.zeros[k] + ones, at - ones)
-        return at
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in [*self.words, *self.counts, self.start])
+
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        place = at >> 6
+        return self.counts[k][place] + np.bitwise_count(self.words[k][place] & _BELOW[at & 63])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol comes before each place."""
-        return self._down(symbol, at.astype(np.int32)) - self.start[symbol]
+        at = at.astype(np.int32)
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            ones = self._ones(k, at)
+            at = np.where(symbol & (1 << level), self.zeros[k] + ones, at - ones)
+        return at - self.start[symbol]
+
+    def below(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """How many symbols between low and high (not included) are less than each value."""
+        n, at = len(low), np.concatenate([low, high]).astype(np.int32)
+        total = np.zeros(n, np.int32)
+        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+            ones = self._ones(k, at)
+            none = at - ones
+            bit = (value & (1 << level)) != 0
+            total += np.where(bit, none[n:] - none[:n], 0)
+            at = np.where(np.concatenate([bit, bit]), self.zeros[k] + ones, none)
+        return total
 
 
 class FMIndex:
-    """Of sequences of symbols from 1 on. Symbol 0 parts them; no match crosses it. Matches are followed up to `cap` symbols."""
+    """Of sequences of symbols from 1 on, each with an owner (0 to owners - 1). No match crosses the end of a sequence.
 
-    def __init__(self, sequences: list[np.ndarray], cap: int):
+    Lengths are exact up to cap; a longer match counts as one of cap at least.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], owners: np.ndarray, cap: int):
         self.cap = cap
         sizes = np.array([len(s) + 1 for s in sequences], np.int64)
-        self.sequence = np.repeat(np.arange(len(sequences)), sizes)
         text = np.zeros(int(sizes.sum()) + 1, np.int64)
         ends = np.cumsum(sizes)
         inside = np.ones(len(text), bool)
         inside[ends - 1] = inside[-1] = False
         text[inside] = np.concatenate(sequences)
-        sigma = int(text.max()) + 2
+        self.sigma = sigma = int(text.max()) + 2
         text[-1] = sigma - 1  # comes once, so that all rotations differ
-        self.text, self.sigma = text, sigma
-        self.suffixes = self._sorted(text)
-        self.row_of = np.empty(len(text), np.int64)
-        self.row_of[self.suffixes] = np.arange(len(text))
-        self.last = text[self.suffixes - 1]  # the transform: what comes before each suffix
-        self.wavelet = WaveletMatrix(self.last, sigma)
+        self.rows = len(text)
+        suffixes, classes = self._sorted(text, sigma)
+        self.transform = WaveletMatrix(text[suffixes - 1], sigma)
         counts = np.bincount(text, minlength=sigma)
-        self.counts, self.before = counts, np.cumsum(counts) - counts
-        self._prefixes()
+        self.first = (np.cumsum(counts) - counts).astype(np.int32)
+        owner = np.append(np.repeat(owners, sizes), 0)
+        self.most = int(owner.max()) + 1  # more than any owner
+        self.owner = WaveletMatrix(owner[suffixes], self.most + 1)
+        to_end = np.append(np.repeat(ends, sizes) - 1 - np.arange(len(text) - 1), 0)
+        common = np.zeros(self.rows, np.int64)
+        above, below = suffixes[:-1], suffixes[1:]
+        at = np.zeros(self.rows - 1, np.int64)
+        for length, of in reversed(classes):
+            a, b = (np.minimum(x + at, self.rows - 1) for x in (above, below))
+            at += np.where(of[a] == of[b], length, 0)
+        common[1:] = np.minimum(np.minimum(at, cap), np.minimum(to_end[above], to_end[below]))
+        #: Common prefix of each row with the one before, as leaves of a heap of minima; what lies beyond the last row has none.
+        self.leaves = 1 << self.rows.bit_length()
+        self.minima = np.zeros(2 * self.leaves, np.min_scalar_type(cap))
+        self.minima[self.leaves : self.leaves + self.rows] = common
+        step = self.leaves
+        while step > 1:
+            half = step // 2
+            np.minimum(self.minima[step : 2 * step : 2], self.minima[step + 1 : 2 * step : 2], out=self.minima[half:step])
+            step = half
+
+    @property
+    def nbytes(self) -> int:
+        return self.transform.nbytes + self.owner.nbytes + self.minima.nbytes + self.first.nbytes
 
     @staticmethod
-    def _sorted(text: np.ndarray) -> np.ndarray:
-        """Suffixes in order, by doubling the prefix that is compared."""
-        rank, step = text, 1
+    def _sorted(text: np.ndarray, sigma: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffixes in order, by doubling the prefix that is compared; and per prefix length a number that equal prefixes share."""
+        length, bits = 1, sigma.bit_length()
+        classes = [(1, text)]
+        while 2 * length * bits < 63:  # as many words as fit into one number need no sorting
+            text = (text << (length * bits)) | np.roll(text, -length)
+            length *= 2
+            classes.append((length, text))
+        order = np.argsort(text)
         while True:
-            key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
-            order = np.argsort(key)
-            key = key[order]
-            new = np.empty(len(text), np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-            rank = new
-            if rank.max() == len(text) - 1:
-                return order
-            step *= 2
-
-    def _prefixes(self) -> None:
-        """Common prefix of each row with the one before, up to cap, and minima of it over powers of two."""
-        above, below = self.suffixes[:-1], self.suffixes[1:]
-        common = np.zeros(len(self.text), np.uint8 if self.cap < 256 else np.int64)
-        live = np.arange(len(below))
-        for d in range(self.cap):
-            a, b = above[live] + d, below[live] + d
-            ok = (a < len(self.text)) & (b < len(self.text))
-            live, a, b = live[ok], a[ok], b[ok]
-            live = live[(self.text[a] == self.text[b]) & (self.text[a] != 0)]
-            if not len(live):
-                break
-            common[live + 1] = d + 1
-        self.common = common
-        self.minima = [common]
-        while (1 << len(self.minima)) <= len(common):
-            half, held = 1 << (len(self.minima) - 1), self.minima[-1]
-            self.minima.append(np.minimum(held[:-half], held[half:]))
-
-    def _shared(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Common prefix of rows low < high: the least of what is between."""
-        out = np.empty(len(low), np.int64)
-        level = np.frompyfunc(int.bit_length, 1, 1)((high - low)).astype(np.int64) - 1 if len(low) else np.zeros(0, np.int64)
-        for k in np.unique(level):
-            i = np.flatnonzero(level == k)
-            out[i] = np.minimum(self.minima[k][low[i] + 1], self.minima[k][high[i] - (1 << int(k)) + 1])
-        return out
-
-    def step(self, symbol: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One word to the left: from a row that shares `length` symbols with the query to the best one of the longer query.
-
-        If no suffix with this word before it shares as much, the nearest ones above and below that have it do best.
-        """
-        n = self.counts[symbol]
-        rank = self.wavelet.rank(symbol, row)
-        first = self.before[symbol]
-        hit = self.last[row] == symbol
-        to = first + np.minimum(rank, np.maximum(n - 1, 0))
-        size = length.copy()
-        miss = np.flatnonzero(~hit & (n > 0))
-        if len(miss):
-            r, f, k = row[miss], first[miss], rank[miss]
-            up, down = np.zeros(len(miss), np.int64), np.zeros(len(miss), np.int64)
-            has = np.flatnonzero(k > 0)
-            up[has] = self._shared(self._next(f[has] + k[has] - 1), r[has])
-            below = np.flatnonzero(k < n[miss])
-            down[below] = self._shared(r[below], self._next(f[below] + k[below]))
-            choose = (k > 0) & ((up >= down) | (k == n[miss]))
-            to[miss] = np.where(choose, f + k - 1, np.minimum(f + k, f + n[miss] - 1))
-            size[miss] = np.minimum(size[miss], np.where(choose, up, down))
-        known = n > 0
-        return np.where(known, to, row), np.where(known, np.minimum(size + 1, self.cap), 0)
-
-    def _next(self, row: np.ndarray) -> np.ndarray:
-        """The row of the suffix without its first symbol."""
-        return self.row_of[(self.suffixes[row] + 1) % len(self.text)]
-
-    def statistics(self, queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For the queries one after another: at each word, how many words from there on occur in the index (cap at most), and a row where.
-
+            key = text[order]
+            number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            rank = np.empty(len(text), np.int64)
+            rank[order] = number
+            if number[-1] == len(text) - 1:
+                return order, classes
+            if classes[-1][0] == length:
+                classes[-1] = (length, rank)
+            else:
+                classes.append((length, rank))
+            text = rank * len(text) + np.roll(rank, -length)
+            length *= 2
+            order = np.argsort(text)
+
+    def _before(self, row: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The last row up to `row` whose common prefix is less than `least`."""
+        node, live = row.astype(np.int64) + self.leaves, np.arange(len(row))
+        while len(live := live[self.minima[node[live]] >= least[live]]):
+            up = node[live]
+            node[live] = up // (up & -up) - 1
+        while len(live := np.flatnonzero(node < self.leaves)):
+            child = 2 * node[live] + 1
+            node[live] = child - (self.minima[child] >= least[live])
+        return node - self.leaves
+
+    def _after(self, row: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The first row from `row` on whose common prefix is less than `least`."""
+        node, live = row.astype(np.int64) + self.leaves, np.arange(len(row))
+        while len(live := live[self.minima[node[live]] >= least[live]]):
+            up = node[live] + 1
+            node[live] = up // (up & -up)
+        while len(live := np.flatnonzero(node < self.leaves)):
+            child = 2 * node[live]
+            node[live] = child + (self.minima[child] >= least[live])
+        return node - self.leaves
+
+    def _widened(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The smallest interval of rows around each given one that share a shorter prefix, and that prefix's length."""
+        size = np.maximum(self.minima[self.leaves + low], self.minima[self.leaves + high]).astype(np.int64)
+        some = np.flatnonzero(size)
+        wide_low, wide_high = np.zeros(len(low), np.int64), np.full(len(low), self.rows, np.int64)
+        wide_low[some] = self._before(low[some], size[some])
+        wide_high[some] = self._after(high[some], size[some])
+        return wide_low, wide_high, size
+
+    def statistics(self, queries: list[np.ndarray], owners: np.ndarray) -> np.ndarray:
+        """For the queries one after another: at each word, how many words from there on occur in sequences of a lesser owner than the query's (cap at most).
+
+        A query moves to the left by backward search, as long as the interval of rows
+        holds a lesser owner; if not, the interval is widened to a shorter prefix first.
         Words that the index doesn't have are symbol 0 or beyond its symbols.
         """
         sizes = np.array([len(q) for q in queries], np.int64)
         offsets = np.cumsum(sizes) - sizes
         flat = np.concatenate(queries) if queries else np.zeros(0, np.int64)
-        flat = np.where((flat > 0) & (flat < self.sigma - 1), flat, -1)
-        length, rows = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        flat = np.where((flat > 0) & (flat < self.sigma - 1), flat, 0)
+        owners = np.minimum(owners, self.most)
+        length = np.zeros(len(flat), np.int64)
         order = np.argsort(-sizes, kind="stable")
-        row, size = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
-        longest = int(sizes.max()) if len(sizes) else 0
-        for back in range(1, longest + 1):
+        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), self.rows, np.int64)
+        size = np.zeros(len(queries), np.int64)
+        for back in range(1, int(sizes.max(initial=0)) + 1):
             live = order[: np.searchsorted(-sizes[order], -back, "right")]
             at = offsets[live] + sizes[live] - back
             symbol = flat[at]
-            known = symbol >= 0
-            go = live[known]
-            row[go], size[go] = self.step(symbol[known], row[go], size[go])
-            size[live[~known]] = 0
-            length[at], rows[at] = size[live], row[live]
-        return length, rows
-
-    def classes(self, values: np.ndarray, length: int) -> np.ndarray:
-        """Per row: the least value of a sequence in which the row's first `length` symbols occur."""
-        start = np.flatnonzero(self.common < length)
-        of = np.append(values, np.iinfo(np.int64).max)[np.append(self.sequence, len(values))[self.suffixes]]
-        return np.repeat(np.minimum.reduceat(of, start), np.diff(np.append(start, len(of))))
+            unknown = live[symbol == 0]
+            low[unknown], high[unknown], size[unknown] = 0, self.rows, 0
+            todo, symbol = live[symbol > 0], symbol[symbol > 0]
+            while len(todo):
+                n = len(todo)
+                both = self.transform.rank(np.concatenate([symbol, symbol]), np.concatenate([low[todo], high[todo]]))
+                a, b = self.first[symbol] + both[:n], self.first[symbol] + both[n:]
+                ok = b > a
+                some = np.flatnonzero(ok)
+                ok[some] = self.owner.below(a[some], b[some], owners[todo[some]]) > 0
+                on = todo[ok]
+                low[on], high[on] = a[ok], b[ok]
+                size[on] += 1
+                go = ~ok & (size[todo] > 0)
+                todo, symbol = todo[go], symbol[go]
+                low[todo], high[todo], size[todo] = self._widened(low[todo], high[todo])
+            length[at] = np.minimum(size[live], self.cap)
+        return length

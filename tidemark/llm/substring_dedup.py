@@ -1,38 +1,37 @@
-"""Removal of repeated passages: an FM-index per shard, and matching statistics of streamed segments.
+"""Removal of repeated passages: a compressed FM-index per shard, and matching statistics of streamed segments.
 
 A window is WINDOW words in a row. Each word of a document goes that is covered by a
 window whose words also start somewhere in a document with a smaller id.
 
-1. Every window picks an anchor: of its GRAM-word groups the one with the least
+1. Every window picks an anchor: of its groups of GRAMS[0] words the one with the least
    hash, the leftmost of equal ones. Equal windows pick equal anchors, and windows in a row mostly
-   share theirs, so that a document has an anchor for every 20 words or so.
-2. Anchors that occur in one document only can't be part of a repeat; the documents
-   that hold others are cut into segments, one for each run of windows of such an anchor.
-3. Segments are dealt into shards by their anchor. Of each shard's distinct segments an
-   FM-index is built, and the segments are streamed against it by backward search: the
-   matching statistics tell where at least WINDOW words occur, and the interval of rows that
-   share them tells the smallest document that has them.
-4. A segment's words in windows that an earlier document has are its spans, and documents
-   lose the words of their spans.
-
-A shard's size is bounded: an anchor with more than HOT occurrences (a passage that
-a great part of all documents share) doesn't go to a shard. Its equal segments combine
-before they are shuffled: all but the first document lose such a segment whole. Only the windows of
-distinct segments are then grouped, by 128-bit digest, for what the first documents lose.
-
-Ids are integers. Null texts have no words; a null id has no smaller one and is smaller than
-none, so its words stay. Rows that repeat an id and a text get equal results; rows that
+   share theirs, so that a document has an anchor for every 20 words or so. A segment is a
+   run of windows of one anchor. Anchors are a filter only: what occurs in one document
+   alone needs no search, and windows that could be equal come to one shard.
+2. Equal segments combine, by a 128-bit digest; only the document with the smallest id
+   keeps its one. Distinct segments are dealt into shards by their anchor.
+3. Of each shard's segments an FM-index is built, each segment owned by its document, and all of them are streamed
+   against it. Backward search goes on as long as the interval of rows holds a document with a smaller
+   id, and widens the interval where it doesn't: the matching statistics of a segment
+   against earlier documents. A window is a repeat if and only if its statistic reaches WINDOW.
+4. Repeats are a segment's spans, and documents lose the words of their spans.
+
+An anchor with more than CROWD distinct segments (what stands beside a passage that a great part of
+all documents share) would not fit a shard. Its segments are cut again by longer groups of words, the
+next of GRAMS, and go the same way, until an anchor is a whole window, which has few distinct segments.
+
+Ids are integers; others are refused. Null texts have no words; a null id has no smaller one and is
+smaller than none, so its words stay. Rows that repeat an id and a text get equal results; rows that
 repeat an id are one document with several texts. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +41,10 @@ from .common import map_texts, steps, stored
 from .fm_index import FMIndex
 from .words import split_words, xxh64_ranges
 
-#: Words of a window, and of the groups that anchors are chosen from.
-WINDOW, GRAM = 50, 12
-#: Occurrences of an anchor up to which its segments go to one shard.
-HOT = 4_096
+#: Words of a window, and of the groups that anchors are chosen from, the last of which is a window.
+WINDOW, GRAMS = 50, (12, 25, 50)
+#: Distinct segments of an anchor up to which they go to one shard.
+CROWD = 2_048
 #: Windows of a segment, at most.
 LONGEST = 256
 #: Segments of a shard on average, and queries that are streamed at a time.
@@ -56,13 +55,13 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors_of(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first window, number of windows) of each run of windows with one anchor."""
+def segments_of(texts: list[str | bytes | None], window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, first window, number of windows, 16 bytes of digest) of each run of windows with one anchor."""
     words = split_words(texts)
     none = np.zeros(0, np.int64)
     n = len(words.starts)
     if n < window:
-        return none, none, none, none
+        return none, none, none, none, none
     hashed = xxh64_ranges(words.buffer, words.starts, words.ends)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(n, _BASE))
@@ -77,7 +76,7 @@ def anchors_of(texts: list[str | None], window: int = WINDOW, gram: int = GRAM)
     text = np.repeat(np.arange(len(texts)), sizes)[: n - window + 1]
     start = np.flatnonzero(words.first[1:][text] - np.arange(n - window + 1) >= window)
     if not len(start):
-        return none, none, none, none
+        return none, none, none, none, none
     place, text = place[start], text[start]
     anchor = grams[place]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
@@ -85,146 +84,135 @@ def anchors_of(texts: list[str | None], window: int = WINDOW, gram: int = GRAM)
     # long runs, as of one word over and over, are cut; their parts have one anchor still
     run = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
     first = np.flatnonzero(run % LONGEST == 0)
-    return text[first], anchor[first].view(np.int64), start[first] - words.first[:-1][text[first]], np.diff(np.append(first, len(start)))
+    length = np.diff(np.append(first, len(start)))
+    begin = start[first]
+    view = memoryview(np.ascontiguousarray(words.buffer))
+    cuts = zip(words.starts[begin].tolist(), words.ends[begin + length + window - 2].tolist(), strict=True)
+    digest = [hashlib.blake2b(view[s:e], digest_size=16).digest() for s, e in cuts]
+    return text[first], anchor[first].view(np.int64), begin - words.first[:-1][text[first]], length, digest
 
 
-def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    fields = T.StructType.fromDDL("found array<struct<anchor:bigint,first:int,n:int>>")
+_SEGMENT = "anchor bigint,first int,n int,digest binary"
 
-    def run(texts: list[str | None]) -> dict[str, pa.Array]:
-        text, anchor, first, n = anchors_of(texts, window, gram)
-        cuts = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
-        rows = pa.StructArray.from_arrays([pa.array(anchor), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "first", "n"])
-        return {"found": pa.ListArray.from_arrays(cuts, rows)}
 
-    # stored, as they are counted first and looked at again then
-    return stored(map_texts(docs, ["id", "row"], "text", fields, run), "anchors").select("id", "row", F.inline("found"))
+def _listed(texts: list[str | bytes | None], window: int, gram: int) -> pa.Array:
+    """The segments of each text."""
+    text, anchor, first, n, digest = segments_of(texts, window, gram)
+    cuts = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+    columns = [pa.array(anchor), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(list(digest), pa.binary())]
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(columns, ["anchor", "first", "n", "digest"]))
+
+
+def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """From (id, holder, text): a row per segment with id, holder, anchor, first (its place in the text), n (its windows) and digest."""
+    fields = T.StructType.fromDDL(f"found array<struct<{_SEGMENT.replace(' ', ':').replace(',', ', ')}>>")
+    return stored(map_texts(docs, ["id", "holder"], "text", fields, lambda texts: {"found": _listed(texts, window, gram)}), "anchors").select("id", "holder", F.inline("found"))
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
-    """id, row and the text as zstd: what is shuffled of a text is a third of it."""
+    """id, holder and the text as zstd: what is shuffled of a text is a third of it."""
     fields = T.StructType([T.StructField("packed", T.BinaryType())])
 
-    def run(texts: list[str | None]) -> dict[str, pa.Array]:
+    def run(texts: list[str | bytes | None]) -> dict[str, pa.Array]:
         pack = zstandard.ZstdCompressor(1).compress
-        return {"packed": pa.array([pack((t or "").encode()) for t in texts], pa.binary())}
+        return {"packed": pa.array([pack(t if isinstance(t, bytes) else (t or "").encode()) for t in texts], pa.binary())}
 
-    return map_texts(docs, ["id", "row"], "text", fields, run)
+    return map_texts(docs, ["id", "holder"], "text", fields, run)
 
 
 def _unpacked(packed: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(packed).split()
 
 
-def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """From (id, row, packed, runs): a row per segment; first: its place in the document, n: its windows; digest: of a hot anchor's segment."""
-    schema = T.StructType.fromDDL("id bigint, row bigint, first int, n int, anchor bigint, segment binary, digest binary")
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+def _cut(docs: DataFrame, window: int) -> DataFrame:
+    """From (id, packed, runs): the words of each run as a row with id, anchor, digest, crowded, segment."""
+    schema = T.StructType.fromDDL("id bigint, anchor bigint, digest binary, crowded boolean, segment binary")
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "packed", 1 << 19):
                 made: list[tuple] = []
-                for key, row, packed, runs in zip(*(part.column(c).to_pylist() for c in ("id", "row", "packed", "runs")), strict=True):
+                for key, packed, runs in zip(*(part.column(c).to_pylist() for c in ("id", "packed", "runs")), strict=True):
                     words = _unpacked(packed)
-                    for r in runs:
-                        segment = b" ".join(words[r["first"] : r["first"] + r["n"] + window - 1])
-                        made.append((key, row, r["first"], r["n"], r["anchor"], segment, xxhash.xxh3_128_digest(segment) if r["hot"] else None))
+                    made += [(key, r["anchor"], r["digest"], r["crowded"], b" ".join(words[r["first"] : r["first"] + r["n"] + window - 1])) for r in runs]
                 columns = zip(*made, strict=True) if made else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _windows(segments: DataFrame, window: int) -> DataFrame:
-    """From (digest, segment, least): digest and least with each different window's digest and its places in the segment."""
-    schema = T.StructType.fromDDL("digest binary, least bigint, window binary, places array<int>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, "segment", 1 << 17):
-                made = []
-                for digest, segment, least in zip(*(part.column(c).to_pylist() for c in ("digest", "segment", "least")), strict=True):
-                    words = segment.split(b" ")
-                    places: dict[bytes, list[int]] = {}
-                    for at in range(len(words) - window + 1):
-                        places.setdefault(xxhash.xxh3_128_digest(b" ".join(words[at : at + window])), []).append(at)
-                    made += [(digest, least, *p) for p in places.items()]
-                types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], schema.names)
-
-    return segments.mapInArrow(run, schema)
-
-
-def _hot_spans(cut: DataFrame, window: int) -> DataFrame:
-    """Spans (id, row, start, end) of the segments of hot anchors."""
-    distinct = cut.groupBy("digest", "segment").agg(F.min("id").alias("least"))
-    places = cut.select("id", "row", "first", "n", "digest")
-    later = places.join(distinct.select("digest", "least"), "digest").filter("id > least").select("id", "row", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
-    windows = _windows(distinct, window)
-    earliest = windows.groupBy("window").agg(F.min("least").alias("before"), F.max("least").alias("most")).filter("before < most")
-    lost = windows.join(earliest, "window").filter("before < least").select("digest", F.col("least").alias("id"), F.explode("places").alias("at"))
-    first = places.join(lost, ["digest", "id"]).select("id", "row", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + window).alias("end"))
-    return later.union(first)
-
-
 def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, from, to) of each run of a segment's windows that also start in a segment with a smaller id."""
-    number: dict[bytes, int] = {}
-    of = np.array([number.setdefault(s, len(number)) for s in segments], np.int64)
-    least = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(least, of, ids)
+    owners = np.unique(ids, return_inverse=True)[1]
     symbols: dict[bytes, int] = {}
-    texts = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in s.split(b" ")], np.int64) for s in number]
-    index = FMIndex(texts, window)
-    earliest = index.classes(least, window)
-    found = []
-    for at in range(0, len(texts), STREAM):
-        length, row = index.statistics(texts[at : at + STREAM])
-        found.append(np.where(length >= window, earliest[row], np.iinfo(np.int64).max))
-    smallest = np.concatenate(found)
-    # the words of all segments one after another, each with what its text's word has
+    texts = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in s.split(b" ")], np.int64) for s in segments]
+    index = FMIndex(texts, owners, window)
+    length = np.concatenate([index.statistics(texts[at : at + STREAM], owners[at : at + STREAM]) for at in range(0, len(texts), STREAM)])
     sizes = np.array([len(t) for t in texts])
-    begin = np.cumsum(sizes) - sizes
-    n = sizes[of]
-    first = np.cumsum(n) - n
-    segment = np.repeat(np.arange(len(of)), n)
-    place = np.arange(len(segment)) - first[segment]
-    hit = np.concatenate([[False], smallest[begin[of][segment] + place] < ids[segment], [False]])
+    segment = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hit = np.concatenate([[False], length >= window, [False]])
     start = np.flatnonzero(hit[1:-1] & (~hit[:-2] | (place == 0)))
-    end = np.flatnonzero(hit[1:-1] & (~hit[2:] | (place == n[segment] - 1)))
+    end = np.flatnonzero(hit[1:-1] & (~hit[2:] | (place == sizes[segment] - 1)))
     return segment[start], place[start], place[end] + 1
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """From (id, row, text): id, row and spans, the word ranges [from, to) that repeat windows of smaller ids. Only documents that have any."""
-    anchors = _anchors(docs.filter("id IS NOT NULL"), window, gram)
-    stats = anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("seen"))
-    shared = stats.filter("least < most").select("anchor", (F.col("seen") > hot).alias("hot"))
-    runs = anchors.join(shared, "anchor").groupBy("id", "row").agg(F.collect_set(F.struct("first", "n", "anchor", "hot")).alias("runs"))
-    cut = stored(_segments(_compressed(docs).join(runs, ["id", "row"]), window), "segments")
-
-    shards = max(1, -(-cut.filter("digest IS NULL").count() // shard))
-    spans = T.StructType.fromDDL("id bigint, row bigint, start int, end int")
+def _searched(cut: DataFrame, window: int, shard: int) -> DataFrame:
+    """From (digest, id, anchor, segment): the spans (digest, id, start, end) of words that repeat smaller ids, by a search in each shard."""
+    shards = max(1, -(-cut.count() // shard))
+    spans = T.StructType.fromDDL("digest binary, id bigint, start int, end int")
 
     def search(table: pa.Table) -> pa.Table:
-        ids, first = (table.column(c).to_numpy() for c in ("id", "first"))
-        of, start, end = shard_spans(table.column("segment").to_pylist(), ids, window)
-        ends = [pa.array((x + first[of]).astype(np.int32)) for x in (start, end + window - 1)]
-        columns = [pa.array(ids[of]), table.column("row").take(pa.array(of)).combine_chunks(), *ends]
-        return pa.table(columns, names=spans.names)
-
-    dealt = cut.filter("digest IS NULL").select("id", "row", "first", "segment", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInArrow(search, spans).union(_hot_spans(cut.filter("digest IS NOT NULL"), window))
-    return found.groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, **how: int) -> DataFrame:
+        of, start, end = shard_spans(table.column("segment").to_pylist(), table.column("id").to_numpy(), window)
+        ends = [pa.array(x.astype(np.int32)) for x in (start, end + window - 1)]
+        return pa.table([*[table.column(c).take(pa.array(of)).combine_chunks() for c in ("digest", "id")], *ends], names=spans.names)
+
+    dealt = cut.select("digest", "id", "segment", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(search, spans)
+
+
+def _spans(docs: DataFrame, window: int, grams: Sequence[int], crowd: int, shard: int) -> DataFrame:
+    """From (id, holder, text): id, holder and the word range [start, end) of each run of windows that smaller ids have."""
+    found = _segments(docs, window, grams[0])
+    shared = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("anchor")
+    held = stored(found.join(shared, "anchor", "left_semi"), "shared")
+    distinct = held.groupBy("digest").agg(F.min(F.struct("id", "holder", "first", "n", "anchor")).alias("s")).select("digest", "s.*")
+    distinct = stored(distinct, "distinct")
+    least = distinct.select("digest", F.col("id").alias("least"))
+    copies = held.join(least, "digest").filter("id > least").select("id", "holder", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
+
+    seen = distinct.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("seen"))
+    crowded = (F.col("seen") > crowd) & F.lit(len(grams) > 1)
+    wanted = distinct.join(seen.filter("least < most").select("anchor", crowded.alias("crowded")), "anchor")
+    runs = wanted.groupBy("id", "holder").agg(F.collect_list(F.struct("first", "n", "anchor", "digest", "crowded")).alias("runs"))
+    # rows that repeat an id and a text give their segments once
+    once = _compressed(docs).join(runs, ["id", "holder"]).groupBy("id", "holder").agg(F.first("packed").alias("packed"), F.first("runs").alias("runs"))
+    cut = stored(_cut(once, window), "segments")
+    inner = _searched(cut.filter("NOT crowded"), window, shard)
+    if len(grams) > 1 and not cut.filter("crowded").isEmpty():
+        again = cut.filter("crowded").select("id", F.col("digest").alias("holder"), F.col("segment").alias("text"))
+        inner = inner.union(_spans(again, window, grams[1:], crowd, shard).select(F.col("holder").alias("digest"), "id", "start", "end"))
+    places = held.select("id", "holder", "first", "digest")
+    first = places.join(inner, ["digest", "id"]).select("id", "holder", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
+    return copies.union(first)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, grams: Sequence[int] = GRAMS, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
+    """From (id, holder, text): id, holder and spans, the word ranges [start, end) that repeat windows of smaller ids. Only documents that have any."""
+    if grams[-1] != window:
+        raise ValueError("the last of grams must be a window")
+    return _spans(docs.filter("id IS NOT NULL"), window, grams, crowd, shard).groupBy("id", "holder").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, **how) -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space), spans; with keep_text also kept_text."""
+    if not isinstance(docs.select(F.col(f"`{id_col}`")).schema[0].dataType, T.IntegralType):
+        raise ValueError("ids must be integers")
     key = F.col(f"`{id_col}`").cast("long")
-    rows = docs.select(key.alias("id"), F.xxhash64(key, F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(key.alias("id"), F.xxhash64(key, F.col(f"`{text_col}`")).alias("holder"), F.col(f"`{text_col}`").alias("text"))
     spans = repeated_spans(rows, window, **how)
-    joined = _compressed(rows).join(spans, ["id", "row"], "left")
+    joined = _compressed(rows).join(spans, ["id", "holder"], "left")
     extra = [("kept_text", pa.string())] if keep_text else []
     schema = T.StructType.fromDDL(f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept_text string" * keep_text)
 

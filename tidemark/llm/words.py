@@ -26,9 +26,9 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def split_words(texts: list[str | None], table: bytes | None = None) -> Words:
-    """table translates bytes beforehand; null texts have no words."""
-    raw = [(t or "").encode() for t in texts]
+def split_words(texts: list[str | bytes | None], table: bytes | None = None) -> Words:
+    """Texts may be UTF-8 bytes. table translates bytes beforehand; null texts have no words."""
+    raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     joined = b"\n".join(raw) + b"\n"
     if table is not None:
         joined = joined.translate(table)
