@@ -243,19 +243,37 @@ def test_each_component_keeps_one_row_whatever_its_id(spark):
     assert simhash.near_dedup(docs(spark, [])).count() == 0
 
 
-def test_large_buckets_give_the_same_links():
-    rng = np.random.default_rng(2)
-    members = np.unique((rng.integers(0, 1 << 12, 300) | (7 << 40)).astype(np.int64))
-    probes = np.unique((rng.integers(0, 1 << 12, 40) | (5 << 40)).astype(np.int64))
-
-    def classes(a, b):
-        label = {x: x for x in [*members.tolist(), *probes.tolist()]}
-        for x, y in zip(a.tolist(), b.tolist()):
-            old, new = label[x], label[y]
-            label = {k: new if v == old else v for k, v in label.items()}
-        groups = defaultdict(set)
-        for k, v in label.items():
-            groups[v].add(k)
-        return sorted(map(sorted, groups.values()))
-
-    assert classes(*simhash.bucket_links(members, probes)) == classes(*simhash.bucket_links(members, probes, dense=0))
+def linked_classes(links):
+    label = {}
+
+    def top(x):
+        while label.setdefault(x, x) != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in links:
+        label[top(a)] = top(b)
+    return top
+
+
+@pytest.mark.parametrize("part", [1, 8, 2048])
+def test_split_buckets_give_the_same_links(spark, part):
+    rng = np.random.default_rng(part)
+    prints = np.unique(np.concatenate([rng.integers(0, 1 << 11, 300) | (7 << 40), rng.integers(0, 1 << 11, 60) | (5 << 40), rng.integers(-(1 << 62), 1 << 62, 50)]).astype(np.int64))
+    links = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(x,) for x in prints.tolist()], "fp long"), part).collect()]
+    top = linked_classes(links)
+    want = linked_classes((a, b) for a in prints.tolist() for b in prints.tolist() if ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    for a, b in zip(prints.tolist(), prints.tolist()[1:]):
+        assert (top(a) == top(b)) == (want(a) == want(b))
+    assert len({(top(x), want(x)) for x in prints.tolist()}) == len({want(x) for x in prints.tolist()})
+
+
+def test_a_segment_that_300000_fingerprints_share(spark):
+    low = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    prints = spark.range(300_000).select(low.bitwiseOR(F.lit(9 << 32)).alias("fp")).distinct()
+    top = linked_classes(tuple(r) for r in simhash.near_links(prints).collect())
+    every = np.array([r["fp"] for r in prints.collect()])
+    for x in every[:200]:
+        near = every[np.bitwise_count((every ^ x).view(np.uint64)) <= 3]
+        assert {top(y) for y in near.tolist()} == {top(int(x))}
