@@ -1,18 +1,27 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's terms are its words (A-Z lower-cased, ASCII punctuation counted as space) and
-the first 4 and 5 bytes of longer ones, so that inflected forms share evidence. Terms are
-hashed to 2^18 places; a place counts once per text. The score is the logistic function of
+A text's terms are its words (A-Z lower-cased, ASCII punctuation counted as space) and,
+as further terms of their own, the first 4 and the first 5 bytes of longer words, so that inflected
+forms share evidence. Terms are hashed to 2^18 places, all of which the model knows; a place
+counts once per text. The score is the logistic function of
 
-    w0 + sum w_i + sum_{i<j} <v_i, v_j>
+    w0 + sum w_i + (sum_{i<j} <v_i, v_j>) / sum s_i^2
 
 over the places that the text holds: the second sum learns pairs, which weights that only
-add up miss. The model is fitted on a bounded sample of the labelled rows (TRAIN_ROWS),
-on the FEATURES places that tell the classes apart best in it, and the
-fitted model (at most FEATURES x (1 + FACTORS) numbers) goes to all tasks. Every whole
-text is scored.
+add up miss. s_i, the support of a place, is n / (n + SUPPORT) for one that n texts of the
+sample hold; dividing by it keeps the pairs of long texts in proportion to those of short ones.
 
-Null and empty texts score like a text without known terms; labels that are null, that
+Most terms are rare, and each would remember its own text. So a weight counts in
+proportion to the place's evidence (z^2 / (z^2 + EVIDENCE), z the standardised surplus of
+toxic texts), and factors in proportion to its support alone, as terms that only matter together
+have no evidence by themselves. No place is left out. Weights are fitted alone in the first
+ALONE epochs, then factors too.
+
+The model is fitted on a bounded sample of the labelled rows: those with the smallest
+hash of their id, TRAIN_ROWS and TRAIN_TERMS at most. The fitted model (a few numbers
+for each of 2^18 places) goes to all tasks. Every whole text is scored.
+
+Null and empty texts score like a text without terms; labels that are null, that
 contradict each other (the higher one counts) or that have no document are harmless, and
 without any usable label of both classes all scores are the rate of the label seen (0 if
 none). Repeated rows get equal scores. The fit is deterministic.
@@ -21,24 +30,22 @@ none). Repeated rows get equal scores. The fit is deterministic.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, stored
 from .words import LOWER, split_words, xxh64_ranges
 
-#: Labelled rows that the model is fitted on, at most.
-TRAIN_ROWS = 20_000
-#: Places that the model has weights for, at most, and the chi-square from which one is taken.
-FEATURES, LEAST_CHI = 4_096, 12.0
-PLACES, FACTORS, EPOCHS, RATE, DECAY = 1 << 18, 4, 25, 0.5, 1e-5
+#: Labelled rows that the model is fitted on, and their terms in total, at most.
+TRAIN_ROWS, TRAIN_TERMS = 20_000, 8_000_000
+PLACES, FACTORS, SUPPORT, EVIDENCE = 1 << 18, 4, 50.0, 20.0
+EPOCHS, ALONE, BATCH, RATE, DECAY = 16, 5, 128, 0.3, 1e-4
 #: Share of a text's terms that a step of the fit sees, drawn anew each time: one telling term has to do without the others.
 HELD = 0.8
 
@@ -47,14 +54,16 @@ _TABLE = bytes(32 if c in _PUNCTUATION else LOWER[c] for c in range(256))
 
 
 class Model(NamedTuple):
-    places: np.ndarray  # sorted
+    """Of each place: weight, factors and support."""
+
     w0: float
     w: np.ndarray
     v: np.ndarray
+    support: np.ndarray
 
 
-def terms_of(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of every place that a text holds, once each, sorted; known: a table of the places that matter."""
+def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of every place that a text holds, once each, sorted."""
     words = split_words(texts, _TABLE)
     text = np.repeat(np.arange(len(texts)), np.diff(words.first))
     size = words.ends - words.starts
@@ -63,66 +72,84 @@ def terms_of(texts: list[str | None], known: np.ndarray | None = None) -> tuple[
         rows = slice(None) if cut is None else np.flatnonzero(size > cut)
         starts = words.starts[rows]
         ends = words.ends[rows] if cut is None else starts + cut
-        place = (xxh64_ranges(words.buffer, starts, ends, seed) % PLACES).astype(np.int64)
-        of = text[rows]
-        if known is not None:
-            has = known[place]
-            place, of = place[has], of[has]
-        found.append(of * PLACES + place)
+        found.append(text[rows] * PLACES + (xxh64_ranges(words.buffer, starts, ends, seed) % PLACES).astype(np.int64))
     return np.divmod(np.unique(np.concatenate(found)), PLACES)
 
 
-def telling(seen: np.ndarray, toxic: np.ndarray, rows: int, rate: float, features: int = FEATURES) -> np.ndarray:
-    """Of all places, by the texts and the toxic texts that hold each: those with the largest chi-square, sorted."""
-    expected = seen * rate
-    chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - seen / max(rows, 1)), 1e-9) * ((seen >= 3) & (seen < rows))
-    best = np.argsort(-chi, kind="stable")[:features]
-    return np.sort(best[chi[best] >= LEAST_CHI])
+class _Batch(NamedTuple):
+    """Texts of a step: their terms as indices into `places`, sorted by text; by_place sorts them by place, whose terms start at cuts."""
+
+    rows: np.ndarray
+    own: np.ndarray
+    places: np.ndarray
+    index: np.ndarray
+    by_place: np.ndarray
+    cuts: np.ndarray
+    unit: np.ndarray
+
 
+def _batches(start: np.ndarray, place: np.ndarray, support: np.ndarray, order: np.ndarray) -> list[_Batch]:
+    made = []
+    for at in range(0, len(order), BATCH):
+        rows = order[at : at + BATCH]
+        size = start[rows + 1] - start[rows]
+        take = np.repeat(start[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = np.repeat(np.arange(len(rows)), size).astype(np.uint8)
+        places, index = np.unique(place[take], return_inverse=True)
+        by_place = np.argsort(index, kind="stable")
+        cuts = np.searchsorted(index[by_place], np.arange(len(places)))
+        unit = 1 / np.sqrt(np.maximum(np.bincount(own, support[place[take]] ** 2, len(rows)), 1e-9))
+        made.append(_Batch(rows, own, places, index.astype(np.int32), by_place.astype(np.int32), cuts, unit))
+    return made
 
-def fit(y: np.ndarray, start: np.ndarray, place: np.ndarray, places: np.ndarray, factors: int = FACTORS) -> Model:
-    """Text i has label y[i] and the places place[start[i]:start[i + 1]], all of them in `places`."""
+
+def fit(y: np.ndarray, start: np.ndarray, place: np.ndarray, factors: int = FACTORS) -> Model:
+    """Text i has label y[i] and the places place[start[i]:start[i + 1]]."""
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
-        return Model(np.zeros(0, np.int64), 30.0 if rate else -30.0, np.zeros(0), np.zeros((0, factors)))
-    feature = np.searchsorted(places, place)
+        return Model(30.0 if rate else -30.0, np.zeros(PLACES), np.zeros((PLACES, factors)), np.zeros(PLACES))
+    n = np.bincount(place, minlength=PLACES)
+    surplus = np.bincount(place, np.repeat(y, np.diff(start)), PLACES) - n * rate
+    z2 = surplus**2 / (n * rate * (1 - rate) * (1 - n / len(y)) + 2)
+    evidence, support = z2 / (z2 + EVIDENCE), n / (n + SUPPORT)
     rng = np.random.default_rng(7)
-    w0, w, v = float(np.log(rate / (1 - rate))), np.zeros(len(places)), rng.normal(0, 0.05, (len(places), factors))
-    g0, gw, gv = 1e-8, np.full(len(places), 1e-8), np.full((len(places), factors), 1e-8)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), 256):
-            batch = order[at : at + 256]
-            take = np.concatenate([np.arange(start[i], start[i + 1]) for i in batch])
-            held = rng.random(len(take)) < HELD
-            f = feature[take[held]]
-            own = np.repeat(np.arange(len(batch)), start[batch + 1] - start[batch])[held]
-            sums = np.zeros((len(batch), factors))
-            np.add.at(sums, own, v[f])
-            pairs = 0.5 * ((sums**2).sum(1) - np.bincount(own, (v[f] ** 2).sum(1), len(batch)))
-            z = w0 + np.bincount(own, w[f], len(batch)) + pairs
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
+    w0, w, v = float(np.log(rate / (1 - rate))), np.zeros(PLACES), rng.normal(0, 0.05, (PLACES, factors))
+    g0, gw, gv = 1e-8, np.full(PLACES, 1e-8), np.full((PLACES, factors), 1e-8)
+    batches = _batches(start, place, support, rng.permutation(len(y)))
+    pull = DECAY / len(batches)
+    for epoch in range(EPOCHS):
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            own, texts, held = b.own, len(b.rows), rng.random(len(b.index)) < HELD
+            weight = evidence[b.places][b.index] * held
+            z = w0 + np.bincount(own, w[b.places][b.index] * weight, texts)
+            if epoch >= ALONE:
+                scale = support[b.places][b.index] * held * b.unit[own]
+                x = v[b.places][b.index] * scale[:, None]
+                sums = np.stack([np.bincount(own, x[:, f], texts) for f in range(factors)], axis=1)
+                z += 0.5 * ((sums**2).sum(1) - np.bincount(own, (x**2).sum(1), texts))
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b.rows]) / texts
             e = error[own]
-            dw = np.bincount(f, e, len(places)) + DECAY * w * (np.bincount(f, minlength=len(places)) > 0)
-            dv = np.zeros_like(v)
-            np.add.at(dv, f, e[:, None] * (sums[own] - v[f]))
-            dv += DECAY * v * (dw != 0)[:, None]
+            dw = np.add.reduceat((e * weight)[b.by_place], b.cuts) if len(e) else np.zeros(0)
+            dw += pull * w[b.places]
             g0 += error.sum() ** 2
-            gw += dw**2
-            gv += dv**2
             w0 -= RATE * error.sum() / np.sqrt(g0)
-            w -= RATE * dw / np.sqrt(gw)
-            v -= RATE * 0.3 * dv / np.sqrt(gv)
-    return Model(places, w0, w, v)
-
-
-def scores_of(texts: list[str | None], model: Model, known: np.ndarray) -> np.ndarray:
-    text, place = terms_of(texts, known)
-    f = np.searchsorted(model.places, place)
-    sums = np.zeros((len(texts), model.v.shape[1]))
-    for k in range(model.v.shape[1]):
-        sums[:, k] = np.bincount(text, model.v[f, k], len(texts))
-    z = model.w0 + np.bincount(text, model.w[f], len(texts)) + 0.5 * ((sums**2).sum(1) - np.bincount(text, (model.v[f] ** 2).sum(1), len(texts)))
+            gw[b.places] += dw**2
+            w[b.places] -= RATE * dw / np.sqrt(gw[b.places])
+            if epoch >= ALONE and len(e):
+                dv = np.add.reduceat(((e * scale)[:, None] * (sums[own] - x))[b.by_place], b.cuts, axis=0) + pull * v[b.places]
+                gv[b.places] += dv**2
+                v[b.places] -= RATE * dv / np.sqrt(gv[b.places])
+    return Model(w0, (w * evidence).astype(np.float32), (v * support[:, None]).astype(np.float32), support.astype(np.float32))
+
+
+def scores_of(texts: list[str | None], model: Model) -> np.ndarray:
+    text, place = terms_of(texts)
+    n, total = len(texts), lambda x: np.bincount(text, x, len(texts))
+    v = model.v[place]
+    sums = np.stack([total(v[:, f]) for f in range(v.shape[1])], axis=1).reshape(n, -1)
+    pairs = 0.5 * ((sums**2).sum(1) - total((v.astype(float) ** 2).sum(1))) / np.maximum(total(model.support[place] ** 2), 1e-9)
+    z = model.w0 + total(model.w[place]) + pairs
     return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
 
 
@@ -131,8 +158,8 @@ def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Fits the model on the `rows` labelled documents with the smallest hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, terms: int = TRAIN_TERMS) -> Model:
+    """Fits the model on the labelled documents with the smallest hash of their id: `rows` at most, with `terms` places at most in total."""
     ids = F.col(f"`{id_col}`")
     usable = labels.filter(ids.isNotNull() & F.col(f"`{label_col}`").isNotNull() & ~held_out(ids))
     sample = usable.groupBy(ids.alias("__id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("__label"))
@@ -146,48 +173,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         cuts = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
         return {"places": pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))}
 
-    terms = map_texts(chosen, ["__id", "__label"], "__text", fields, run)
+    held = map_texts(chosen, ["__id", "__label"], "__text", fields, run)
     # of rows that repeat an id, the one with the smallest terms
-    terms = stored(terms.groupBy("__id").agg(F.min(F.struct("__label", "places")).alias("t")).select("__id", "t.*"), "terms")
-    n, toxic = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum("__label"), F.lit(0))).first()
-    # a row per place, so at most PLACES
-    stats = terms.select("__label", F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("seen"), F.sum("__label").alias("toxic")).toArrow()
-    seen, hits = np.zeros(PLACES), np.zeros(PLACES)
-    seen[stats["place"].to_numpy()], hits[stats["place"].to_numpy()] = stats["seen"].to_numpy(), stats["toxic"].to_numpy()
-    places = telling(seen, hits, n, toxic / n if n else 0.0)
-    # at most rows x FEATURES numbers
-    got = terms.select("__id", "__label", "places").mapInArrow(_only(places), terms.schema).toArrow().combine_chunks().sort_by("__id")
-    held = got["places"].combine_chunks()
-    start = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return fit(got["__label"].to_numpy().astype(float), start, pc.list_flatten(held).to_numpy(zero_copy_only=False).astype(np.int64), places)
-
-
-def _only(places: np.ndarray):
-    """Keeps those of a row's places that the model has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column("places")
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(held).to_numpy(zero_copy_only=False))
-            place = pc.list_flatten(held).to_numpy(zero_copy_only=False)
-            keep = np.isin(place, places)
-            cuts = np.searchsorted(row[keep], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[keep].astype(np.int32)))], batch.schema.names)
-
-    return run
+    held = stored(held.groupBy("__id").agg(F.min(F.struct("__label", "places")).alias("t")).select("__id", F.md5(F.col("__id").cast("string")).alias("__hash"), "t.*"), "terms")
+    upto = F.sum(F.size("places")).over(Window.orderBy("__hash", "__id"))  # at most TRAIN_ROWS rows
+    first = held.select("__id", "__hash", upto.alias("upto")).filter(F.col("upto") <= terms)
+    # at most `terms` numbers
+    got = held.join(F.broadcast(first.select("__id")), "__id", "left_semi").toArrow().combine_chunks().sort_by([("__hash", "ascending"), ("__id", "ascending")])
+    lists = got["places"].combine_chunks()
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return fit(got["__label"].to_numpy().astype(float), start, pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """Columns keep of docs (all if None) and the score of the whole text."""
     fields = T.StructType([T.StructField(score_col, T.DoubleType())])
-    known = np.zeros(PLACES, bool)
-    known[model.places] = True
-    packed = np.packbits(known)
-
-    def run(texts: list[str | None]) -> dict[str, pa.Array]:
-        return {score_col: pa.array(scores_of(texts, model, np.unpackbits(packed).astype(bool)))}
-
-    return map_texts(docs, docs.columns if keep is None else keep, text_col, fields, run)
+    return map_texts(docs, docs.columns if keep is None else keep, text_col, fields, lambda texts: {score_col: pa.array(scores_of(texts, model))})
 
 
 #: The score from which a text counts as toxic.
