@@ -57,6 +57,17 @@ def test_mixture(spark, seed):
     assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r[4] for r in want)
 
 
+def test_no_document_comes_more_often_than_it_may(spark):
+    rows = [(i, "a " * 50, "large") for i in range(40)] + [(100 + i, "b" if i < 3 else "", "small") for i in range(60)]
+    df = spark.createDataFrame([(d, t, s, 7, 8) for d, t, s in rows], "doc_id long, text string, source string, __copies int, `a.b` int")
+    mixed = mixing.mixed(df, mixing.mixing_plan(df)[1])
+    assert mixed.columns == df.columns
+    times = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert max(times.values()) <= 3 and times[100] == 3
+    named = df.withColumnsRenamed({"doc_id": "the.id", "source": "the.source", "text": "the.text"})
+    assert mixing.mixed(named, mixing.mixing_plan(named, id_col="the.id", text_col="the.text", source_col="the.source")[1], "the.id", "the.source").count() == mixed.count()
+
+
 def test_mixing_nothing(spark):
     assert mixing.mixture(docs(spark, [])).count() == 0
     only = mixing.mixture(docs(spark, [(1, None, None), (2, " ", "a")])).collect()

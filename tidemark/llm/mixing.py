@@ -68,18 +68,15 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat:
 
     A document is taken `rounds` times, and once more if its hash is below the threshold.
     """
-    sizes = stored(
-        docs.select(
-            F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words_in(F.col(f"`{text_col}`")).alias("size"), id_hash(F.col(f"`{id_col}`")).alias("hash")
-        ),
-        "sizes",
-    )
+    columns = {"doc_id": F.col(f"`{id_col}`"), "source": F.col(f"`{source_col}`"), "size": words_in(F.col(f"`{text_col}`")), "hash": id_hash(F.col(f"`{id_col}`"))}
+    sizes = stored(docs.select(*[c.alias(name) for name, c in columns.items()]), "sizes")
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
     rounds = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat))).otherwise(0)
     plan = targets.withColumn("rounds", rounds.cast("int"))
     plan = plan.withColumn("__budget", F.col("target") - F.col("rounds") * F.col("source_size"))
     state = plan.select(F.col("source").alias("__source"), "__budget", F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__below"))
     for level in range(HASH_BITS // LEVEL_BITS):
+        # stored, so that Spark knows that it has a row per source and need not shuffle the sizes
         state = stored(_refined(sizes, state, HASH_BITS - LEVEL_BITS * (level + 1)), f"level{level}")
     # the boundary is one hash value now; it goes in if that leaves less of a gap
     found = state.select("__source", F.when(2 * F.col("__below") + F.col("__held") <= 2 * F.col("__budget"), F.col("__prefix") + 1).otherwise(F.col("__prefix")).alias("threshold"))
@@ -102,20 +99,24 @@ def _refined(sizes: DataFrame, state: DataFrame, shift: int) -> DataFrame:
     return edge.select("__source", "__budget", F.col("e.__bucket").alias("__prefix"), (F.col("e.__upto") - F.col("e.__held")).alias("__below"), F.col("e.__held").alias("__held"))
 
 
-def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Each row of docs as often as the plan takes it."""
-    plan = plan.select(F.col("source").alias("__source"), F.col("rounds").alias("__rounds"), F.col("threshold").alias("__threshold"))
-    on = docs[source_col].eqNullSafe(plan["__source"])
-    copies = F.col("__rounds") + (id_hash(docs[id_col]) < F.col("__threshold")).cast("int")
-    taken = docs.join(plan, on).withColumn("__copies", copies).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+def _copies(max_repeat: int) -> Column:
+    """Times that the plan takes a document; one without words, which fills no budget, is taken no more often than the others may be."""
+    return F.least(F.col("rounds") + (F.col("hash") < F.col("threshold")).cast("int"), F.lit(max_repeat))
+
+
+def mixed(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", max_repeat: int = 3) -> DataFrame:
+    """Each row of docs as often as the plan takes it, max_repeat times at most."""
+    plan = plan.select(F.col("source").alias("own"), "rounds", "threshold")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").alias("source"), id_hash(F.col(f"`{id_col}`")).alias("hash"))
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("own"))).withColumn("copies", _copies(max_repeat))
+    return taken.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mixture(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, source, weight, copies."""
     sizes, plan = mixing_plan(docs, weights, max_repeat, id_col, text_col, source_col)
     plan = plan.withColumnRenamed("source", "__source")
-    copies = F.col("rounds") + (F.col("hash") < F.col("threshold")).cast("int")
+    copies = _copies(max_repeat)
     return sizes.join(plan, sizes["source"].eqNullSafe(plan["__source"])).select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", "weight", copies.alias("copies")
     )
