@@ -2,14 +2,17 @@
 
 import hashlib
 import json
+import math
 import random
+import struct
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
-from tidemark.llm import tiff, warc
+from tidemark.llm import queries, tiff, warc
 
 
 def test_strips_tiles_and_predictors_come_back():
@@ -19,7 +22,7 @@ def test_strips_tiles_and_predictors_come_back():
             for predictor in (1, 2):
                 for tile in (None, (16, 32)):
                     pages = [rng.integers(0, 9, (rng.integers(1, 50), rng.integers(1, 70), samples)).astype(kind) for samples in (1, 3)]
-                    found = list(tiff.pages_of(tiff.write_tiff(pages, compression, predictor, 7, tile)))
+                    found = list(tiff.pages_of(tiff.write_tiff(pages, [tiff.Layout(compression, predictor, 7, tile)])))
                     assert [p.error for p in found] == [None, None]
                     assert [p.pixels for p in found] == [p.tobytes() for p in pages]
 
@@ -45,18 +48,141 @@ def test_a_known_lzw_stream_and_big_endian_bits():
 
 
 def test_files_that_cannot_be_read(spark):
-    good = tiff.write_tiff([np.zeros((3, 4), np.uint8)] * 2)
-    rows = [("good", good), ("none", None), ("empty", b""), ("text", b"hello"), ("cut", good[: len(good) // 2]), ("loop", b"II*\0\x08\0\0\0\0\0\x08\0\0\0")]
+    good = tiff.write_tiff([np.zeros((3, 4), np.uint8)] * 2, [tiff.Layout()])
+    rows = [("good", good), ("none", None), ("empty", b""), ("text", b"hello"), ("cut", good[: len(good) // 2]), ("loop", b"II*\0\x08\0\0\0\0\0\x08\0\0\0"), ("nodir", b"II*\0" + bytes(4))]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "path string, content binary, page int")
     found = {}
     for r in tiff.tiff_pages(df).collect():
         found.setdefault(r["path"], []).append((r["page"], r["pixels"], r["error"] is None))
     assert found["good"] == [(0, bytes(12), True), (1, bytes(12), True)]
-    assert all(found[k][0][:2] == (None, None) and not found[k][0][2] for k in ("none", "empty", "text"))
+    assert all(found[k][0][:2] == (None, None) and not found[k][0][2] for k in ("none", "empty", "text", "nodir"))
     assert not found["loop"][0][2] and all(not ok or p == bytes(12) for _, p, ok in found["cut"])
     assert tiff.tiff_pages(df.limit(0)).count() == 0
 
 
+def made_tiff(fields, data, big=False, order="<"):
+    """A file of one page: data at a fixed place, then the directory; fields are (tag, kind, values) with kinds 3, 4 and 16."""
+    size, head = {3: "H", 4: "I", 16: "Q"}, 16 if big else 8
+    place, out, later = "Q" if big else "I", bytearray(), bytearray()
+    where = head + len(data)
+    extra_at = where + (8 + 20 * len(fields) + 8 if big else 2 + 12 * len(fields) + 4)
+    for tag, kind, values in sorted(fields):
+        raw = struct.pack(f"{order}{len(values)}{size[kind]}", *values)
+        out += struct.pack(f"{order}HH{place}", tag, kind, len(values))
+        if len(raw) > (8 if big else 4):
+            out += struct.pack(order + place, extra_at + len(later))
+            later += raw
+        else:
+            out += raw.ljust(8 if big else 4, b"\0")
+    start = (b"II" if order == "<" else b"MM") + (struct.pack(f"{order}HHHQ", 43, 8, 0, where) if big else struct.pack(f"{order}HI", 42, where))
+    count = struct.pack(order + ("Q" if big else "H"), len(fields))
+    return start + data + count + bytes(out) + bytes(8 if big else 4) + bytes(later)
+
+
+@pytest.mark.parametrize("big, order", [(False, "<"), (True, "<"), (True, ">"), (False, ">")])
+def test_planes_bits_and_floats(big, order):
+    head = 16 if big else 8
+    rng = np.random.default_rng(3)
+
+    def one(height, width, bits, data, sizes, **more):
+        places = [head + x for x in np.cumsum([0, *sizes[:-1]]).tolist()]
+        fields = {256: (4, [width]), 257: (4, [height]), 258: (3, bits), 259: (3, [1]), 273: (16 if big else 4, places), 277: (3, [len(bits)]), 278: (4, [more.pop("rows", height)]), 279: (4, sizes)}
+        fields |= {int(k[1:]): (3, [v]) for k, v in more.items()}
+        (page,) = tiff.pages_of(made_tiff([(t, k, v) for t, (k, v) in fields.items()], data, big, order))
+        assert page.error is None
+        return page.pixels
+
+    planes = rng.integers(0, 256, (3, 4, 5)).astype(np.uint8)  # planar: each sample's strips by themselves, two rows a strip
+    assert one(4, 5, [8] * 3, planes.tobytes(), [10] * 6, rows=2, t284=2) == planes.transpose(1, 2, 0).tobytes()
+    for bits in (2, 4):
+        values = rng.integers(0, 1 << bits, (3, 7))
+        rows = ["".join(f"{x:0{bits}b}" for x in r) for r in values.tolist()]
+        data = b"".join(int(r.ljust(-(-len(r) // 8) * 8, "0"), 2).to_bytes(-(-len(r) // 8)) for r in rows)
+        assert one(3, 7, [bits], data, [len(data)]) == values.astype(np.uint8).tobytes()
+    numbers = rng.normal(0, 9, (3, 6)).astype("<f4")
+    split = numbers.view(np.uint8).reshape(3, 6, 4)[:, :, ::-1].transpose(0, 2, 1).reshape(3, 24)  # highest bytes first
+    data = np.concatenate([split[:, :1], np.diff(split, axis=1)], axis=1).tobytes()
+    assert one(3, 6, [32], data, [len(data)], t317=3) == numbers.tobytes()
+
+
+def plain_lzw(data):
+    """Codes as text of bits, by the published description."""
+    table, bits, word, out = {bytes([i]): i for i in range(256)}, 9, b"", [f"{256:09b}"]
+    n = 258
+    for c in data:
+        if word + bytes([c]) in table:
+            word += bytes([c])
+            continue
+        out.append(f"{table[word]:0{bits}b}")
+        table[word + bytes([c])] = n
+        n, word = n + 1, bytes([c])
+        bits = 12 if n >= 2048 else 11 if n >= 1024 else 10 if n >= 512 else 9
+        if n == 4094:
+            out.append(f"{table[word]:012b}")
+            out.append(f"{256:012b}")
+            table, bits, word, n = {bytes([i]): i for i in range(256)}, 9, b"", 258
+    if word:
+        out.append(f"{table[word]:0{bits}b}")
+        n += 1
+        bits = 12 if n >= 2048 else 11 if n >= 1024 else 10 if n >= 512 else 9
+    out.append(f"{257:0{bits}b}")
+    text = "".join(out)
+    return bytes(int(text[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(text), 8))
+
+
+def test_lzw_of_all_code_widths_against_a_plain_encoder():
+    rng = random.Random(8)
+    for n in (0, 1, 200, 700, 3000, 20_000):
+        data = bytes(rng.choice(b"abcdefgh" if n % 3 else bytes(range(256))) for _ in range(n))
+        coded = plain_lzw(data)
+        assert tiff.lzw_decode(coded, n) == data and tiff.lzw_encode(data) == coded
+
+
+def test_headers_that_promise_too_much():
+    for bits, samples in ((8, 1), (16, 3)):
+        fields = [(256, 4, [1 << 24]), (257, 4, [1 << 24]), (258, 3, [bits] * samples), (259, 3, [8]), (273, 4, [8]), (277, 3, [samples]), (278, 4, [1 << 24]), (279, 4, [5])]
+        (page,) = tiff.pages_of(made_tiff(fields, zlib.compress(b"")[:5]))
+        assert page.pixels is None and page.error
+    (page,) = tiff.pages_of(made_tiff([(256, 4, [2]), (273, 4, [8])], b"x"))
+    assert page.pixels is None and page.error
+    good = tiff.write_tiff([np.arange(4000, dtype=np.uint8).reshape(50, 80)] * 3, tiff.LAYOUTS)
+    rng = random.Random(5)
+    for _ in range(3000):  # whatever bytes are damaged, nothing is raised
+        bad = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            bad[rng.choice([rng.randrange(8), rng.randrange(len(bad))])] = rng.randrange(256)
+        assert list(tiff.pages_of(bytes(bad[: rng.choice([len(bad), rng.randrange(len(bad))])])))
+
+
+def plain_feature(payload):
+    n = len(payload)
+    mean = sum(payload) / n
+    spread = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    return -(-n // 65536), n // 64, mean, spread, entropy, len(set(payload))
+
+
+def test_media_of_all_documents(spark):
+    """The registered query over a whole table: lossless, each layout used, features as computed plainly."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.op6_tiff(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    used = set()
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        if r["doc_id"] % 10 == 0:
+            media = tiff.store_payload(payload)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+            pages = list(tiff.pages_of(media))
+            used |= {(p.compression, p.tiled) for p in pages}
+            assert b"".join(p.pixels for p in pages) == payload
+            told = dict(x.split("=") for x in r["feature"].split(";"))
+            assert [float(told[k]) for k in ("pages", "rows", "mean", "std", "entropy", "values")] == pytest.approx(plain_feature(payload), abs=1e-5)
+    assert len(used) == 8
+
+
 def test_texts_are_stored_without_loss(spark):
     texts = [None, "", "a" * 64, "é" * 40, "x", "漢字\0" * 30_000, "x"]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, feature string")
@@ -154,4 +280,30 @@ def test_files_of_records_and_coded_bodies(spark, tmp_path):
     assert sorted(r["position"] for r in found.collect()) == [0, 0, 1, 1]
     texts = [r["block"] for r in warc.derivatives(found.filter("position = 1"), "position").filter("record_type = 'conversion'").collect()]
     assert texts == ["hi", "hi"]
-    random.seed(0)
+    assert {r["error"] for r in found.collect()} == {None}
+
+
+def test_damaged_files_and_charsets(spark, tmp_path):
+    good = warc.build_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"HTTP/1.1 200 OK\r\n\r\nhi")
+    z = zlib.compressobj(wbits=31)
+    member = z.compress(good * 40) + z.flush()
+    cases = {
+        "cut": good * 2 + good[:-10], "nolength": good + b"WARC/1.1\r\n\r\nx", "length": good + b"WARC/1.1\r\nContent-Length: -5\r\n\r\n", "junk": b"\0" * 3_000_000,
+        "gzcut": member + member[:-30], "gzbad": member + b"\x1f\x8b" + b"\xff" * 60, "gztail": member + b"tail", "empty": b"", "only": b"\r\n\r\n",
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    found = {}
+    for r in warc.read_warc(spark, f"file://{tmp_path}").collect():
+        found.setdefault(r["path"].rsplit("/", 1)[-1], []).append((r["position"], r["record"] is None, r["error"] is None))
+    good_rows = {"cut": 2, "nolength": 1, "length": 1, "junk": 0, "gzcut": 40, "gzbad": 40, "gztail": 40}
+    for name, n in good_rows.items():
+        rows = sorted(found[name])
+        assert rows[-1] == (len(rows) - 1, True, False) and all(r[1:] == (False, True) for r in rows[:-1]) and len(rows) > n, name
+    assert "empty" not in found and "only" not in found
+    for charset in ("idna", "undefined", "none-such", "base64", "utf-16", "punycode", "unicode_escape"):
+        record = warc.build_record([("WARC-Type", "response")], f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n<p>\x00..a\\x</p>".encode())
+        assert [r[0] for r in warc.derive(record)] == ["metadata", "conversion"]
+    for coding in ("gzip", "deflate"):
+        for body in (b"\x1f\x8b damaged", member[:40], b"plain", b""):
+            assert len(warc.derive(warc.build_record([("WARC-Type", "response")], f"HTTP/1.1 200 OK\r\nContent-Encoding: {coding}\r\n\r\n".encode() + body))) == 2

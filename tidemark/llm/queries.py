@@ -33,7 +33,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")), "page_id")
-    return found.drop("record", "error")
+    # the record itself holds the block once more: its digest and length tell it
+    return found.withColumn("record_sha256", F.sha2("record", 256)).withColumn("record_bytes", F.octet_length("record").cast("long")).drop("record")
 
 
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

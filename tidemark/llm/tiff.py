@@ -5,9 +5,10 @@ order, decodes strips or tiles that are plain, PackBits, LZW or deflate, undoes
 horizontal and the floating-point predictor, and gives each page's samples as bytes
 (row by row, pixel by pixel, samples in native little-endian order).
 
-Null or empty content and files that can't be read give one row with page null and the
+Null or empty content, files that can't be read and those without a directory give one row with page null and the
 reason in `error`; a page that can't be read gives its row with null pixels. Repeated
-rows give repeated pages. A page's decoded size is bounded by what its header says.
+rows give repeated pages. A page whose header promises more than its stored bytes can hold is
+not decoded, so that memory is bounded by them. Pages are held one at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259,
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that a stored byte can give at most, by compression.
+_MOST = {PLAIN: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
 _TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 #: Samples a row, rows a page and rows a strip of a stored payload.
@@ -223,6 +226,8 @@ def directories(content: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             here += 4 + struct.calcsize(order + place)
             if kind not in _TYPES:
                 continue
+            if number > len(content):
+                raise ValueError("a field is longer than the file")
             if struct.calcsize(f"={_TYPES[kind]}") * number > room:
                 here = struct.unpack_from(order + place, content, here)[0]
             fields[tag] = struct.unpack_from(f"{order}{number}{_TYPES[kind]}", content, here)
@@ -244,9 +249,14 @@ def _page(number: int, content: bytes, order: str, fields: dict[int, tuple]) ->
         else:
             columns, rows, places, sizes = width, min(one(ROWS_PER_STRIP, height), height), fields[STRIP_OFFSETS], fields[STRIP_COUNTS]
         pixel = each * max(1, bits // 8)
-        out = np.zeros((height, width, planes, pixel), np.uint8)
         across = -(-width // columns)
         down = -(-height // rows)
+        if across * down * planes > min(len(places), len(sizes)):
+            raise ValueError("strips or tiles are missing")
+        stored = sum(len(content[p : p + n]) for p, n in zip(places, sizes, strict=False))
+        if height * width * samples * bits > 8 * stored * _MOST.get(page.compression, 1):
+            raise ValueError("the header promises more than the data can hold")
+        out = np.zeros((height, width, planes, pixel), np.uint8)
         for k in range(across * down * planes):
             plane, cell = divmod(k, across * down)
             top, left = cell // across * rows, cell % across * columns
@@ -258,7 +268,7 @@ def _page(number: int, content: bytes, order: str, fields: dict[int, tuple]) ->
             part = _samples(data, high, columns, each, bits, page.predictor, order)
             out[top : top + high, left : left + columns, plane] = part[: height - top, : width - left]
         page.pixels = out.tobytes()
-    except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, TypeError, struct.error, zlib.error) as e:
         page.error = f"{type(e).__name__}: {e}"
     return page
 
@@ -270,17 +280,31 @@ def pages_of(content: bytes | None) -> Iterator[Page]:
         for order, fields in directories(content or b""):
             yield _page(number, content, order, fields)
             number += 1
-    except (ValueError, struct.error) as e:
+        if not number:
+            raise ValueError("no image directory")
+    except (ValueError, OverflowError, MemoryError, struct.error) as e:
         yield Page(-1, 0, 0, 0, 0, 0, 0, False, None, f"{type(e).__name__}: {e}")
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows: int = STRIP_ROWS, tile: tuple[int, int] | None = None) -> bytes:
-    """Pages (height x width x samples, unsigned) as a little-endian TIFF of strips, or of tiles (length, width)."""
+@dataclass(frozen=True)
+class Layout:
+    """How a page is stored: in strips of so many rows, or in tiles (length, width)."""
+
+    compression: int = DEFLATE
+    predictor: int = 2
+    rows: int = STRIP_ROWS
+    tile: tuple[int, int] | None = None
+
+
+def write_tiff(pages: list[np.ndarray], layouts: list[Layout]) -> bytes:
+    """Pages (height x width x samples, unsigned) as a little-endian TIFF; page i has the layout i, counted around."""
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
-    for page in pages:
+    for number, page in enumerate(pages):
+        layout = layouts[number % len(layouts)]
+        compression, predictor, tile = layout.compression, layout.predictor, layout.tile
         page = page.reshape(page.shape[0], page.shape[1], -1)
         height, width, samples = page.shape
-        high, wide = tile or (rows, width)
+        high, wide = tile or (layout.rows, width)
         places, sizes = [], []
         for top in range(0, height, high):
             for left in range(0, width, wide):
@@ -315,28 +339,32 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
+#: Layouts that the pages of stored payloads go around.
+LAYOUTS = [Layout(c, p, tile=t) for t in (None, (256, 32)) for c, p in ((DEFLATE, 2), (LZW, 2), (PACKBITS, 1), (PLAIN, 1))]
+
+
 def store_payload(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as 8-bit pages of 64 samples a row."""
+    """A payload of a multiple of 64 bytes as 8-bit pages of 64 samples a row. The first page's layout follows from the payload's CRC-32."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)])
+    first = zlib.crc32(payload) % len(LAYOUTS)
+    return write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)], LAYOUTS[first:] + LAYOUTS[:first])
 
 
-_PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_PAGE_FIELDS = "page int, width long, height long, samples long, bits long, compression long, predictor long, tiled boolean, pixels binary, error string"
 
 
 def tiff_pages(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
     """One row per page of each file: its id, and the page's header, pixels and error."""
     given = files.select(F.col(f"`{id_col}`"), F.col(f"`{content_col}`").alias("__content"))
     schema = T.StructType([given.schema[0], *T.StructType.fromDDL(_PAGE_FIELDS).fields])
-    arrow = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
+    arrow = [pa.int32(), pa.int64(), pa.int64()] + [pa.int64()] * 4 + [pa.bool_(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):  # a file at a time, so that only one file's pages are held
-                found = list(pages_of(batch.column(1)[row].as_py()))
-                rows = [(None if p.number < 0 else p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, p.error) for p in found]
-                ids = batch.column(0).take(pa.array([row] * len(rows)))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]], schema.names)
+            for row in range(batch.num_rows):
+                for p in pages_of(batch.column(1)[row].as_py()):
+                    made = (None if p.number < 0 else p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, p.error)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), *[pa.array([c], t) for c, t in zip(made, arrow, strict=True)]], schema.names)
 
     return given.mapInArrow(run, schema)
 

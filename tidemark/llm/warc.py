@@ -7,7 +7,8 @@ the page's text. Record ids follow from the response's id and the kind of record
 reruns agree and derivatives can be matched.
 
 A null, empty or unreadable record and one that is not a response gives one row with a
-null record_type and the reason in `error`. A response without a record id or a digest
+null record_type and the reason in `error`. A damaged or cut file gives its records up to the
+damage and one row with a null record and the reason. A response without a record id or a digest
 has null there, and its payload's digest is computed. Repeated rows repeat their results.
 """
 
@@ -58,37 +59,77 @@ def _get(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
-def _cut(data: bytes, at: int = 0) -> tuple[bytes, int]:
-    """A header block from `at`, and where its body begins."""
-    ends = [(e, n) for e, n in ((data.find(b"\r\n\r\n", at), 4), (data.find(b"\n\n", at), 2)) if e >= 0]
-    if not ends:
+def _ends(data: bytes | bytearray) -> tuple[bytes, int] | None:
+    """A header block, and where its body begins."""
+    ends = [(e, n) for e, n in ((data.find(b"\r\n\r\n"), 4), (data.find(b"\n\n"), 2)) if e >= 0]
+    return (bytes(data[: min(ends)[0]]), sum(min(ends))) if ends else None
+
+
+def _cut(data: bytes) -> tuple[bytes, int]:
+    found = _ends(data)
+    if found is None:
         raise ValueError("headers do not end")
-    end, n = min(ends)
-    return data[at:end], end + n
+    return found
 
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of an uncompressed WARC file."""
+#: Bytes that a step of unpacking takes in and gives out, and that a record's headers may have.
+PIECE, LONGEST_HEAD = 1 << 18, 1 << 20
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, or the data itself, piece by piece."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + PIECE] for at in range(0, len(data), PIECE))
+        return
     at = 0
     while at < len(data):
-        while data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        if at >= len(data):
-            return
-        head, body = _cut(data, at)
-        end = body + int(_get(_headers(head)[1], "Content-Length") or 0)
-        yield data[at:end]
-        at = end
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            fresh = b"" if member.unconsumed_tail else data[at : at + PIECE]
+            at += len(fresh)
+            piece = member.decompress(member.unconsumed_tail or fresh, PIECE)
+            if not piece and not fresh and not member.eof:
+                raise ValueError("a gzip member is cut short")
+            yield piece
+        at -= len(member.unused_data)
 
 
 def gunzipped(data: bytes) -> bytes:
     """All members of a gzip file, or the data itself."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) or data
+    return b"".join(_unpacked(data))
+
+
+def split_records(data: bytes) -> Iterator[tuple[bytes | None, str | None]]:
+    """The records of a WARC file, plain or gzipped, one at a time; at the end the reason, if the rest can't be read."""
+    held, pieces = bytearray(), _unpacked(data)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    try:
+        while True:
+            del held[: len(held) - len(held.lstrip(b"\r\n"))]
+            if not held:
+                if more():
+                    continue
+                return
+            while (found := _ends(held)) is None:
+                if len(held) > LONGEST_HEAD or not more():
+                    raise ValueError("headers do not end")
+            head, body = found
+            length = _get(_headers(head)[1], "Content-Length") or ""
+            if not (length.isascii() and length.isdigit()):
+                raise ValueError("a record without a length")
+            end = body + int(length)
+            while len(held) < end:
+                if not more():
+                    raise ValueError("the last record is cut short")
+            yield bytes(held[:end]), None
+            del held[:end]
+    except (ValueError, zlib.error) as e:
+        yield None, f"{type(e).__name__}: {e}"
 
 
 def parse_record(record: bytes) -> tuple[Headers, bytes]:
@@ -146,7 +187,7 @@ def _body(http: Headers, payload: bytes) -> bytes:
     coding = (_get(http, "Content-Encoding") or "").lower()
     try:
         return gunzipped(payload) if coding == "gzip" else zlib.decompress(payload) if coding == "deflate" else payload
-    except zlib.error:
+    except (ValueError, zlib.error):
         return payload
 
 
@@ -154,7 +195,7 @@ def _decoded(http: Headers, body: bytes) -> str:
     named = re.search(r"charset\s*=\s*[\"']?([\w-]+)", _get(http, "Content-Type") or "", re.I) or re.search(r"charset\s*=\s*[\"']?([\w-]+)", body[:1024].decode("ascii", "replace"), re.I)
     try:
         return body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):  # no such charset, or one that can't stand in for what it can't decode
         return body.decode("utf-8", "replace")
 
 
@@ -218,16 +259,17 @@ def derivatives(records: DataFrame, id_col: str = "record_key", record_col: str
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or gzipped: path, position in the file, record."""
+    """Records of WARC files, plain or gzipped: path, position in the file, record, error. A file is held as it is stored, and unpacked record by record."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for n, record in enumerate(split_records(gunzipped(content.as_py()))):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([record], pa.binary())], ["path", "position", "record"])
+                for n, (record, error) in enumerate(split_records(content.as_py())):
+                    columns = [pa.array([name]), pa.array([n], pa.int64()), pa.array([record], pa.binary()), pa.array([error], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "position", "record", "error"])
 
-    return files.mapInArrow(run, "path string, position long, record binary")
+    return files.mapInArrow(run, "path string, position long, record binary, error string")
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
