@@ -21,6 +21,21 @@ def test_first_sample_gives_its_value(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 5, 9), ("a", 2, 2, 8), ("a", 3, 0, 7), ("b", 1, 4, 6)]
 
 
+def test_null_samples_are_no_baseline(spark):
+    df = spark.createDataFrame([("a", 1, 5, 10), ("a", 2, None, 11), ("a", 3, 9, None), ("a", 4, 8, 30), ("b", 1, None, None), ("b", 2, 3, 6)], "k string, t long, n long, ms long")
+    by = lambda found, c: [r[c] for r in found.orderBy("k", "t").collect()]
+    assert by(counters.delta_first_absolute(df, ["k"], ["t"], ["n"]), "n") == [5, None, 4, 0, None, 3]
+    assert by(counters.delta_max_gap(df, ["k"], "t", "n", 2), "delta") == [0, None, 4, 0, None, 0]
+    assert by(counters.delta_max_gap(df, ["k"], "t", "n", 1), "delta") == [0, None, 0, 0, None, 0]
+    assert by(counters.interval_failures(df, ["k"], ["t"], "n", clamp=False), "failures") == [5, None, 4, -1, None, 3]
+    assert by(counters.interval_failures(df, ["k"], ["t"], "n"), "failures") == [5, None, 4, 0, None, 3]
+    assert by(counters.interval_mean(df, ["k"], ["t"], "ms", "n"), "mean") == [2.0, None, None, 20 / 3, None, 2.0]
+    net = [("n", t, v, v, v, v, v, v, 1 if v is None else v) for t, v in ((0, 1), (10, None), (20, 5), (30, 6))]
+    names = ", ".join(f"{c} long" for c in ("in_packets", "in_delivers", "in_bytes", "out_packets", "out_discards", "out_no_routes", "out_bytes"))
+    found = counters.counter_rate(spark.createDataFrame(net, f"k string, t long, {names}"), ["k"], "t").filter("direction = 'out'")
+    assert [(r["packets"], r["bits"]) for r in found.orderBy("t").collect()] == [(None, None), (200.0, 1600.0), (100.0, 800.0)]
+
+
 def test_a_family_knows_its_counters(spark):
     family = FAMILIES["shard_cache"]
     data = [("n", t, "i", 0, *([v] * 9)) for t, v in ((1, 5), (2, 8), (3, 2))]

@@ -29,6 +29,7 @@ def test_nodes_and_latest(metrics):
     assert {r["node_id"] for r in query.query_nodes(metrics, ["a"], ["sum"], nodes="all").collect()} == {"n1", "n2"}
     assert {r["node_id"] for r in query.query_nodes(metrics, ["a"], ["sum"], local_id="n2").collect()} == {"n2"}
     assert query.latest(metrics).count() == 4
+    assert query.latest(metrics, now=9_999).count() == 3 and query.latest(metrics, now=10_000).count() == 4 and query.latest(metrics, now=4_999).count() == 0
 
 
 def test_batches_take_the_first_bucket_of_each_part(spark):
@@ -126,6 +127,29 @@ def test_store_and_responses(spark, metrics, tmp_path):
     assert json.loads(store.rows_json(metrics.filter("shard_id IS NULL")).first()[0]) == {"bucket": 0, "node_id": "n1", "metric": "a", "value": 3.0}
 
 
+def test_running_buckets_are_held_back(spark, metrics, tmp_path):
+    path = f"file://{tmp_path}/store"
+    rest = store.write_metrics(metrics, path, now=7_000)
+    assert [r["bucket"] for r in rest.collect()] == [5000]
+    assert {r["bucket"] for r in store.read_metrics(spark, path).collect()} == {0}
+    assert store.write_metrics(rest, path, now=10_000).count() == 0
+    assert store.read_metrics(spark, path).count() == 4
+
+
+def test_a_large_node_has_several_responses(spark):
+    df = spark.range(10).select(F.lit("n").alias("node_id"), (F.col("id") * 10).alias("bucket"), "id")
+    found = [json.loads(r["response"]) for r in store.to_response(df, ["id"], most=4).collect()]
+    assert sorted(len(f["data"]["records"]) for f in found) == [2, 4, 4] and {f["timestamp"] for f in found} == {90}
+    assert sorted(float(r[0]) for f in found for r in f["data"]["records"]) == list(range(10))
+
+
+def test_batches_above_the_cap_are_errors(spark, monkeypatch):
+    store_ = spark.createDataFrame([(905_000, "n", "a", float(i)) for i in range(5)], "bucket long, node_id string, metric string, value double")
+    monkeypatch.setattr(query.cap_points, "__defaults__", (4,))
+    with pytest.raises(ValueError):
+        query.query_batch(store_, ["a"], 901_000, 931_000, 10, now=1_000_000)
+
+
 def test_stored_tables_can_be_dropped(spark):
     path = shared.new_path(spark, "numbers")
     spark.range(3).write.parquet(path)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import streaming
-from tidemark.operators import counters
+from tidemark.operators import counters, events
 
 
 def files(spark, tmp_path, parts):
@@ -38,6 +38,52 @@ def test_deltas_over_batches(spark, tmp_path, kind):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("kind", ["first_absolute", "max_gap", "baseline_zero", "baseline_zero_signed"])
+def test_null_counters_and_large_numbers(spark, tmp_path, kind):
+    large = (1 << 53) + 1
+    data = [("k", 1, 1, large), ("k", 2, 2, None), ("k", 3, 3, large + 4), ("k", 9, 4, large + 5), ("k", 10, 5, 7), (None, 1, 6, None), (None, 2, 7, 3)]
+    df = spark.createDataFrame(data, "k string, t long, seq long, v long")
+    stream = files(spark, tmp_path, [df.filter("seq in (1, 2, 6)"), df.filter("seq not in (1, 2, 6)")])
+    got = ran(streaming.stream_counter_deltas(stream, ["k"], "t", "seq", "v", kind, 3 if kind == "max_gap" else None), tmp_path)
+    if kind == "first_absolute":
+        want = counters.delta_first_absolute(df, ["k"], ["t", "seq"], ["v"]).withColumnRenamed("v", "delta")
+    elif kind == "max_gap":
+        want = counters.delta_max_gap(df, ["k"], "t", "v", 3, ["seq"])
+    else:
+        want = counters.interval_failures(df, ["k"], ["t"], "v", clamp=kind == "baseline_zero").withColumnRenamed("failures", "delta")
+    rows = lambda d: sorted((tuple(r) for r in d.select("seq", "delta").collect()), key=str)
+    assert rows(got) == rows(want)
+    first = {"first_absolute": large, "max_gap": 0, "baseline_zero": large, "baseline_zero_signed": large}[kind]
+    assert rows(got)[:4] == [(1, first), (2, None), (3, 4), (4, 0 if kind == "max_gap" else 1)]
+
+
+def test_silent_keys_lose_their_state(spark, tmp_path):
+    data = [("a", 1000, 1, 5), ("a", 2000, 2, 9), ("b", 90_000, 3, 1), ("b", 200_000, 4, 2), ("b", 201_000, 5, 3), ("a", 202_000, 6, 30)]
+    df = spark.createDataFrame(data, "k string, t long, seq long, v long").withColumn("ts", F.timestamp_millis("t"))
+    stream = files(spark, tmp_path, [df.filter("seq <= 2"), df.filter("seq = 3"), df.filter("seq = 4"), df.filter("seq >= 5")])
+    got = ran(streaming.stream_counter_deltas(stream, ["k"], "t", "seq", "v", "max_gap", 15_000, ts="ts"), tmp_path)
+    assert sorted((r["seq"], r["delta"]) for r in got.collect()) == [(1, 0), (2, 4), (3, 0), (4, 0), (5, 1), (6, 0)]
+
+
+def test_polls_and_starts_with_nulls_and_large_ids(spark, tmp_path):
+    large = (1 << 53) + 1
+    polls = [("n", 1, 1000, large, "a [x]"), ("n", 2, 2000, None, None), ("n", 3, 3000, large + 2, None), (None, 4, 1000, None, "b")]
+    df = spark.createDataFrame(polls, "node_id string, seq long, poll_ms long, head_order long, source string")
+    (tmp_path / "p").mkdir(), (tmp_path / "s").mkdir()
+    got = ran(streaming.stream_poll_events(files(spark, tmp_path / "p", [df.filter("seq <> 3"), df.filter("seq = 3")])), tmp_path / "p")
+    want = events.poll_to_events(df)
+    rows = lambda d, *c: sorted((tuple(r) for r in d.select(*c).collect()), key=str)
+    columns = ("node_id", "seq", "time_ms", "event", "task", "run", "task_type", "metadata")
+    assert rows(got, *columns) == rows(want, *columns)
+    assert {r["task"] for r in got.collect()} == {large, large + 2}
+    starts = [("n", 1, large, 10), ("n", 1, None, 20), ("n", 1, large + 2, None), ("n", 1, large + 4, 30), (None, None, 5, 7), (None, None, 6, 8)]
+    df = spark.createDataFrame(starts, "node_id string, thread_id long, op_id long, start_ms long")
+    got = ran(streaming.stream_implicit_finish(files(spark, tmp_path / "s", [df])), tmp_path / "s")
+    want = events.implicit_finish(df.withColumn("finish_ms", F.lit(None).cast("long"))).filter("finish_ms IS NOT NULL")
+    columns = ("node_id", "thread_id", "op_id", "start_ms", "finish_ms")
+    assert rows(got, *columns) == rows(want, *columns)
+
+
 def test_open_starts_come_out_once_they_expire(spark, tmp_path):
     ts = lambda c: F.timestamp_millis(F.col(c) * 1000)
     keys = "op_id long, s long, f long"
@@ -54,5 +100,7 @@ def test_late_events_are_dropped_and_buckets_come_once(spark, tmp_path):
     # a batch drops what was late already before the one before it
     df = spark.createDataFrame([(0, 1), (4, 1), (30, 1), (31, 1), (1, 1), (60, 1)], "s long, v long").withColumn("ts", F.timestamp_millis(F.col("s") * 1000))
     parts = [df.filter("s in (0, 4)"), df.filter("s = 30"), df.filter("s = 31"), df.filter("s in (1, 60)")]
-    got = ran(streaming.stream_metrics(files(spark, tmp_path, parts), [], "v"), tmp_path)
+    counts = {}
+    got = streaming.run_available(streaming.stream_metrics(files(spark, tmp_path, parts), [], "v"), f"file://{tmp_path}/out", f"file://{tmp_path}/progress", counts)
+    assert counts == {"late": 1}
     assert sorted((r["bucket"], r["n"]) for r in got.collect()) == [(0, 2), (30_000, 2)]

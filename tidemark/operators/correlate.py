@@ -52,14 +52,16 @@ def attribute_resources(thread_samples: DataFrame, ops: DataFrame, value: str, i
     What no operation takes goes to an operation 'other' whose further dims are null.
     """
     parts = ops.filter("start_ms < finish_ms").withColumn("bucket", F.explode(_buckets(F.col("start_ms"), F.col("finish_ms"), interval_ms)))
-    busy = parts.groupBy(*thread, "bucket", *dims).agg(F.sum(_overlap(F.col("start_ms"), F.col("finish_ms"), interval_ms)).alias("__busy"))
     on = [*thread, "bucket"]
-    taken = thread_samples.join(busy, on).select(*on, *dims, (F.col(value) * F.col("__busy") / interval_ms).alias(value))
-    total = busy.groupBy(*on).agg(F.sum("__busy").alias("__busy"))
-    idle = 1 - F.least(F.coalesce("__busy", F.lit(0)) / interval_ms, F.lit(1.0))
+    busy = parts.groupBy(*on, *dims).agg(F.sum(_overlap(F.col("start_ms"), F.col("finish_ms"), interval_ms)).alias("__busy"))
+    # a thread has as many operations in a bucket as start there or run on, and 'other' is one more row of theirs
+    held = busy.groupBy(*on).agg(F.collect_list(F.struct(*dims, "__busy")).alias("__ops"), F.sum("__busy").alias("__all"))
+    idle = (1 - F.least(F.coalesce("__all", F.lit(0)) / interval_ms, F.lit(1.0))).cast("double")
     nothing = [F.lit("other").alias(d) if d == dims[0] else F.lit(None).cast(ops.schema[d].dataType).alias(d) for d in dims]
-    rest = thread_samples.join(total, on, "left").select(*on, *nothing, (F.col(value) * idle).alias(value))
-    return taken.unionByName(rest).groupBy("bucket", thread[0], *dims).agg(F.sum(value).alias(value))
+    share = lambda o: F.struct(*[o[d].alias(d) for d in dims], (o["__busy"] / interval_ms).cast("double").alias("__share"))
+    every = F.concat(F.coalesce(F.transform("__ops", share), F.array()), F.array(F.struct(*nothing, idle.alias("__share"))))
+    rows = thread_samples.join(held, on, "left").select("bucket", thread[0], value, F.inline(every))
+    return rows.groupBy("bucket", thread[0], *dims).agg(F.sum(F.col(value) * F.col("__share")).alias(value))
 
 
 def gate_by_collector(samples: DataFrame, enabled: DataFrame, collector: str = "collector") -> DataFrame:

@@ -3,6 +3,9 @@
 First samples differ by operator and are kept apart on purpose: their absolute value
 (delta_first_absolute), zero (delta_max_gap), or a baseline of zero (interval_mean,
 interval_failures). `order` must tell a key's samples apart, ties included.
+
+A null counter gives a null result, and is no baseline: the next sample is held against the
+last one that was not null, and against its time.
 """
 
 from __future__ import annotations
@@ -20,12 +23,23 @@ def _by(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _before(value: Column, by: WindowSpec, seen: Column | None = None) -> Column:
+    """The key's last value before a row of which `seen` (the value itself if None) is not null."""
+    seen = value if seen is None else seen
+    return F.last(F.when(seen.isNotNull(), value), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _at_least_0(value: Column) -> Column:
+    """Not greatest(), which skips nulls."""
+    return F.when(value < 0, F.lit(0)).otherwise(value)
+
+
 def delta_first_absolute(df: DataFrame, keys: Sequence[str], order: Sequence[str], counters: Sequence[str], gauges: Sequence[str] = ()) -> DataFrame:
     """Counters to their growth since the key's last sample, at least 0; a first sample gives its value. Gauges stay."""
 
     def grown(c: str) -> Column:
-        before = F.lag(c).over(_by(keys, order))
-        return F.when(before.isNull(), F.col(c)).otherwise(F.greatest(F.col(c) - before, F.lit(0))).alias(c)
+        before = _before(F.col(c), _by(keys, order))
+        return F.when(before.isNull(), F.col(c)).otherwise(_at_least_0(F.col(c) - before)).alias(c)
 
     return df.select(*keys, *[c for c in order if c not in keys], *map(grown, counters), *gauges)
 
@@ -39,34 +53,41 @@ def family_deltas(df: DataFrame, family: Family, keys: Sequence[str], order: Seq
 
 def delta_max_gap(df: DataFrame, keys: Sequence[str], time: str, counter: str, max_gap: int = 15_000, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Adds `delta`: growth at least 0 since the last sample if that is at most max_gap old; 0 else, and for a first sample."""
-    by = _by(keys, [time, *tiebreak])
-    near = F.col(time) - F.lag(time).over(by) <= max_gap
-    return df.withColumn("delta", F.when(near, F.greatest(F.col(counter) - F.lag(counter).over(by), F.lit(0))).otherwise(F.lit(0)))
+    by, own = _by(keys, [time, *tiebreak]), F.col(counter)
+    near = F.col(time) - _before(F.col(time), by, own) <= max_gap
+    delta = F.when(own.isNull(), F.lit(None)).when(near, _at_least_0(own - _before(own, by))).otherwise(F.lit(0))
+    return df.withColumn("delta", delta)
 
 
 def interval_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], total_time: str, total_count: str, negative: str = "zero") -> DataFrame:
-    """Adds `mean`: time per operation since the last sample, from a baseline of 0. 0 without new operations; negative: 'zero' also where the count fell, 'keep' not."""
+    """Adds `mean`: time per operation since the last sample, from a baseline of 0. 0 without new operations; negative: 'zero' also where the count fell, 'keep' not.
+
+    A sample is one of both counters: null if either is.
+    """
     by = _by(keys, order)
-    time, count = (F.col(c) - F.lag(c, 1, 0).over(by) for c in (total_time, total_count))
+    both = F.col(total_time) + F.col(total_count)
+    time, count = (F.col(c) - F.coalesce(_before(F.col(c), by, both), F.lit(0)) for c in (total_time, total_count))
     none = {"zero": count <= 0, "keep": count == 0}[negative]
-    return df.withColumn("mean", F.when(none, F.lit(0.0)).otherwise(F.try_divide(time, count).cast("double")))
+    return df.withColumn("mean", F.when(both.isNull(), F.lit(None)).when(none, F.lit(0.0)).otherwise(F.try_divide(time, count).cast("double")))
 
 
 def interval_failures(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: str, clamp: bool = True) -> DataFrame:
     """Adds `failures`: growth since the last sample from a baseline of 0; clamp: at least 0."""
-    grown = F.col(failed) - F.lag(failed, 1, 0).over(_by(keys, order))
-    return df.withColumn("failures", F.greatest(grown, F.lit(0)) if clamp else grown)
+    grown = F.col(failed) - F.coalesce(_before(F.col(failed), _by(keys, order)), F.lit(0))
+    return df.withColumn("failures", _at_least_0(grown) if clamp else grown)
 
 
 def counter_rate(df: DataFrame, keys: Sequence[str], time: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Network counters to a row each for `in` and `out`: packets, drops and bits per second since the last sample. First samples give no rows.
 
     Columns: in_packets, in_delivers, in_bytes, out_packets, out_discards, out_no_routes, out_bytes.
+    A sample is one of all of them: where one is null, its rows hold nulls and it is no baseline.
     """
     by = _by(keys, [time, *tiebreak])
-    elapsed = F.col(time) - F.lag(time).over(by)
     names = ("in_packets", "in_delivers", "in_bytes", "out_packets", "out_discards", "out_no_routes", "out_bytes")
-    rows = df.withColumns({"__t": elapsed} | {f"__{c}": F.col(c) - F.lag(c).over(by) for c in names}).filter("__t IS NOT NULL")
+    whole = sum((F.col(c) * 0 for c in names), F.lit(0))
+    columns = {"__t": F.col(time) - _before(F.col(time), by, whole)} | {f"__{c}": F.col(c) + whole - _before(F.col(c), by, whole) for c in names}
+    rows = df.withColumns(columns).filter("__t IS NOT NULL")
 
     def rate(delta: Column, scale: int = 1) -> Column:
         return F.try_divide(1000 * scale * delta, F.col("__t")).cast("double")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 AGGREGATIONS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 #: Rows that a batch query may return.
 MAX_POINTS = 100_800
@@ -23,8 +25,10 @@ def query_metrics(store: DataFrame, metrics: Sequence[str], aggs: Sequence[str],
     return store.filter(F.col("metric").isin(*metrics)).groupBy(*keys).agg(*columns)
 
 
-def latest(store: DataFrame) -> DataFrame:
-    """Rows of each node's last bucket."""
+def latest(store: DataFrame, now: int | Column | None = None, interval_ms: int = 5000) -> DataFrame:
+    """Rows of each node's last bucket; with now (milliseconds) of the last one that was complete by then."""
+    if now is not None:
+        store = store.filter(F.col("bucket") + interval_ms <= now)
     last = store.groupBy("node_id").agg(F.max("bucket").alias("bucket"))
     return store.join(last, ["node_id", "bucket"], "left_semi")
 
@@ -51,9 +55,9 @@ def check_range(start: int, end: int, period_s: int, now: int, retention_min: in
 
 
 def query_batch(store: DataFrame, metrics: Sequence[str], start: int, end: int, period_s: int, now: int, retention_min: int = 7) -> DataFrame:
-    """Rows in [start, end) of the first bucket that each part of a period has, by node and metric."""
+    """Rows in [start, end) of the first bucket that each part of a period has, by node and metric. More of them than MAX_POINTS are an error."""
     start, end = check_range(start, end, period_s, now, retention_min)
-    return sampled(store, metrics, start, end, period_s * 1000)
+    return cap_points(sampled(store, metrics, start, end, period_s * 1000))
 
 
 def sampled(store: DataFrame, metrics: Sequence[str], start: int, end: int, period_ms: int) -> DataFrame:
@@ -65,10 +69,13 @@ def sampled(store: DataFrame, metrics: Sequence[str], start: int, end: int, peri
 
 
 def cap_points(df: DataFrame, limit: int = MAX_POINTS) -> DataFrame:
-    """df itself, or an error if it has more rows than limit; counts no further than that."""
-    if df.limit(limit + 1).count() > limit:
+    """The rows of df, or an error if there are more than limit. They are computed once, into the shared folder, and no further than that."""
+    path = new_path(df.sparkSession, "points")
+    df.limit(limit + 1).write.parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    if held.count() > limit:
         raise ValueError(f"the result has more than {limit} points")
-    return df
+    return held
 
 
 def pending_tasks(tasks: DataFrame) -> DataFrame:

@@ -322,6 +322,12 @@ def f2_latest(spark, sf_dir):
     return query.latest(view(spark, sf_dir, "metrics"))
 
 
+@registered("metrics", f", c AS (SELECT * FROM metrics WHERE bucket + {HOUR} <= (SELECT max(ms) FROM ev)) SELECT c.* FROM c WHERE bucket = (SELECT max(bucket) FROM c x WHERE x.node_id = c.node_id)")
+def f2_latest_complete(spark, sf_dir):
+    now = view(spark, sf_dir, "ev").agg(F.max("ms")).first()[0]
+    return query.latest(view(spark, sf_dir, "metrics"), now, HOUR)
+
+
 @registered("metrics", "SELECT node_id, shard_id, max(value) AS click FROM metrics WHERE metric = 'click' GROUP BY ALL")
 def f3_query_nodes(spark, sf_dir):
     return query.query_nodes(view(spark, sf_dir, "metrics"), ["click"], ["max"], ["shard_id"], nodes="all")
@@ -337,6 +343,19 @@ def f4_query_batch(spark, sf_dir):
     return query.sampled(view(spark, sf_dir, "metrics"), ["click", "view"], *RANGE, DAY)
 
 
+#: A store of 5-second buckets, as the batch query's rules ask for.
+FINE = "fine AS (SELECT ms - ms % 5000 AS bucket, 'n' || (user_id % 3) AS node_id, event_type AS metric, value FROM ev), n AS (SELECT max(ms) AS now FROM ev)"
+
+
+@registered("", f", {FINE} SELECT fine.* FROM fine, n WHERE metric IN ('click', 'view') AND bucket >= (now - 3480000) // 300000 * 300000 AND bucket < now // 300000 * 300000 QUALIFY bucket = min(bucket) OVER (PARTITION BY node_id, metric, bucket // 300000)")
+def f4_query_batch_range(spark, sf_dir):
+    """The last 58 minutes by parts of 5, under the rules of the batch query, its cap included."""
+    ev = view(spark, sf_dir, "ev")
+    now = ev.agg(F.max("ms")).first()[0]
+    fine = ev.select(fn.bucket(F.col("ms"), 5000).alias("bucket"), F.concat(F.lit("n"), F.col("user_id") % 3).alias("node_id"), F.col("event_type").alias("metric"), "value")
+    return query.query_batch(fine, ["click", "view"], now - 3_480_000, now, 300, now, 60)
+
+
 @registered("metrics", "SELECT node_id, metric, count(*) AS n FROM metrics GROUP BY ALL")
 def f5_cap_points(spark, sf_dir):
     return query.cap_points(view(spark, sf_dir, "metrics").groupBy("node_id", "metric").agg(F.count(F.lit(1)).alias("n")))

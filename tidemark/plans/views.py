@@ -15,7 +15,7 @@ VIEWS = {
     "op_finish": "SELECT event_id AS op_id, 'n' || (user_id % 3) AS node_id, user_id % 16 AS thread_id, event_type AS op, ms + CAST(floor(value * 1000) AS BIGINT) AS finish_ms, event_id % 7 = 0 AS failed FROM {ev} WHERE event_id % 10 <> 3",
     "counters": "SELECT event_id AS seq, event_type AS name, ms, CAST((sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY event_id)) % 5000 AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS BIGINT) AS cnt FROM {ev}",
     "polls": "SELECT event_id AS seq, 'n' || (user_id % 3) AS node_id, ms AS poll_ms, CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(floor(event_id / 3) AS BIGINT) END AS head_order, event_type || ' [' || k || ']' AS source, k * 10 AS age_ms FROM {ev}",
-    "thread_samples": "SELECT event_id AS seq, 'n' || (user_id % 3) AS node_id, user_id % 16 AS thread_id, ms AS sample_ms, value / 500 AS cpu FROM {ev} WHERE event_id % 2 = 0",
+    "thread_samples": "SELECT event_id AS seq, 'n' || (user_id % 3) AS node_id, user_id % 16 AS thread_id, ms AS sample_ms, value / 500 AS cpu FROM {ev}",
     "metrics": "SELECT ms - ms % 3600000 AS bucket, 'n' || (user_id % 3) AS node_id, event_type AS metric, k % 4 AS shard_id, value FROM {ev}",
     "http_start": "SELECT event_id AS id, 'n' || (user_id % 3) AS node_id, CASE WHEN event_id % 2 = 0 THEN 'bulk' ELSE 'search' END AS kind, ms AS start_ms, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'idx' || (user_id % 5) || ',idx' || (user_id % 3) END AS indices, CASE WHEN event_id % 2 = 0 THEN k ELSE 0 END AS items FROM {ev} WHERE event_id % 11 <> 5",
     "http_finish": "SELECT event_id AS id, 'n' || (user_id % 3) AS node_id, CASE WHEN event_id % 2 = 0 THEN 'bulk' ELSE 'search' END AS kind, ms + CAST(floor(value * 1000) AS BIGINT) AS finish_ms, CASE WHEN event_id % 7 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 7 = 0 THEN 'TimeoutException' ELSE '' END AS exception FROM {ev} WHERE event_id % 10 <> 3",
@@ -25,11 +25,11 @@ VIEWS = {
     "shards": "SELECT event_id AS id, CASE k % 5 WHEN 0 THEN 'RECOVERING' WHEN 1 THEN 'POST_RECOVERY' WHEN 2 THEN 'STARTED' WHEN 3 THEN 'CLOSED' END AS state, k * 100 AS writing, user_id * 10 AS ram FROM {ev}",
     "ip_counters": "SELECT event_id AS seq, 'n' || (user_id % 3) AS node_id, ms, event_id * 3 + k AS in_packets, event_id * 2 + k % 7 AS in_delivers, event_id * 100 AS in_bytes, event_id * 4 AS out_packets, event_id + k % 5 AS out_discards, k AS out_no_routes, event_id * 90 + k AS out_bytes FROM {ev}",
     "tcp_flows": "SELECT 'd' || (user_id % 10) AS dest, k AS tx_queue, k % 7 AS rx_queue, k % 3 AS lost, k * 2 AS send_cwnd, user_id AS ssthresh FROM {ev}",
-    "state_history": "SELECT 'c' || (user_id % 3) AS cluster_id, ms AS ts, event_id AS seq, CAST(k % 16 AS INT) AS state FROM {ev} WHERE event_id % 97 = 0",
+    "state_history": "SELECT 'c' || (user_id % 3) AS cluster_id, ms AS ts, event_id AS seq, CAST(k % 16 AS INT) AS state FROM {ev}",
     "cluster_events": "SELECT event_id, 'c' || (user_id % 3) AS cluster_id, ms, value FROM {ev}",
     "error_log": "SELECT event_id, ms AS ts, CASE WHEN k % 5 = 0 THEN NULL ELSE event_type END AS code FROM {ev}",
     "stage_log": "SELECT event_type AS collector, CASE WHEN k % 2 = 0 THEN 'execution_ms' ELSE 'errors' END AS stat, CAST(floor(value) AS BIGINT) AS value FROM {ev}",
-    "overrides": "SELECT 'c' || (user_id % 3) AS cluster_id, ms AS ts, event_id AS seq, CAST(user_id % 4 AS INT) AS kind, 'x' || (k % 10) AS component, k % 2 = 0 AS enabled, event_id % 350 = 0 AS two_sided FROM {ev} WHERE event_id % 50 = 0",
+    "overrides": "SELECT 'c' || (user_id % 3) AS cluster_id, ms AS ts, event_id AS seq, CAST(user_id % 4 AS INT) AS kind, 'x' || (k % 10) AS component, k % 2 = 0 AS enabled, event_id % 7 = 0 AS two_sided FROM {ev}",
     "units": "SELECT DISTINCT event_type AS metric, CASE WHEN event_type = 'error' THEN 'count' ELSE 'ms' END AS unit FROM {ev} WHERE event_type <> 'view'",
     "nodes": "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS host_address, s_nationkey % 2 = 0 AS is_data, s_nationkey % 3 = 0 AS is_master_eligible FROM {supplier}",
     "node_names": "SELECT CAST(s_suppkey AS STRING) AS node_id, s_name AS node_name FROM {supplier} WHERE s_suppkey < 100",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,13 +12,19 @@ def _date():
     return F.date_format(F.timestamp_millis("bucket"), "yyyy-MM-dd").alias("bucket_date")
 
 
-def write_metrics(df: DataFrame, path: str, replace: bool = False) -> None:
-    """Appends metrics; what a job writes is visible when the job has committed. replace: its partitions take the place of those there."""
-    out = df.select("*", _date()).repartition("metric", "bucket_date").write.partitionBy("metric", "bucket_date")
+def write_metrics(df: DataFrame, path: str, replace: bool = False, now: int | None = None, interval_ms: int = 5000) -> DataFrame:
+    """Appends metrics; what a job writes is visible when the job has committed. replace: its partitions take the place of those there.
+
+    With now (milliseconds), buckets whose time isn't over by then are held back; returned are
+    the rows held back. Small parts of a metric's day are written together, large ones by several tasks.
+    """
+    over = F.lit(True) if now is None else F.col("bucket") + interval_ms <= now
+    out = df.filter(over).select("*", _date()).hint("rebalance", "metric", "bucket_date").write.partitionBy("metric", "bucket_date")
     if replace:
         out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         out.mode("append").parquet(path)
+    return df.filter(~over)
 
 
 def read_metrics(spark: SparkSession, path: str, t0: int | None = None, t1: int | None = None) -> DataFrame:
@@ -39,12 +45,16 @@ def retain(df: DataFrame, now: int, minutes: int) -> DataFrame:
     return df.filter(F.col("bucket") >= now - minutes * 60_000)
 
 
-def to_response(df: DataFrame, fields: Sequence[str], node: str = "node_id", time: str = "bucket") -> DataFrame:
-    """Per node its result as JSON: fields with VARCHAR or DOUBLE, records in their order, the latest time."""
+def to_response(df: DataFrame, fields: Sequence[str], node: str = "node_id", time: str = "bucket", most: int = 100_800) -> DataFrame:
+    """Per node its result as JSON: fields with VARCHAR or DOUBLE, records in their order, the node's latest time. A node with more than `most` records has several responses."""
     kinds = {c: "VARCHAR" if t in ("string", "boolean") else "DOUBLE" for c, t in df.dtypes}
     named = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(kinds[c]).alias("type")) for c in fields])
     record = F.array(*[F.col(c).cast("string") if kinds[c] == "VARCHAR" else F.col(c).cast("double").cast("string") for c in fields])
-    rows = df.groupBy(node).agg(F.sort_array(F.collect_list(record)).alias("records"), F.max(time).alias("timestamp"))
+    held = df.select(node, F.col(time).alias("__time"), record.alias("__record"))
+    by = Window.partitionBy(node)
+    part = F.floor((F.row_number().over(by.orderBy("__record")) - 1) / most)
+    held = held.withColumns({"__part": part, "__time": F.max("__time").over(by)})
+    rows = held.groupBy(node, "__part").agg(F.sort_array(F.collect_list("__record")).alias("records"), F.max("__time").alias("timestamp"))
     return rows.select(node, F.to_json(F.struct(F.struct(named.alias("fields"), F.col("records")).alias("data"), F.col("timestamp"))).alias("response"))
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import bucket
@@ -55,10 +56,31 @@ def _delta(kind: str, value: int, time: int, before: int | None, when: int | Non
 DELTAS = ("first_absolute", "max_gap", "baseline_zero", "baseline_zero_signed")
 
 
-def stream_counter_deltas(samples: DataFrame, keys: Sequence[str], time: str, tiebreak: str, counter: str, kind: str = "first_absolute", max_gap: int | None = None) -> DataFrame:
+def _whole(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Nulls of the named columns as 0 and a flag `__no_...`: in pandas one null would turn a column of longs into floats."""
+    return stream.withColumns({f"__no_{c}": F.col(c).isNull() for c in columns} | {c: F.coalesce(c, F.lit(0).cast(stream.schema[c].dataType)) for c in columns})
+
+
+def _in_order(frames: Iterator[pd.DataFrame], columns: Sequence[str], order: Sequence[str]) -> Iterator[tuple]:
+    """A key's rows of a micro-batch in order; only the columns named are held. How many there can be is the source's maxFilesPerTrigger or maxBytesPerTrigger."""
+    held = [f[list(columns)] for f in frames]
+    return pd.concat(held).sort_values(list(order)).itertuples(index=False, name=None)
+
+
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    """Rows with nullable longs."""
+    kinds = {T.LongType: "Int64", T.StringType: "object"}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pd.DataFrame({f.name: pd.Series(list(c), dtype=kinds.get(type(f.dataType), "object")) for f, c in zip(schema, columns, strict=True)})
+
+
+def stream_counter_deltas(samples: DataFrame, keys: Sequence[str], time: str, tiebreak: str, counter: str, kind: str = "first_absolute", max_gap: int | None = None, ts: str | None = None, grace: str = "5 seconds") -> DataFrame:
     """Keys, time, tiebreak and `delta` of each sample; a key's last sample is its state. Kinds: those of the batch operators.
 
-    A key's samples must not come late by more than a micro-batch; within one they are put in order.
+    A null counter gives a null delta and is no baseline. A key's samples must not come late by more than a
+    micro-batch; within one they are put in order. ts names `time` as a timestamp: samples later than its watermark
+    allows are dropped then, and for max_gap the state of a key ends once it was silent for that long, as its next
+    sample gives 0 either way. Other kinds keep their baseline for ever, as it must outlive any silence.
     """
     if kind not in DELTAS or (kind == "max_gap") != (max_gap is not None):
         raise ValueError(f"kind must be one of {', '.join(DELTAS)}; max_gap goes with the second")
@@ -66,16 +88,24 @@ def stream_counter_deltas(samples: DataFrame, keys: Sequence[str], time: str, ti
     state_schema = T.StructType.fromDDL("value long, time long")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before, when = state.get if state.exists else (None, None)
-        rows = pd.concat(frames).sort_values([time, tiebreak])
-        deltas = []
-        for t, v in zip(rows[time].tolist(), rows[counter].tolist(), strict=True):
-            deltas.append(_delta(kind, int(v), int(t), before, when, max_gap))
-            before, when = int(v), int(t)
-        state.update((before, when))
-        yield pd.DataFrame({**{k: [x] * len(rows) for k, x in zip(keys, key, strict=True)}, time: rows[time].tolist(), tiebreak: rows[tiebreak].tolist(), "delta": deltas})
+        made = []
+        for t, tie, v, none in _in_order(frames, [time, tiebreak, counter, f"__no_{counter}"], [time, tiebreak]):
+            made.append((*key, t, tie, None if none else _delta(kind, v, t, before, when, max_gap)))
+            before, when = (before, when) if none else (v, t)
+        if before is not None:
+            state.update((before, when))
+            if expires:
+                state.setTimeoutTimestamp(max(when + max_gap, state.getCurrentWatermarkMs()) + 1)
+        yield _frame(made, schema)
 
-    return samples.groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    expires = ts is not None and max_gap is not None
+    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    held = samples if ts is None else samples.withWatermark(ts, grace)
+    return _whole(held, [counter]).groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", timeout)
 
 
 def stream_poll_events(polls: DataFrame, interval_ms: int = 1000) -> DataFrame:
@@ -86,44 +116,57 @@ def stream_poll_events(polls: DataFrame, interval_ms: int = 1000) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         head, n = state.get if state.exists else (-1, 0)
         made = []
-        for seq, ms, task, source in pd.concat(frames).sort_values(["poll_ms", "seq"])[["seq", "poll_ms", "head_order", "source"]].itertuples(index=False):
-            task = -1 if pd.isna(task) else int(task)
+        for ms, seq, task, none, source in _in_order(frames, ["poll_ms", "seq", "head_order", "__no_head_order", "source"], ["poll_ms", "seq"]):
+            task = -1 if none else task
             if task == head:
                 continue
-            at = int(ms) - interval_ms // 2
+            at = ms - interval_ms // 2
             if head != -1:
                 made.append((key[0], seq, at, "finish", head, n, None, None))
             if task != -1:
                 n += 1
-                kind, space, rest = (source or "").partition(" ")
-                made.append((key[0], seq, at, "start", task, n, kind, space + rest))
+                kind, space, rest = (None, "", "") if source is None else source.partition(" ")
+                made.append((key[0], seq, at, "start", task, n, kind, None if kind is None else space + rest))
             head = task
         state.update((head, n))
-        yield pd.DataFrame(made, columns=schema.names)
+        yield _frame(made, schema)
 
-    return polls.groupBy("node_id").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return _whole(polls, ["head_order"]).groupBy("node_id").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_implicit_finish(starts: DataFrame) -> DataFrame:
-    """node_id, thread_id, op_id, start_ms, finish_ms of operations (node_id, thread_id, op_id, start_ms) that end when the next starts on their thread. State: a thread's open operation."""
+    """node_id, thread_id, op_id, start_ms, finish_ms of operations (node_id, thread_id, op_id, start_ms) that end when the next starts on their thread. State: a thread's open operation.
+
+    An operation without a start time comes first on its thread, as in the batch operator.
+    """
     schema = T.StructType.fromDDL("node_id string, thread_id long, op_id long, start_ms long, finish_ms long")
     state_schema = T.StructType.fromDDL("op_id long, start_ms long")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = state.get if state.exists else None
+        opened = tuple(state.get) if state.exists else None
         made = []
-        for op, ms in pd.concat(frames).sort_values(["start_ms", "op_id"])[["op_id", "start_ms"]].itertuples(index=False):
+        rows = _in_order(frames, ["__first", "start_ms", "__first_op", "op_id", "__no_start_ms", "__no_op_id"], ["__first", "start_ms", "__first_op", "op_id"])
+        for _, ms, _, op, no_ms, no_op in rows:
+            own = (None if no_op else op, None if no_ms else ms)
             if opened is not None:
-                made.append((*key, *opened, int(ms)))
-            opened = (int(op), int(ms))
+                made.append((*key, *opened, own[1]))
+            opened = own
         state.update(opened)
-        yield pd.DataFrame(made, columns=schema.names)
+        yield _frame(made, schema)
+
+    held = _whole(starts, ["op_id", "start_ms"]).withColumns({"__first": ~F.col("__no_start_ms"), "__first_op": ~F.col("__no_op_id")})
+    return held.groupBy("node_id", "thread_id").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
 
-    return starts.groupBy("node_id", "thread_id").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+def dropped_late(query: StreamingQuery) -> int:
+    """Late events that a stream has dropped so far, in the progress that it still holds."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that there is into Parquet at path, and reads it. Each batch is committed once."""
+def run_available(stream: DataFrame, path: str, checkpoint: str, counts: dict[str, int] | None = None) -> DataFrame:
+    """Runs a stream over all that there is into Parquet at path, and reads it. Each batch is committed once. counts gets `late`, the late events that were dropped."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    if counts is not None:
+        counts["late"] = dropped_late(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
