@@ -76,11 +76,11 @@ def test_mixing_nothing(spark):
 
 def plain_best_fit(rests, lengths):
     """Bins by scanning all open ones; sizes are opened as the operator documents it."""
-    used, capacity, bins = [], [], []
+    used, capacity, bins, since = [], [], [], []
     for n, r in enumerate(rests):
         fits = [b for b in range(len(used)) if capacity[b] - used[b] >= r]
         if fits:
-            b = min(fits, key=lambda b: capacity[b] - used[b])
+            b = min(fits, key=lambda b: (capacity[b] - used[b], -since[b]))
         else:
             prices = []
             for length in lengths:
@@ -92,8 +92,10 @@ def plain_best_fit(rests, lengths):
                     prices.append((min(packing.sequence_cost(x) for x in lengths if x >= holds) / holds, length))
             b = len(used)
             used.append(0)
+            since.append(n)
             capacity.append(min(prices)[1])
         used[b] += r
+        since[b] = n
         bins.append(b)
     return [min(x for x in lengths if x >= u) for u in used], used
 

@@ -3,7 +3,7 @@
 A document's words are cut into pieces of the longest permitted length, which fill a bin
 each, and a rest. Rests are dealt by a hash into groups of about GROUP, each of
 which is packed by itself: rests go longest first into the open bin that they leave the
-least room in. If none fits, a bin is opened: every permitted length that fits is tried
+least room in (of several, the one filled last). If none fits, a bin is opened: every permitted length that fits is tried
 with the rests still to come, and the one is opened whose sequence, cut down to what it
 would hold, costs least a word. At last each bin is cut down to the shortest permitted length
 that holds its contents. A group leaves a few bins that are not full, whatever the number
