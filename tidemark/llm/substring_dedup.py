@@ -48,7 +48,7 @@ CROWD = 2_048
 #: Windows of a segment, at most.
 LONGEST = 256
 #: Segments of a shard on average, and queries that are streamed at a time.
-SHARD, STREAM = 12_288, 8_192
+SHARD, STREAM = 2_048, 8_192
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -142,20 +142,45 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _runs(inside: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of places inside begin and end; a run stays in one group."""
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    held = np.concatenate([[False], inside, [False]])
+    start = np.flatnonzero(inside & (~held[:-2] | new))
+    end = np.flatnonzero(inside & (~held[2:] | np.append(new[1:], True))) + 1
+    return start, end
+
+
 def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, from, to) of each run of a segment's windows that also start in a segment with a smaller id."""
+    """(segment, from, to) of each run of a segment's windows that also start in a segment with a smaller id.
+
+    A word that one document alone has is in no repeat. It parts the text, and parts shorter than a window are left out.
+    """
     owners = np.unique(ids, return_inverse=True)[1]
     symbols: dict[bytes, int] = {}
-    texts = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in s.split(b" ")], np.int64) for s in segments]
-    index = FMIndex(texts, owners, window)
-    length = np.concatenate([index.statistics(texts[at : at + STREAM], owners[at : at + STREAM]) for at in range(0, len(texts), STREAM)])
+    texts = [np.array([symbols.setdefault(w, len(symbols)) for w in s.split(b" ")], np.int64) for s in segments]
     sizes = np.array([len(t) for t in texts])
-    segment = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    hit = np.concatenate([[False], length >= window, [False]])
-    start = np.flatnonzero(hit[1:-1] & (~hit[:-2] | (place == 0)))
-    end = np.flatnonzero(hit[1:-1] & (~hit[2:] | (place == sizes[segment] - 1)))
-    return segment[start], place[start], place[end] + 1
+    flat, segment = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    least, most = np.full(len(symbols), len(ids)), np.full(len(symbols), -1)
+    np.minimum.at(least, flat, owners[segment])
+    np.maximum.at(most, flat, owners[segment])
+    start, end = _runs((least < most)[flat], segment)
+    long = end - start >= window
+    start, end = start[long], end[long]
+    if not len(start):
+        return start, start, end
+    names = np.unique(np.concatenate([flat[s:e] for s, e in zip(start, end, strict=True)]))
+    parts = [np.searchsorted(names, flat[s:e]) + 1 for s, e in zip(start, end, strict=True)]
+    owner = owners[segment[start]]
+    index = FMIndex(parts, owner, window)
+    hit = np.zeros(len(flat), bool)
+    for at in range(0, len(parts), STREAM):
+        length = index.statistics(parts[at : at + STREAM], owner[at : at + STREAM])
+        of = np.concatenate([np.arange(s, e) for s, e in zip(start[at : at + STREAM], end[at : at + STREAM], strict=True)])
+        hit[of] = length >= window
+    begin, stop = _runs(hit, segment)
+    first = (np.cumsum(sizes) - sizes)[segment[begin]]
+    return segment[begin], begin - first, stop - first
 
 
 def _searched(cut: DataFrame, window: int, shard: int) -> DataFrame:
@@ -173,14 +198,15 @@ def _searched(cut: DataFrame, window: int, shard: int) -> DataFrame:
 
 
 def _spans(docs: DataFrame, window: int, grams: Sequence[int], crowd: int, shard: int) -> DataFrame:
-    """From (id, holder, text): id, holder and the word range [start, end) of each run of windows that smaller ids have."""
+    """From (id, holder, text): id, holder and spans, word ranges [start, end) of runs of windows that smaller ids have; an id and holder may come several times."""
     found = _segments(docs, window, grams[0])
     shared = found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("anchor")
     held = stored(found.join(shared, "anchor", "left_semi"), "shared")
     distinct = held.groupBy("digest").agg(F.min(F.struct("id", "holder", "first", "n", "anchor")).alias("s")).select("digest", "s.*")
     distinct = stored(distinct, "distinct")
     least = distinct.select("digest", F.col("id").alias("least"))
-    copies = held.join(least, "digest").filter("id > least").select("id", "holder", F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
+    whole = F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end")))
+    copies = held.join(least, "digest").filter("id > least").select("id", "holder", whole.alias("spans"))
 
     seen = distinct.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("seen"))
     crowded = (F.col("seen") > crowd) & F.lit(len(grams) > 1)
@@ -189,20 +215,22 @@ def _spans(docs: DataFrame, window: int, grams: Sequence[int], crowd: int, shard
     # rows that repeat an id and a text give their segments once
     once = _compressed(docs).join(runs, ["id", "holder"]).groupBy("id", "holder").agg(F.first("packed").alias("packed"), F.first("runs").alias("runs"))
     cut = stored(_cut(once, window), "segments")
-    inner = _searched(cut.filter("NOT crowded"), window, shard)
+    inner = _searched(cut.filter("NOT crowded"), window, shard).select("digest", "id", F.array(F.struct("start", "end")).alias("spans"))
     if len(grams) > 1 and not cut.filter("crowded").isEmpty():
         again = cut.filter("crowded").select("id", F.col("digest").alias("holder"), F.col("segment").alias("text"))
-        inner = inner.union(_spans(again, window, grams[1:], crowd, shard).select(F.col("holder").alias("digest"), "id", "start", "end"))
+        inner = inner.union(_spans(again, window, grams[1:], crowd, shard).select(F.col("holder").alias("digest"), "id", "spans"))
+    # one row per segment, whose spans go to its places
+    inner = inner.groupBy("digest", "id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     places = held.select("id", "holder", "first", "digest")
-    first = places.join(inner, ["digest", "id"]).select("id", "holder", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
-    return copies.union(first)
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))
+    return copies.union(places.join(inner, ["digest", "id"]).select("id", "holder", moved.alias("spans")))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, grams: Sequence[int] = GRAMS, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """From (id, holder, text): id, holder and spans, the word ranges [start, end) that repeat windows of smaller ids. Only documents that have any."""
     if grams[-1] != window:
         raise ValueError("the last of grams must be a window")
-    return _spans(docs.filter("id IS NOT NULL"), window, grams, crowd, shard).groupBy("id", "holder").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return _spans(docs.filter("id IS NOT NULL"), window, grams, crowd, shard).groupBy("id", "holder").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False, **how) -> DataFrame:
