@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import streaming
 from ..operators import config, correlate, counters, events, query, sampling, shape
-from ..schemas import Family
+from ..schemas import FAMILIES, Family, MetricSpec
 from ..sources import logs, store
 from ..sources.shared import new_path
 from .views import duck, view
@@ -98,6 +98,20 @@ def b7_to_metrics(spark, sf_dir):
     return shape.family_metrics(wide, _IO)
 
 
+@registered("", """, w AS (SELECT ms - ms % 3600000 AS bucket, 'n' || (user_id % 3) AS node_id, event_type AS type, k AS estimated, CASE WHEN k % 2 = 0 THEN user_id END AS tripped, event_id AS "limit" FROM ev)
+    SELECT bucket, node_id, type, metric, value::DOUBLE AS value FROM (UNPIVOT w ON estimated, tripped, "limit" INTO NAME metric VALUE value)
+    UNION ALL SELECT bucket, node_id, type, 'room', "limit" - estimated FROM w""")
+def j1_declared_metrics(spark, sf_dir):
+    """The metrics of a declared family, and one by an expression of its own."""
+    ev = view(spark, sf_dir, "ev")
+    wide = ev.select(
+        fn.bucket(F.col("ms"), HOUR).alias("bucket"), F.concat(F.lit("n"), F.col("user_id") % 3).alias("node_id"), F.col("event_type").alias("type"), F.col("k").alias("estimated"),
+        F.when(F.col("k") % 2 == 0, F.col("user_id")).alias("tripped"), F.col("event_id").alias("limit"),
+    )
+    family = FAMILIES["circuit_breaker"]
+    return shape.to_metrics(wide, list(family.dims), [*family.metrics, MetricSpec("room", "CAST(limit - estimated AS DOUBLE)", tuple(family.dims))])
+
+
 @registered("shards", "SELECT id, CASE WHEN state IN ('RECOVERING', 'POST_RECOVERY', 'STARTED') THEN writing + ram ELSE 0 END AS bytes FROM shards")
 def b8_index_buffer_bytes(spark, sf_dir):
     return view(spark, sf_dir, "shards").select("id", fn.index_buffer_bytes(F.col("state"), F.col("writing"), F.col("ram")).alias("bytes"))
@@ -413,15 +427,11 @@ def _rows(spark, sf_dir):
 
 @registered("", "SELECT event_id AS record, 1 AS pos, ms AS time_ms, event_type AS type, k AS estimated, CASE WHEN k % 2 = 0 THEN user_id END AS tripped, NULL::BIGINT AS \"limit\" FROM ev UNION ALL SELECT event_id, 2, ms, 'x', NULL, NULL, 7 FROM ev WHERE event_id % 3 <> 0")
 def a2_sample_records(spark, sf_dir):
-    from ..schemas import FAMILIES
-
     return logs.quarantine(logs.parsed(logs.sample_rows(_rows(spark, sf_dir), "record", "text"), FAMILIES["circuit_breaker"]))[0]
 
 
 @registered("", "SELECT count(*) AS bad FROM ev WHERE event_id % 3 = 0")
 def a5_quarantine(spark, sf_dir):
-    from ..schemas import FAMILIES
-
     bad = logs.quarantine(logs.parsed(logs.sample_rows(_rows(spark, sf_dir), "record", "text"), FAMILIES["circuit_breaker"]))[1]
     return bad.agg(F.count(F.lit(1)).alias("bad"))
 
