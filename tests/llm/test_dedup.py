@@ -138,6 +138,9 @@ def test_matching_statistics():
         queries = [rng.integers(0, sigma + 3, rng.integers(1, 25)) for _ in range(5)] + texts[:2]
         own = np.concatenate([rng.integers(0, 7, 5), owners[:2]])
         length, at = index.statistics(queries, own), 0
+        least = int(rng.integers(1, cap + 1))
+        ended = index.statistics(queries, own, least)
+        assert (ended[length >= least] == length[length >= least]).all() and (ended <= length).all()
         for q, o in zip(map(np.ndarray.tolist, queries), own):
             earlier = [t.tolist() for t, owner in zip(texts, owners) if owner < o]
             known = {tuple(t[i:j]) for t in earlier for i in range(len(t)) for j in range(i + 1, min(len(t), i + cap) + 1)}
@@ -165,7 +168,7 @@ def test_the_search_decides(spark, monkeypatch):
     segments = [r[1].encode() for r in rows]
     assert [x.tolist() for x in substring_dedup.shard_spans(segments, np.arange(6), 12)] == [[1, 2, 3, 4, 5], [10] * 5, [29] * 5]
     for constant in (0, 12):
-        monkeypatch.setattr(fm_index.FMIndex, "statistics", lambda self, queries, owners, n=constant: np.full(sum(map(len, queries)), n))
+        monkeypatch.setattr(fm_index.FMIndex, "statistics", lambda self, queries, owners, least, n=constant: np.full(sum(map(len, queries)), n))
         assert [x.tolist() for x in substring_dedup.shard_spans(segments, np.arange(6), 12)] != [[1, 2, 3, 4, 5], [10] * 5, [29] * 5]
 
 

@@ -168,12 +168,13 @@ class FMIndex:
         wide_high[some] = self._after(high[some], size[some])
         return wide_low, wide_high, size
 
-    def statistics(self, queries: list[np.ndarray], owners: np.ndarray) -> np.ndarray:
+    def statistics(self, queries: list[np.ndarray], owners: np.ndarray, least: int = 0) -> np.ndarray:
         """For the queries one after another: at each word, how many words from there on occur in sequences of a lesser owner than the query's (cap at most).
 
         A query moves to the left by backward search, as long as the interval of rows
         holds a lesser owner; if not, the interval is widened to a shorter prefix first.
-        Words that the index doesn't have are symbol 0 or beyond its symbols.
+        Words that the index doesn't have are symbol 0 or beyond its symbols. A query ends
+        where no statistic of `least` can follow; the words before have 0 then.
         """
         sizes = np.array([len(q) for q in queries], np.int64)
         offsets = np.cumsum(sizes) - sizes
@@ -184,8 +185,10 @@ class FMIndex:
         order = np.argsort(-sizes, kind="stable")
         low, high = np.zeros(len(queries), np.int64), np.full(len(queries), self.rows, np.int64)
         size = np.zeros(len(queries), np.int64)
+        ended = np.zeros(len(queries), bool)
         for back in range(1, int(sizes.max(initial=0)) + 1):
             live = order[: np.searchsorted(-sizes[order], -back, "right")]
+            live = live[~ended[live]]
             at = offsets[live] + sizes[live] - back
             symbol = flat[at]
             unknown = live[symbol == 0]
@@ -204,5 +207,10 @@ class FMIndex:
                 go = ~ok & (size[todo] > 0)
                 todo, symbol = todo[go], symbol[go]
                 low[todo], high[todo], size[todo] = self._widened(low[todo], high[todo])
-            length[at] = np.minimum(size[live], self.cap)
+                # with this word and all those before it
+                enough = size[todo] + 1 + sizes[todo] - back >= least
+                ended[todo[~enough]] = True
+                todo, symbol = todo[enough], symbol[enough]
+            length[at] = np.where(ended[live], 0, np.minimum(size[live], self.cap))
+            ended[live[size[live] + sizes[live] - back < least]] = True
         return length

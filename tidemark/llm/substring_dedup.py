@@ -175,7 +175,7 @@ def shard_spans(segments: list[bytes], ids: np.ndarray, window: int = WINDOW) ->
     index = FMIndex(parts, owner, window)
     hit = np.zeros(len(flat), bool)
     for at in range(0, len(parts), STREAM):
-        length = index.statistics(parts[at : at + STREAM], owner[at : at + STREAM])
+        length = index.statistics(parts[at : at + STREAM], owner[at : at + STREAM], window)
         of = np.concatenate([np.arange(s, e) for s, e in zip(start[at : at + STREAM], end[at : at + STREAM], strict=True)])
         hit[of] = length >= window
     begin, stop = _runs(hit, segment)
