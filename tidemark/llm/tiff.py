@@ -69,92 +69,102 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
+    """Runs of three and more as repeats, all else as literals of 128 at most."""
+    held = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+    size = np.diff(np.append(edge, len(held)))
+    long = size >= 3
     out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 1:
-            out += bytes([257 - run, data[at]])
-            at += run
-            continue
-        end = at + 1
-        while end < len(data) and end - at < 128 and not (end + 1 < len(data) and data[end] == data[end + 1]):
-            end += 1
-        out += bytes([end - at - 1]) + data[at:end]
-        at = end
+
+    def literal(end: int) -> None:
+        for k in range(at, end, 128):
+            out.append(min(end - k, 128) - 1)
+            out.extend(data[k : min(end, k + 128)])
+
+    for start, n in zip(edge[long].tolist(), size[long].tolist(), strict=True):
+        literal(start)
+        for k in range(0, n, 128):
+            part = min(n - k, 128)
+            out += bytes([257 - part if part > 1 else 0, data[start]])
+        at = start + n
+    literal(len(data))
     return bytes(out)
 
 
+#: LZW codes that clear the table and that end the data; a table is cleared before it has 4,094 codes.
+_CLEAR, _END, _FULL = 256, 257, 4094
+_SINGLE = [bytes([i]) for i in range(256)] + [b"", b""]
+#: Widths of the codes after a clear code: code k adds the entry 257 + k, and the width grows one code early.
+_WIDTHS = np.array([9 if k <= 254 else 10 if k <= 766 else 11 if k <= 1790 else 12 for k in range(1, 4096)])
+_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, highest bit first; 256 clears the table, 257 ends; the width grows one code early."""
-    out, single = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last = list(single), 9, None
-    bits = held = 0
-    for byte in data:
-        bits, held = (bits << 8) | byte, held + 8
-        if held < width:
-            continue
-        held -= width
-        code, bits = bits >> held, bits & ((1 << held) - 1)
-        if code == 256:
-            table, width, last = list(single), 9, None
-            continue
-        if code == 257 or len(out) >= size:
+    """Codes of 9 to 12 bits, highest bit first, all of a table read at once: their widths follow from their number."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
+    words = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]  # 32 bits from each byte on
+    out: list[bytes] = []
+    held, at, bits = 0, 0, 8 * len(data)
+    while held < size:
+        n = int(np.searchsorted(_STARTS, bits - at, "right")) - 1
+        if n < 1:
             break
-        if last is None:
-            word = table[code]
-        else:
-            if code > len(table):
-                raise ValueError("LZW code out of range")
-            word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:
-                width += 1
-        out += word
-        last = word
-    return bytes(out[:size])
+        place, width = at + _STARTS[:n], _WIDTHS[:n]
+        codes = (words[place >> 3] >> (32 - width - (place & 7)).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+        stop = np.flatnonzero((codes == _CLEAR) | (codes == _END))
+        last = int(stop[0]) if len(stop) else n
+        table, before = list(_SINGLE), None
+        for code in codes[:last].tolist():
+            if before is None:
+                word = table[code]
+            else:
+                if code > len(table):
+                    raise ValueError("LZW code out of range")
+                word = table[code] if code < len(table) else before + before[:1]
+                table.append(before + word[:1])
+            out.append(word)
+            held += len(word)
+            if held >= size:
+                break
+            before = word
+        if last == n or codes[last] == _END:
+            break
+        at += int(_STARTS[last + 1])
+    return b"".join(out)[:size]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-    single = {bytes([i]): i for i in range(256)}
-    table, width, word = dict(single), 9, b""
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        bits, held = (bits << width) | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held)
-            bits &= (1 << held) - 1
-
-    put(256)
-    n = 258
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
-            continue
-        put(table[word])
-        table[longer] = n
-        n += 1
-        word = data[i : i + 1]
-        if n == 4094:
-            put(table[word])
-            put(256)
-            table, width, n, word = dict(single), 9, 258, b""
-        elif n >= 1 << width:
-            width += 1
-    if word:
-        put(table[word])
-        n += 1
-        if n >= 1 << width and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append((bits << (8 - held)) & 255)
-    return bytes(out)
+    codes, widths = [_CLEAR], [9]
+    at = 0
+    while at < len(data):
+        table: dict[int, int] = {}  # by a code and the byte after it
+        word, n, k = data[at], 258, at + 1
+        first = len(codes)
+        for k in range(at + 1, len(data)):
+            key = (word << 8) | data[k]
+            longer = table.get(key)
+            if longer is None:
+                codes.append(word)
+                table[key] = n
+                n += 1
+                word = data[k]
+                if n == _FULL:
+                    break
+            else:
+                word = longer
+        codes.append(word)
+        at = len(data) if n < _FULL else k + 1
+        codes.append(_CLEAR if n == _FULL else _END)
+        widths.append(_WIDTHS[: len(codes) - first])
+    if len(codes) == 1:
+        codes.append(_END)
+        widths.append(np.array([9]))
+    width = np.concatenate([np.atleast_1d(w) for w in widths])
+    if codes[-1] == _CLEAR:  # the data ends with a full table
+        codes.append(_END)
+        width = np.append(width, 9)
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
 
 
 def _decoded(data: bytes, compression: int, size: int) -> bytes:
@@ -340,7 +350,7 @@ def write_tiff(pages: list[np.ndarray], layouts: list[Layout]) -> bytes:
 
 
 #: Layouts that the pages of stored payloads go around.
-LAYOUTS = [Layout(c, p, tile=t) for t in (None, (256, 32)) for c, p in ((DEFLATE, 2), (LZW, 2), (PACKBITS, 1), (PLAIN, 1))]
+LAYOUTS = [Layout(c, p, tile=t) for t in (None, (256, 32)) for c, p in ((DEFLATE, 2), (LZW, 1), (PACKBITS, 1), (PLAIN, 1))]
 
 
 def store_payload(payload: bytes) -> bytes:
