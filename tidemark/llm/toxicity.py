@@ -108,8 +108,13 @@ def fit(y: np.ndarray, start: np.ndarray, place: np.ndarray, factors: int = FACT
     rate = float(y.mean()) if len(y) else 0.0
     if not 0 < rate < 1:
         return Model(30.0 if rate else -30.0, np.zeros(PLACES), np.zeros((PLACES, factors)), np.zeros(PLACES))
-    n = np.bincount(place, minlength=PLACES)
-    surplus = np.bincount(place, np.repeat(y, np.diff(start)), PLACES) - n * rate
+    n, surplus = np.zeros(PLACES), np.zeros(PLACES)
+    for at in range(0, len(y), 1024):  # by blocks, as weights and places become longer numbers here
+        cuts = start[at : at + 1025]
+        own = place[cuts[0] : cuts[-1]]
+        seen = np.bincount(own, minlength=PLACES)
+        n += seen
+        surplus += np.bincount(own, np.repeat(y[at : at + 1024], np.diff(cuts)), PLACES) - seen * rate
     z2 = surplus**2 / (n * rate * (1 - rate) * (1 - n / len(y)) + 2)
     evidence, support = z2 / (z2 + EVIDENCE), n / (n + SUPPORT)
     rng = np.random.default_rng(7)
@@ -179,10 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     upto = F.sum(F.size("places")).over(Window.orderBy("__hash", "__id"))  # at most TRAIN_ROWS rows
     first = held.select("__id", "__hash", upto.alias("upto")).filter(F.col("upto") <= terms)
     # at most `terms` numbers
-    got = held.join(F.broadcast(first.select("__id")), "__id", "left_semi").toArrow().combine_chunks().sort_by([("__hash", "ascending"), ("__id", "ascending")])
-    lists = got["places"].combine_chunks()
-    start = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return fit(got["__label"].to_numpy().astype(float), start, pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32))
+    got = held.join(F.broadcast(first.select("__id")), "__id", "left_semi").orderBy("__hash", "__id").select("__label", "places").toArrow()
+    y = got["__label"].to_numpy().astype(float)
+    start = np.concatenate([[0], np.cumsum(pc.list_value_length(got["places"]).to_numpy())]).astype(np.int64)
+    place = np.concatenate([np.zeros(0, np.int32), *[pc.list_flatten(c).to_numpy(zero_copy_only=False) for c in got["places"].chunks]])
+    del got  # the places are held once
+    return fit(y, start, place)
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
