@@ -53,6 +53,16 @@ class WaveletMatrix:
             at = np.where(symbol & (1 << level), self.zeros[k] + ones, at - ones)
         return at - self.start[symbol]
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it comes before."""
+        at, symbol = at.astype(np.int32), np.zeros(len(at), np.int32)
+        for k in range(self.levels):
+            bit = (self.words[k][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+            ones = self._ones(k, at)
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
+            symbol = (symbol << 1) | bit
+        return symbol, at - self.start[symbol]
+
     def below(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
         """How many symbols between low and high (not included) are less than each value."""
         n, at = len(low), np.concatenate([low, high]).astype(np.int32)
@@ -214,3 +224,67 @@ class FMIndex:
             length[at] = np.where(ended[live], 0, np.minimum(size[live], self.cap))
             ended[live[size[live] + sizes[live] - back < least]] = True
         return length
+
+
+class PhraseIndex:
+    """Where phrases occur in sequences of symbols from 1 on, which stand one after another; none crosses the end of one.
+
+    Kept are the transform as a wavelet matrix and one position in SAMPLE; the sequences are dropped.
+    """
+
+    SAMPLE = 32
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
+        ends = np.cumsum(sizes + 1) - 1
+        text = np.zeros(len(symbols) + len(sizes) + 1, np.int64)
+        inside = np.ones(len(text), bool)
+        inside[ends] = inside[-1] = False
+        names, text[inside] = np.unique(symbols, return_inverse=True)
+        text[inside] += 1
+        text[-1] = sigma = len(names) + 1  # comes once, so that all rotations differ
+        suffixes = FMIndex._sorted(text, sigma + 1)[0]
+        self.names, self.rows, self.ends = names, len(text), ends
+        self.transform = WaveletMatrix(text[suffixes - 1], sigma + 1)
+        counts = np.bincount(text, minlength=sigma + 1)
+        self.first = np.cumsum(counts) - counts
+        kept = suffixes % self.SAMPLE == 0
+        self.kept = WaveletMatrix(kept.astype(np.int8), 2)
+        self.positions = suffixes[kept].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.transform, self.kept, self.positions, self.names, self.first, self.ends))
+
+    def intervals(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of phrases (a row each) those that occur, and the rows [low, high) that begin with each: backward search, a symbol at a time."""
+        place = np.minimum(np.searchsorted(self.names, phrases), len(self.names) - 1)
+        live = np.flatnonzero((self.names[place] == phrases).all(axis=1))
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.rows, np.int64)
+        for k in range(phrases.shape[1] - 1, -1, -1):
+            symbol = place[live, k] + 1
+            n = len(live)
+            both = self.transform.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+            low, high = self.first[symbol] + both[:n], self.first[symbol] + both[n:]
+            some = high > low
+            live, low, high = live[some], low[some], high[some]
+        return live, low, high
+
+    def located(self, row: np.ndarray) -> np.ndarray:
+        """The position of each row: how many steps to the left it is from one that is kept."""
+        out, todo, back = np.empty(len(row), np.int64), np.arange(len(row)), 0
+        while len(todo):
+            is_kept, number = self.kept.access(row)
+            there = is_kept == 1
+            out[todo[there]] = self.positions[number[there]] + back
+            todo, row = todo[~there], row[~there]
+            symbol, before = self.transform.access(row)
+            row, back = self.first[symbol] + before, back + 1
+        return out
+
+    def find(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, place) of all occurrences; places count symbols alone, without the gaps between sequences."""
+        phrase, low, high = self.intervals(phrases)
+        n = high - low
+        rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
+        at = self.located(rows)
+        return np.repeat(phrase, n), at - np.searchsorted(self.ends, at)
