@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import bucket
 from ..operators.events import EXPIRY_MS, KEYS
+from .ordered import Walk, walked
 
 
 def route_buckets(events: DataFrame, purge_ms: int, interval_ms: int = 5000, time: str = "ms") -> DataFrame:
@@ -56,106 +55,81 @@ def _delta(kind: str, value: int, time: int, before: int | None, when: int | Non
 DELTAS = ("first_absolute", "max_gap", "baseline_zero", "baseline_zero_signed")
 
 
-def _whole(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls of the named columns as 0 and a flag `__no_...`: in pandas one null would turn a column of longs into floats."""
-    return stream.withColumns({f"__no_{c}": F.col(c).isNull() for c in columns} | {c: F.coalesce(c, F.lit(0).cast(stream.schema[c].dataType)) for c in columns})
+def _first_null(*values: object) -> tuple:
+    """Sort key with nulls first, as windows have it."""
+    return tuple((v is not None, 0 if v is None else v) for v in values)
 
 
-def _in_order(frames: Iterator[pd.DataFrame], columns: Sequence[str], order: Sequence[str]) -> Iterator[tuple]:
-    """A key's rows of a micro-batch in order; only the columns named are held. How many there can be is the source's maxFilesPerTrigger or maxBytesPerTrigger."""
-    held = [f[list(columns)] for f in frames]
-    return pd.concat(held).sort_values(list(order)).itertuples(index=False, name=None)
-
-
-def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
-    """Rows with nullable longs."""
-    kinds = {T.LongType: "Int64", T.StringType: "object"}
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
-    return pd.DataFrame({f.name: pd.Series(list(c), dtype=kinds.get(type(f.dataType), "object")) for f, c in zip(schema, columns, strict=True)})
-
-
-def stream_counter_deltas(samples: DataFrame, keys: Sequence[str], time: str, tiebreak: str, counter: str, kind: str = "first_absolute", max_gap: int | None = None, ts: str | None = None, grace: str = "5 seconds") -> DataFrame:
+def stream_counter_deltas(
+    samples: DataFrame, keys: Sequence[str], time: str, tiebreak: str, counter: str, kind: str = "first_absolute", max_gap: int | None = None,
+    ts: str | None = None, grace: str = "5 seconds", ordered: bool = False, slot_ms: int = 60_000, ttl_ms: int | None = None,
+) -> DataFrame:
     """Keys, time, tiebreak and `delta` of each sample; a key's last sample is its state. Kinds: those of the batch operators.
 
     A null counter gives a null delta and is no baseline. A key's samples must not come late by more than a
     micro-batch; within one they are put in order. ts names `time` as a timestamp: samples later than its watermark
     allows are dropped then, and for max_gap the state of a key ends once it was silent for that long, as its next
-    sample gives 0 either way. Other kinds keep their baseline for ever, as it must outlive any silence.
+    sample gives 0 either way. Other kinds keep their baseline for ever, as it must outlive any silence, unless ttl_ms
+    gives the time after which a silent key's state may go (without ts). ordered (with ts): samples wait for the watermark, and so are in
+    order across micro-batches too. slot_ms: how much of a key's time is put in order at once.
     """
     if kind not in DELTAS or (kind == "max_gap") != (max_gap is not None):
         raise ValueError(f"kind must be one of {', '.join(DELTAS)}; max_gap goes with the second")
-    schema = T.StructType([*[samples.schema[k] for k in keys], T.StructField(time, T.LongType()), T.StructField(tiebreak, T.LongType()), T.StructField("delta", T.LongType())])
-    state_schema = T.StructType.fromDDL("value long, time long")
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before, when = state.get if state.exists else (None, None)
-        made = []
-        for t, tie, v, none in _in_order(frames, [time, tiebreak, counter, f"__no_{counter}"], [time, tiebreak]):
-            made.append((*key, t, tie, None if none else _delta(kind, v, t, before, when, max_gap)))
-            before, when = (before, when) if none else (v, t)
-        if before is not None:
-            state.update((before, when))
-            if expires:
-                state.setTimeoutTimestamp(max(when + max_gap, state.getCurrentWatermarkMs()) + 1)
-        yield _frame(made, schema)
-
-    expires = ts is not None and max_gap is not None
-    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    if (ordered and ts is None) or (ttl_ms is not None and ts is not None):
+        raise ValueError("ordered needs ts, and ttl_ms goes without")
+    emitted = T.StructType([*[samples.schema[k] for k in keys], T.StructField(time, T.LongType()), T.StructField(tiebreak, T.LongType()), T.StructField("delta", T.LongType())])
+
+    def step(key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        t, tie, v = row
+        before, when = state or (None, None)
+        made = [(*key, t, tie, None if v is None else _delta(kind, v, t, before, when, max_gap))]
+        return (state if v is None else (v, t)), made
+
     held = samples if ts is None else samples.withWatermark(ts, grace)
-    return _whole(held, [counter]).groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", timeout)
+    walk = Walk(
+        T.StructType([T.StructField(c, T.LongType()) for c in ("time", "tie", "value")]), T.StructType.fromDDL("value long, time long"), emitted, step,
+        lambda r: _first_null(r[0], r[1]), lambda r: r[0], slot_ms, max_gap if ts is not None else None, ordered, ttl_ms,
+    )
+    named = held.select(*keys, F.col(time).cast("long").alias("time"), F.col(tiebreak).cast("long").alias("tie"), F.col(counter).cast("long").alias("value"), *[ts] * (ts is not None))
+    return walked(named, keys, walk)
 
 
-def stream_poll_events(polls: DataFrame, interval_ms: int = 1000) -> DataFrame:
+def stream_poll_events(polls: DataFrame, interval_ms: int = 1000, slot_ms: int = 60_000) -> DataFrame:
     """node_id, seq, time_ms, event, task, run, task_type, metadata of polls (node_id, seq, poll_ms, head_order, source). State: a node's head and number of starts."""
-    schema = T.StructType.fromDDL("node_id string, seq long, time_ms long, event string, task long, run long, task_type string, metadata string")
-    state_schema = T.StructType.fromDDL("head long, run long")
+    emitted = T.StructType.fromDDL("node_id string, seq long, time_ms long, event string, task long, run long, task_type string, metadata string")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        head, n = state.get if state.exists else (-1, 0)
+    def step(key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        ms, seq, task, source = row
+        head, n = state or (-1, 0)
+        task = -1 if task is None else task
         made = []
-        for ms, seq, task, none, source in _in_order(frames, ["poll_ms", "seq", "head_order", "__no_head_order", "source"], ["poll_ms", "seq"]):
-            task = -1 if none else task
-            if task == head:
-                continue
-            at = ms - interval_ms // 2
+        if task != head:
+            at = None if ms is None else ms - interval_ms // 2
             if head != -1:
                 made.append((key[0], seq, at, "finish", head, n, None, None))
             if task != -1:
                 n += 1
                 kind, space, rest = (None, "", "") if source is None else source.partition(" ")
                 made.append((key[0], seq, at, "start", task, n, kind, None if kind is None else space + rest))
-            head = task
-        state.update((head, n))
-        yield _frame(made, schema)
+        return (task, n), made
 
-    return _whole(polls, ["head_order"]).groupBy("node_id").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    fields, state = T.StructType.fromDDL("poll_ms long, seq long, head_order long, source string"), T.StructType.fromDDL("head long, run long")
+    return walked(polls.select("node_id", *[F.col(f.name).cast(f.dataType) for f in fields]), ["node_id"], Walk(fields, state, emitted, step, lambda r: _first_null(r[0], r[1]), lambda r: r[0], slot_ms))
 
 
-def stream_implicit_finish(starts: DataFrame) -> DataFrame:
+def stream_implicit_finish(starts: DataFrame, slot_ms: int = 60_000) -> DataFrame:
     """node_id, thread_id, op_id, start_ms, finish_ms of operations (node_id, thread_id, op_id, start_ms) that end when the next starts on their thread. State: a thread's open operation.
 
     An operation without a start time comes first on its thread, as in the batch operator.
     """
-    schema = T.StructType.fromDDL("node_id string, thread_id long, op_id long, start_ms long, finish_ms long")
-    state_schema = T.StructType.fromDDL("op_id long, start_ms long")
+    emitted = T.StructType.fromDDL("node_id string, thread_id long, op_id long, start_ms long, finish_ms long")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = tuple(state.get) if state.exists else None
-        made = []
-        rows = _in_order(frames, ["__first", "start_ms", "__first_op", "op_id", "__no_start_ms", "__no_op_id"], ["__first", "start_ms", "__first_op", "op_id"])
-        for _, ms, _, op, no_ms, no_op in rows:
-            own = (None if no_op else op, None if no_ms else ms)
-            if opened is not None:
-                made.append((*key, *opened, own[1]))
-            opened = own
-        state.update(opened)
-        yield _frame(made, schema)
-
-    held = _whole(starts, ["op_id", "start_ms"]).withColumns({"__first": ~F.col("__no_start_ms"), "__first_op": ~F.col("__no_op_id")})
-    return held.groupBy("node_id", "thread_id").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        return row, [] if state is None else [(*key, *state, row[1])]
+
+    fields = T.StructType.fromDDL("op_id long, start_ms long")
+    walk = Walk(fields, fields, emitted, step, lambda r: _first_null(r[1], r[0]), lambda r: r[1], slot_ms)
+    return walked(starts.select("node_id", "thread_id", *[F.col(f.name).cast(f.dataType) for f in fields]), ["node_id", "thread_id"], walk)
 
 
 def dropped_late(query: StreamingQuery) -> int:
