@@ -104,3 +104,51 @@ def test_late_events_are_dropped_and_buckets_come_once(spark, tmp_path):
     got = streaming.run_available(streaming.stream_metrics(files(spark, tmp_path, parts), [], "v"), f"file://{tmp_path}/out", f"file://{tmp_path}/progress", counts)
     assert counts == {"late": 1}
     assert sorted((r["bucket"], r["n"]) for r in got.collect()) == [(0, 2), (30_000, 2)]
+
+
+def ordered_deltas(spark, tmp_path, df, parts, **how):
+    return ran(streaming.stream_counter_deltas(files(spark, tmp_path, parts), ["k"], "t", "seq", "v", **how), tmp_path)
+
+
+@pytest.mark.parametrize("kind", ["first_absolute", "max_gap"])
+def test_samples_in_order_across_batches(spark, tmp_path, kind):
+    """Samples that come late by two micro-batches, within what the watermark allows, count at their own time."""
+    large = (1 << 53) + 1
+    data = [("a", 1000, 1, large), ("a", 4000, 2, large + 9), ("a", 2000, 3, large + 2), ("b", 3000, 4, None), ("a", 3000, 5, None), ("b", 2500, 6, 7), ("c", 90_000, 7, 1)]
+    df = spark.createDataFrame(data, "k string, t long, seq long, v long").withColumn("ts", F.timestamp_millis("t"))
+    parts = [df.filter("seq <= 2"), df.filter("seq in (3, 4)"), df.filter("seq in (5, 6)"), df.filter("seq = 7")]
+    gap = 1500 if kind == "max_gap" else None
+    got = ordered_deltas(spark, tmp_path, df, parts, kind=kind, max_gap=gap, ts="ts", grace="10 seconds", ordered=True, slot_ms=1500)
+    if kind == "max_gap":
+        want = counters.delta_max_gap(df, ["k"], "t", "v", gap, ["seq"])
+    else:
+        want = counters.delta_first_absolute(df, ["k"], ["t", "seq"], ["v"]).withColumnRenamed("v", "delta")
+    rows = lambda d: sorted(tuple(r) for r in d.select("k", "seq", F.coalesce("delta", F.lit(-1)).alias("d")).collect())
+    assert rows(got) == rows(want.filter("k <> 'c'"))  # the last time isn't over yet
+
+
+def test_a_hot_key_goes_through_the_state_store(spark, tmp_path):
+    """One key with more rows in a micro-batch than are put in order at once, and rows without a time."""
+    n = 30_000
+    df = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 7919 % n).alias("t"), F.col("id").alias("seq"), (F.col("id") * 31 % 1009).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("k", None, n, 5), ("k", None, n + 1, 6)], "k string, t long, seq long, v long"))
+    got = ordered_deltas(spark, tmp_path, df, [df.repartition(1)], slot_ms=1000)
+    want = counters.delta_first_absolute(df, ["k"], ["t", "seq"], ["v"]).withColumnRenamed("v", "delta")
+    assert got.select("seq", "delta").exceptAll(want.select("seq", "delta")).count() == 0 and got.count() == n + 2
+
+
+def test_state_that_has_expired_is_no_baseline(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1000, 1, 5), ("b", 500_000, 2, 1), ("b", 600_000, 3, 2), ("a", 601_000, 4, 6)], "k string, t long, seq long, v long").withColumn("ts", F.timestamp_millis("t"))
+    parts = [df.filter(f"seq = {i}") for i in (1, 2, 3, 4)]
+    progress = f"file://{tmp_path}/progress"
+    got = ordered_deltas(spark, tmp_path, df, parts, kind="max_gap", max_gap=10_000, ts="ts")
+    assert sorted((r["seq"], r["delta"]) for r in got.collect()) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    held = spark.read.format("statestore").option("path", progress).option("stateVarName", "carried").load()
+    assert {r["key"]["k"]: r["value"]["time"] for r in held.select("key", "value").collect()} == {"a": 601_000, "b": 600_000}
+
+
+def test_options_that_exclude_each_other(spark):
+    df = spark.createDataFrame([], "k string, t long, seq long, v long, ts timestamp")
+    for how in ({"ordered": True}, {"ts": "ts", "ttl_ms": 5}, {"kind": "x"}, {"kind": "max_gap"}):
+        with pytest.raises(ValueError):
+            streaming.stream_counter_deltas(df, ["k"], "t", "seq", "v", **how)
