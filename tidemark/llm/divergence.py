@@ -39,7 +39,7 @@ MIN_DOCS, ADDED = 30, 5
 #: A share of 1; and how many terms of each source are listed.
 WHOLE, TOP = 1_000_000_000, 50
 #: Bytes of text that go through Arrow's kernels at a time; counts of a shard's matrix.
-CHUNK_BYTES, CELLS = 32 << 20, 1 << 20
+CHUNK_BYTES, CELLS = 8 << 20, 1 << 16
 #: What parts terms in lower-cased text.
 BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 
