@@ -464,6 +464,15 @@ def a8_retain(spark, sf_dir):
     return store.retain(view(spark, sf_dir, "metrics"), RANGE[0] + DAY, 60)
 
 
+@registered("metrics", f"SELECT * FROM metrics WHERE bucket >= {RANGE[0]} + 10 * {DAY} + 600000 - 3600000")
+def a8_retain_store(spark, sf_dir):
+    """The table in a store whose retention then drops whole days and rewrites the day of the cut."""
+    path = new_path(spark, "store")
+    store.write_metrics(view(spark, sf_dir, "metrics"), path)
+    store.retain_store(spark, path, RANGE[0] + 10 * DAY + 600_000, 60, grace_ms=0)
+    return store.read_metrics(spark, path).select("bucket", "node_id", "metric", "shard_id", "value")
+
+
 @registered("metrics", f"""SELECT node_id, to_json({{'data': {{'fields': [{{'name': 'shard_id', 'type': 'DOUBLE'}}, {{'name': 'click', 'type': 'DOUBLE'}}],
     'records': list([CAST(shard_id::DOUBLE AS STRING), CAST(click AS STRING)] ORDER BY shard_id)}}, 'timestamp': {RANGE[1]}}})::STRING AS response
     FROM (SELECT node_id, shard_id, max(value) AS click FROM metrics WHERE metric = 'click' GROUP BY ALL) GROUP BY node_id""")
@@ -557,6 +566,16 @@ def i5_stream_metrics(spark, sf_dir):
     return _ran(streaming.stream_metrics(_stream(spark, sf_dir), ["event_type"], "k", "1 hour"))
 
 
+@registered("", f"SELECT ms - ms % {HOUR} AS bucket, event_type, 'k_sum' AS metric, sum(k)::DOUBLE AS value FROM ev WHERE ms - ms % {HOUR} + {HOUR} <= (SELECT max(ms) FROM ev) - 5000 GROUP BY ALL")
+def i5_stream_into_store(spark, sf_dir):
+    """Final buckets of a stream, written into a metric store batch by batch, and read back."""
+    final = streaming.stream_metrics(_stream(spark, sf_dir), ["event_type"], "k", "1 hour")
+    rows = final.select("bucket", "event_type", F.lit("k_sum").alias("metric"), F.col("sum").cast("double").alias("value"))
+    path = new_path(spark, "store")
+    store.stream_into_store(rows, path, new_path(spark, "progress"), "hours").awaitTermination()
+    return store.read_metrics(spark, path)
+
+
 @registered("op_start op_finish", f"{PAIRED}, g AS (SELECT finish_ms - finish_ms % {HOUR} AS bucket, op, index_name, shard_id, avg(latency_ms) AS l, sum(items) AS i FROM pair GROUP BY ALL) SELECT index_name, shard_id, round(avg(l), 6) AS latency_avg, sum(i)::DOUBLE AS items FROM g GROUP BY ALL")
 def query_latency_by_shard(spark, sf_dir):
     return flagship(spark, sf_dir).withColumn("latency_avg", F.round("latency_avg", 6))
