@@ -518,6 +518,15 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumns({"ms": F.unix_millis("ts"), "k": F.get_json_object("props", "$.k").cast("long")})
 
 
+def _operations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Starts and finishes of the views op_start and op_finish as streams."""
+    ev = _stream(spark, sf_dir)
+    keys = {"op_id": F.col("event_id"), "node_id": F.concat(F.lit("n"), F.col("user_id") % 3), "thread_id": F.col("user_id") % 16, "op": F.col("event_type")}
+    starts = ev.filter("event_id % 11 <> 5").select(*[c.alias(k) for k, c in keys.items()], F.timestamp_millis("ms").alias("start_ts"))
+    finishes = ev.filter("event_id % 10 <> 3").select(*[c.alias(k) for k, c in keys.items()], F.timestamp_millis(F.col("ms") + F.floor(F.col("value") * 1000)).alias("finish_ts"))
+    return starts, finishes
+
+
 def _ran(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     return streaming.run_available(stream, new_path(spark, "stream"), new_path(spark, "progress"))
@@ -531,14 +540,24 @@ def i1_route_buckets(spark, sf_dir):
 
 @registered("op_start op_finish", f"{PAIRED} SELECT op_id, latency_ms FROM pair WHERE latency_ms <= 600000")
 def i2_stream_pair_events(spark, sf_dir):
-    ev = _stream(spark, sf_dir)
-    keys = {"op_id": F.col("event_id"), "node_id": F.concat(F.lit("n"), F.col("user_id") % 3), "thread_id": F.col("user_id") % 16, "op": F.col("event_type")}
-    starts = ev.filter("event_id % 11 <> 5").select(*[c.alias(k) for k, c in keys.items()], F.timestamp_millis("ms").alias("start_ts"))
-    finishes = ev.filter("event_id % 10 <> 3").select(*[c.alias(k) for k, c in keys.items()], F.timestamp_millis(F.col("ms") + F.floor(F.col("value") * 1000)).alias("finish_ts"))
-    found = streaming.stream_pair_events(starts, finishes)
+    found = streaming.stream_pair_events(*_operations(spark, sf_dir))
     return _ran(found).filter("finish_ts IS NOT NULL").select("op_id", "latency_ms")
 
 
+# what is final by the streams' watermark, which is that of the one that is behind
+FINAL = """, w AS (SELECT least((SELECT max(start_ms) FROM op_start), (SELECT max(finish_ms) FROM op_finish)) - 5000 AS mark),
+    j AS (SELECT coalesce(s.op_id, f.op_id) AS op_id, s.start_ms, f.finish_ms, f.finish_ms - s.start_ms AS latency_ms FROM op_start s
+        FULL OUTER JOIN op_finish f ON s.node_id = f.node_id AND s.thread_id = f.thread_id AND s.op = f.op AND s.op_id = f.op_id AND f.finish_ms >= s.start_ms AND f.finish_ms <= s.start_ms + 600000),
+    c AS (SELECT op_id, CASE WHEN start_ms IS NULL THEN 'orphan_finish' WHEN finish_ms IS NULL THEN 'expired' ELSE 'complete' END AS state, latency_ms FROM j, w
+        WHERE latency_ms IS NOT NULL OR (start_ms IS NULL AND finish_ms < mark) OR (finish_ms IS NULL AND start_ms + 600000 < mark))"""
+
+
+@registered("op_start op_finish", f"{FINAL} SELECT * FROM c")
+def i2_stream_classify_pairs(spark, sf_dir):
+    """Operations that are complete, expired or without a start, as soon as that is final."""
+    return _ran(streaming.stream_classify_pairs(*_operations(spark, sf_dir))).select("op_id", "state", "latency_ms")
+
+
 @registered("", f"SELECT event_type AS name, ms, event_id AS seq, CASE WHEN ms - lag(ms) OVER w <= {HOUR} THEN greatest(k * 50 - lag(k * 50) OVER w, 0) ELSE 0 END AS delta FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY ms, event_id)")
 def i3_stream_counter_deltas(spark, sf_dir):
     samples = _stream(spark, sf_dir).select(F.col("event_type").alias("name"), "ms", F.col("event_id").alias("seq"), (F.col("k") * 50).alias("total"))

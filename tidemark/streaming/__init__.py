@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +34,35 @@ def stream_metrics(events: DataFrame, dims: Sequence[str], value: str, interval:
     return made.select(F.unix_millis("w.start").alias("bucket"), *dims, "n", "sum", "min", "max")
 
 
-def stream_pair_events(starts: DataFrame, finishes: DataFrame, keys: Sequence[str] = KEYS, grace: str = "5 seconds", expiry_ms: int = EXPIRY_MS) -> DataFrame:
-    """Starts with their finish within expiry_ms; those that stay open that long come without one. Times are start_ts and finish_ts."""
+def _stream_joined(starts: DataFrame, finishes: DataFrame, keys: Sequence[str], grace: str, expiry_ms: int, how: str) -> DataFrame:
     clash = {c: f"{c}_finish" for c in finishes.columns if c in starts.columns and c not in keys}
-    other = finishes.withWatermark("finish_ts", grace).withColumnsRenamed(clash).withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
+    # state is looked up by key, nulls included: a null key gets a side of its own, which the other stream doesn't have
+    side = lambda own: F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]), own).otherwise("both")
+    other = finishes.withColumn("__finish_side", side("finish")).withWatermark("finish_ts", grace).withColumnsRenamed(clash).withColumnsRenamed({k: f"__{k}" for k in keys})
+    starts = starts.withColumn("__start_side", side("start"))
+    on = [*[F.col(k) == F.col(f"__{k}") for k in keys], F.col("__start_side") == F.col("__finish_side")]
     on += [F.col("finish_ts") >= F.col("start_ts"), F.col("finish_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {expiry_ms} MILLISECONDS")]
-    found = starts.withWatermark("start_ts", grace).join(other, on, "left_outer").drop(*[f"__{k}" for k in keys])
-    return found.withColumn("latency_ms", F.unix_millis("finish_ts") - F.unix_millis("start_ts"))
+    found = starts.withWatermark("start_ts", grace).join(other, on, how).drop("__start_side", "__finish_side")
+    both = [F.coalesce(k, f"__{k}").alias(k) for k in keys]
+    rest = [c for c in found.columns if c not in keys and not (c.startswith("__") and c[2:] in keys)]
+    return found.select(*both, *rest).withColumn("latency_ms", F.unix_millis("finish_ts") - F.unix_millis("start_ts"))
+
+
+def stream_pair_events(starts: DataFrame, finishes: DataFrame, keys: Sequence[str] = KEYS, grace: str = "5 seconds", expiry_ms: int = EXPIRY_MS) -> DataFrame:
+    """Starts with their finish within expiry_ms; those that stay open that long come without one. Times are start_ts and finish_ts."""
+    return _stream_joined(starts, finishes, keys, grace, expiry_ms, "left_outer")
+
+
+def stream_classify_pairs(starts: DataFrame, finishes: DataFrame, keys: Sequence[str] = KEYS, grace: str = "5 seconds", expiry_ms: int = EXPIRY_MS) -> DataFrame:
+    """All operations with their state once it is final: complete, expired (no finish within expiry_ms), orphan_finish (no start that it could belong to).
+
+    A full outer join of two streams. A start is held until no finish within expiry_ms can come any more, a finish until no start
+    before it can; until then an operation is in flight and gives no row. A finish later than expiry_ms is
+    an orphan, and its start has expired. Null keys never pair. The stream must read on for expiry_ms and grace
+    beyond an operation to give its state.
+    """
+    state = F.when(F.col("start_ts").isNull(), "orphan_finish").when(F.col("finish_ts").isNull(), "expired").otherwise("complete")
+    return _stream_joined(starts, finishes, keys, grace, expiry_ms, "full_outer").withColumn("state", state)
 
 
 #: What a counter's growth counts as, by kind: from (value, time, value before, time before, longest gap).
