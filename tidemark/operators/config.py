@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import FEATURES, feature_bit
+from .running import running
 
 KINDS = ("rcas", "deciders", "actions", "collectors")
 
@@ -31,20 +32,15 @@ def fold_overrides(history: DataFrame, as_of: int | None = None, cluster: Sequen
     return last.groupBy(*cluster, "kind").agg(names(F.col("on")).alias("enabled"), names(~F.col("on")).alias("disabled"))
 
 
-def fold_feature_state(history: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+def fold_feature_state(history: DataFrame, cluster: str = "cluster_id", ranges: int | None = None) -> DataFrame:
     """Intervals [from_ms, to_ms) between changes of the state integer, per feature: enabled or not. The last one has no end.
 
     The pipeline follows its bit. Another feature follows its own, but is not switched on while the pipeline is off.
-    Before their first change features are off.
+    Before their first change features are off. ranges: see `running`.
     """
-    by = Window.partitionBy(cluster).orderBy("ts", "seq")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
     pipeline = feature_bit(F.col("state"), FEATURES[0])
-    columns = {FEATURES[0]: pipeline}
-    for name in FEATURES[1:]:
-        bit = feature_bit(F.col("state"), name)
-        counts = F.when(~((bit == 1) & (pipeline == 0)), bit)
-        columns[name] = F.coalesce(F.last(counts, ignorenulls=True).over(upto), F.lit(0))
-    rows = history.select(cluster, F.col("ts").alias("from_ms"), F.lead("ts").over(by).alias("to_ms"), *[c.alias(n) for n, c in columns.items()])
-    states = F.array(*[F.struct(F.lit(n).alias("feature"), (F.col(n) == 1).alias("enabled")) for n in FEATURES])
-    return rows.select(cluster, "from_ms", "to_ms", F.inline(states))
+    counts = {n: F.when(~((feature_bit(F.col("state"), n) == 1) & (pipeline == 0)), feature_bit(F.col("state"), n)) for n in FEATURES[1:]}
+    rows = running(history, [cluster], ["ts", "seq"], upto={f"__{n}": c for n, c in counts.items()}, after={"to_ms": F.col("ts")}, ranges=ranges)
+    on = {FEATURES[0]: pipeline == 1} | {n: F.coalesce(f"__{n}", F.lit(0)) == 1 for n in FEATURES[1:]}
+    states = F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("enabled")) for n, c in on.items()])
+    return rows.select(cluster, F.col("ts").alias("from_ms"), "to_ms", F.inline(states))

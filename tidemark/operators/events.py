@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bucket, task_metadata, task_type
+from .running import running
 
 #: Keys of an operation, as the path of its events carries them.
 KEYS = ("node_id", "thread_id", "op", "op_id")
@@ -51,10 +52,10 @@ def pair_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def implicit_finish(ops: DataFrame, thread: Sequence[str] = ("node_id", "thread_id"), order: Sequence[str] = ("start_ms", "op_id")) -> DataFrame:
-    """Operations that own their thread: one without a finish ends when the next one starts there."""
-    after = F.lead("start_ms").over(Window.partitionBy(*thread).orderBy(*order))
-    return ops.withColumn("finish_ms", F.coalesce("finish_ms", after)).withColumn("latency_ms", F.col("finish_ms") - F.col("start_ms"))
+def implicit_finish(ops: DataFrame, thread: Sequence[str] = ("node_id", "thread_id"), order: Sequence[str] = ("start_ms", "op_id"), ranges: int | None = None) -> DataFrame:
+    """Operations that own their thread: one without a finish ends when the next one starts there. ranges: see `running`."""
+    rows = running(ops, thread, order, after={"__after": F.col("start_ms")}, ranges=ranges)
+    return rows.withColumn("finish_ms", F.coalesce("finish_ms", "__after")).withColumn("latency_ms", F.col("finish_ms") - F.col("start_ms")).drop("__after")
 
 
 def _latency() -> list[Column]:
@@ -94,15 +95,15 @@ def fault_metrics(events: DataFrame, interval_ms: int = 5000) -> DataFrame:
     )
 
 
-def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str] = ("node_id",), order: Sequence[str] = ("poll_ms", "seq")) -> DataFrame:
+def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str] = ("node_id",), order: Sequence[str] = ("poll_ms", "seq"), ranges: int | None = None) -> DataFrame:
     """Polls of a queue's head to start and finish events of its tasks, both stamped half an interval before the poll.
 
-    `run` counts a node's starts, so that a task that comes to the head again is another run.
+    `run` counts a node's starts, so that a task that comes to the head again is another run. ranges: see `running`.
     """
-    by = Window.partitionBy(*node).orderBy(*order)
     head = F.coalesce("head_order", F.lit(-1).cast("long"))
-    rows = polls.withColumn("__head", head).withColumn("__before", F.lag("__head", 1, -1).over(by)).filter("__head <> __before")
-    starts = F.sum((F.col("__head") != -1).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = running(polls.withColumn("__head", head), node, order, before={"__before": F.col("__head")}, ranges=ranges)
+    rows = rows.withColumn("__before", F.coalesce("__before", F.lit(-1).cast("long"))).filter("__head <> __before")
+    rows = running(rows, node, order, sums={"__run": (F.col("__head") != -1).cast("long")}, ranges=ranges)
     started = F.coalesce(F.col("__head") != -1, F.lit(False))
     extra = [c for c in ("priority", "age_ms", "thread_id") if c in polls.columns]
     null = lambda c: F.lit(None).cast(polls.schema[c].dataType)
@@ -114,7 +115,6 @@ def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str
             *[(F.col(c) if own else null(c)).alias(c) for c in extra],
         )
 
-    rows = rows.withColumn("__run", starts)
     finish = F.when(F.col("__before") != -1, event("finish", "__before", F.col("__run") - started.cast("long"), False))
     start = F.when(started, event("start", "__head", F.col("__run"), True))
     both = F.filter(F.array(finish, start), lambda e: e.isNotNull())

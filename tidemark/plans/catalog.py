@@ -199,6 +199,22 @@ def d1_delta_first_absolute(spark, sf_dir):
     return counters.delta_first_absolute(view(spark, sf_dir, "counters"), ["name"], ["seq"], ["total"], ["cnt"])
 
 
+#: Ranges that the hot keys of the given tables (a fifth of all events each) are cut into, of about 4 MB at the largest scale.
+RANGES = 32
+
+
+@registered("counters", "SELECT name, seq, CASE WHEN lag(total) OVER w IS NULL THEN total ELSE greatest(total - lag(total) OVER w, 0) END AS total, cnt FROM counters WINDOW w AS (PARTITION BY name ORDER BY seq)")
+def d1_delta_hot_keys(spark, sf_dir):
+    """The same with keys cut into ranges."""
+    return counters.delta_first_absolute(view(spark, sf_dir, "counters"), ["name"], ["seq"], ["total"], ["cnt"], ranges=RANGES)
+
+
+@registered("polls", f"{POLLED} SELECT * FROM e")
+def c7_poll_hot_nodes(spark, sf_dir):
+    """Polls of nodes that are cut into ranges, with runs counted across them."""
+    return events.poll_to_events(view(spark, sf_dir, "polls"), ranges=RANGES)
+
+
 @registered("counters", f"SELECT name, seq, CASE WHEN ms - lag(ms) OVER w <= {HOUR} THEN greatest(total - lag(total) OVER w, 0) ELSE 0 END AS delta FROM counters WINDOW w AS (PARTITION BY name ORDER BY ms, seq)")
 def d2_delta_max_gap(spark, sf_dir):
     return counters.delta_max_gap(view(spark, sf_dir, "counters"), ["name"], "ms", "total", HOUR, ["seq"]).select("name", "seq", "delta")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.running import running
 from ..schemas import FAMILIES, PATHS, Family
 
 
@@ -37,10 +38,10 @@ def sample_rows(records: DataFrame, record: str, text: str) -> DataFrame:
     return carry_headers(rows, ["pos"], "__time", [record]).withColumnRenamed("__time", "time_ms")
 
 
-def carry_headers(df: DataFrame, order: Sequence[str], header: str, partition: Sequence[str]) -> DataFrame:
-    """Rows without a header of their own, each with the last header before it; rows before the first have null."""
-    by = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__is_header", F.col(header).isNotNull()).withColumn(header, F.last(header, ignorenulls=True).over(by)).filter(~F.col("__is_header")).drop("__is_header")
+def carry_headers(df: DataFrame, order: Sequence[str], header: str, partition: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Rows without a header of their own, each with the last header before it; rows before the first have null. ranges: cuts large records, see `operators.running`."""
+    rows = running(df.withColumn("__is_header", F.col(header).isNotNull()), partition, order, upto={header: F.col(header)}, ranges=ranges)
+    return rows.filter(~F.col("__is_header")).select(*df.columns)
 
 
 def read_samples(spark: SparkSession, path: str, family: str | Family) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
@@ -32,6 +32,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class File:
     """A small file or a folder, in any file system that Spark reaches."""
