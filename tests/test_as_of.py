@@ -1,0 +1,79 @@
+"""What held at a time: gates, intervals of overrides, aligned runs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import config, correlate, query, sampling
+
+
+def test_events_that_some_interval_covers(spark):
+    """Overlapping, empty, open and touching intervals, ties and nulls; a hot key; cut into ranges or not."""
+    rng = random.Random(5)
+    intervals = [(rng.choice(["a", "b", "c", None]), s, rng.choice([None, s, s + rng.randrange(40)])) for s in (rng.randrange(3000) for _ in range(60))] + [("a", None, 5)]
+    intervals = [i for i in intervals if i[2] is not None or i[0] == "c" or rng.random() < 0.1]
+    events = [(i, rng.choice(["a", "a", "a", "b", "c", None, "d"]), rng.choice([rng.randrange(-5, 3100), None] if i % 50 == 0 else [rng.randrange(-5, 3100)])) for i in range(3000)]
+    inside = lambda k, t: any(k is not None and k == x and t is not None and s is not None and s <= t and (e is None or t < e) for x, s, e in intervals)
+    want = sorted(i for i, k, t in events if inside(k, t))
+    e = spark.createDataFrame(events, "id long, k string, t long").withColumns({"__most": F.lit("mine"), "a.b": F.lit(1)})
+    i = spark.createDataFrame(intervals, "k string, from_ms long, to_ms long")
+    for ranges in (None, 7):
+        got = correlate.covered(e, i, ["k"], "t", ranges)
+        assert got.columns == e.columns
+        assert sorted(r["id"] for r in got.collect()) == want
+    assert correlate.covered(e, i.limit(0), ["k"], "t").count() == 0 == correlate.covered(e.limit(0), i, ["k"], "t").count()
+
+
+def test_a_long_silence_costs_a_row(spark):
+    day = 86_400_000
+    state = spark.createDataFrame([("c", 0, 1, 1), ("c", 400 * day, 2, 0)], "cluster_id string, ts long, seq long, state int")
+    events = spark.createDataFrame([(1, "c", 5), (2, "c", 399 * day), (3, "c", 400 * day), (4, "d", 5)], "id long, cluster_id string, ms long")
+    gated = correlate.gate_by_state(events, config.fold_feature_state(state), "ms")
+    assert sorted(r["id"] for r in gated.collect()) == [1, 2]
+    assert "explode" not in gated._jdf.queryExecution().optimizedPlan().toString().lower()
+    samples = spark.createDataFrame([("k", 2_000, 1.0), ("k", 2_000 + 400 * day, 3.0), ("k", 400 * day + 3_000, 7.0)], "k string, t long, v double")
+    runs = sorted((r["from_ms"], r["to_ms"], r["v"]) for r in correlate.align_runs(samples, ["k"], "t", "v").collect())
+    assert runs == [(0, 5000, 3.0), (5000, 400 * day, 3.0), (400 * day, 400 * day + 5000, (2 * 3 + 1 * 7) / 3)]
+
+
+@pytest.mark.parametrize("mode", ["weighted", "latest"])
+def test_runs_are_the_aligned_buckets(spark, mode):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([rng.randrange(-20_000, 300_000), rng.randrange(60) * 5000]), i, float(rng.randrange(9))) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, v double")
+    got = {(r["k"], r["bucket"]): r["v"] for r in correlate.align(df, ["k"], "t", "v", 5000, mode, ["seq"]).collect()}
+    want = {}
+    for k in "ab":
+        held = sorted((t, s, v) for x, t, s, v in rows if x == k)
+        if mode == "latest":
+            held = sorted({t - t % 5000: (t, s, v) for t, s, v in held}.values())
+        for (t0, _, _), (t1, _, v) in zip(held, held[1:]):
+            for b in range(t0 - t0 % 5000, t1, 5000):
+                w = min(t1, b + 5000) - max(t0, b)
+                if w > 0:
+                    want.setdefault((k, b), []).append((w, v))
+    assert {b: round(v, 9) for b, v in got.items()} == {b: round(sum(w * v for w, v in x) / sum(w for w, _ in x), 9) for b, x in want.items()}
+
+
+def test_intervals_of_overrides(spark):
+    """Against the fold of the history as of each time; two mentions at one time, both sides at once, nothing at all."""
+    rng = random.Random(2)
+    pick = lambda: rng.choice([None, [], ["x"], ["y"], ["x", "y"], ["z"]])
+    history = [(rng.choice("cd"), rng.randrange(40), i, (None, None, None, pick()), (None, None, ["x"] if i % 9 == 0 else None, pick())) for i in range(80)]
+    arrays = ", ".join(f"{k}: array<string>" for k in config.KINDS)
+    df = spark.createDataFrame(history, f"cluster_id string, ts long, seq long, enable struct<{arrays}>, disable struct<{arrays}>")
+    found = [tuple(r) for r in config.override_intervals(df).filter("kind = 'collectors'").select("cluster_id", "name", "from_ms", "to_ms").collect()]
+    for t in range(-1, 41, 3):
+        folded = config.fold_overrides(df, t).filter("kind = 'collectors'").collect()
+        want = {(r["cluster_id"], n) for r in folded for n in r["enabled"]}
+        assert {(c, n) for c, n, s, e in found if s <= t and (e is None or t < e)} == want
+    samples = spark.range(-1, 41).select(F.col("id").alias("ms"), F.explode(F.split(F.lit("c/x,c/y,c/z,d/x,d/y,d/z,e/x"), ",")).alias("p")).select("ms", F.split("p", "/")[0].alias("cluster_id"), F.split("p", "/")[1].alias("collector"))
+    got = {tuple(r) for r in correlate.gate_as_of(samples, config.override_intervals(df, ranges=3), "ms").select("ms", "cluster_id", "collector").collect()}
+    assert got == {(t, c, n) for t in range(-1, 41) for c, n, s, e in found if s <= t and (e is None or t < e)}
+
+
+def test_columns_of_the_same_name_stay(spark):
+    df = spark.createDataFrame([(0, "n", "m", 1, 2)], "bucket long, node_id string, metric string, __part long, __n long")
+    assert sorted(query.sampled(df, ["m"], 0, 10, 10).columns) == sorted(df.columns)
+    assert sampling.hot_shards(df, ["metric"], "bucket", ["node_id"]).columns == df.columns

@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from tidemark.schemas import FAMILIES
 from tidemark.sources import logs
 
@@ -39,3 +43,49 @@ def test_keys_against_the_contract(spark):
 def test_schemas_have_dimensions_then_values():
     for family in FAMILIES.values():
         assert family.schema.names == [*family.dims, *family.values]
+
+
+def sample_text(seed, lines):
+    """Headers, objects, several of them on a line, blank lines and broken ones."""
+    rng, out = random.Random(seed), []
+    for i in range(lines):
+        kind = rng.random()
+        row = f'{{"type":"t{i}","estimated":{i}}}'
+        out.append(f'{{"current_time":{i}}}' if kind < 0.05 else "" if kind < 0.1 else '{"type": oops' if kind < 0.12 else row + f'{{"current_time":{i + 7}}}' + row if kind < 0.2 else row)
+    return "\n".join(out)
+
+
+def test_a_file_read_by_parts_is_the_whole_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, lines in (("large", 20_000), ("small", 7), ("empty", 0)):
+        (tmp_path / "in" / name).write_text(sample_text(name, lines))
+    (tmp_path / "in" / "headless").write_text('{"type":"a"}\n' * 5000 + '{"current_time":1}\n{"type":"b"}')
+    path = f"file://{tmp_path}/in"
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("record"), "value")
+    want = logs.parsed(logs.sample_rows(whole, "record", "value"), FAMILIES["circuit_breaker"])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = logs.read_samples(spark, path, "circuit_breaker")
+        columns = sorted(want.columns)
+        assert sorted(got.columns) == columns
+        rows = lambda d: sorted(map(repr, d.select(columns).collect()))
+        assert rows(got) == rows(want)
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        some = logs.read_samples(spark, path, "circuit_breaker", between=(500, 1500))
+        assert rows(some) == rows(want.filter("time_ms >= 500 AND time_ms < 1500"))
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("from_json") < plan.index(">= 500")  # the filter stands below the parsing
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_good_rows_are_written_and_bad_ones_counted_at_once(spark, tmp_path):
+    paths = [(["1", "query", "7", "start"],), (["1", "7", "start"],), (["x", "query", "7", "start"],), (None,)]
+    found = logs.split_family(spark.createDataFrame(paths, "path array<string>"), "shard_search", {"thread_id": "bigint"})
+    out = f"file://{tmp_path}/good"
+    counts = logs.write_good(found, lambda good: good.write.parquet(out), logs.path_reasons("shard_search"))
+    good, bad = logs.quarantine(found)
+    assert spark.read.parquet(out).count() == good.count() == counts["good"]
+    assert counts["bad"] == bad.count() and counts["bad.arity"] + counts["bad.type"] == counts["bad"]
+    assert logs.write_good(found.limit(0), lambda d: d.write.format("noop").mode("overwrite").save())["bad"] == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,11 @@ def index_buffer_bytes(state: Column, writing: Column, ram: Column) -> Column:
 def feature_bit(state: Column, feature: str) -> Column:
     """1 or 0: whether the feature's bit is set."""
     return F.getbit(state, F.lit(FEATURES.index(feature))).cast("int")
+
+
+def unused(columns: Sequence[str], name: str) -> str:
+    """A column name that none of the given ones has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

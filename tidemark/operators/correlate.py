@@ -1,7 +1,7 @@
 """Alignment to bucket edges, attribution of resources to tasks, and gates.
 
-Overlaps of intervals are equi joins on exploded buckets: a condition on ranges alone
-would compare all pairs of a key.
+No join has a condition on ranges alone, which would compare all pairs of a key. Overlaps of tasks and
+buckets are equi joins on buckets; what held at a time is carried along a key's time line.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bucket
+from ..functions import bucket, unused
 from .counters import last_sample
-
-DAY_MS = 86_400_000
+from .running import running
 
 
 def _buckets(start: Column, end: Column, interval_ms: int) -> Column:
@@ -26,11 +25,10 @@ def _overlap(start: Column, end: Column, interval_ms: int) -> Column:
     return F.least(end, F.col("bucket") + interval_ms) - F.greatest(start, F.col("bucket"))
 
 
-def align(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None) -> DataFrame:
-    """Per key and bucket the time-weighted average of samples, each of which holds since the key's sample before it.
+def align_runs(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None) -> DataFrame:
+    """What align gives, with neighbouring buckets that one sample fills wholly as one row: keys, from_ms, to_ms, value.
 
-    A key's first sample gives nothing, nor does one that is more than max_gap later than the one before.
-    mode 'latest' uses only the last sample of each bucket.
+    However long a silence is, it costs three rows at most: the buckets that its ends share with other samples, and what lies between.
     """
     if mode not in ("weighted", "latest"):
         raise ValueError(f"mode must be weighted or latest, not {mode}")
@@ -40,9 +38,29 @@ def align(samples: DataFrame, keys: Sequence[str], time: str, value: str, interv
     held = samples.select(*keys, F.col(time).alias("__end"), F.col(value).alias("__value"), before.alias("__start")).filter("__start < __end")
     if max_gap is not None:
         held = held.filter(F.col("__end") - F.col("__start") <= max_gap)
-    parts = held.withColumn("bucket", F.explode(_buckets(F.col("__start"), F.col("__end"), interval_ms)))
-    weight = _overlap(F.col("__start"), F.col("__end"), interval_ms)
-    return parts.groupBy(*keys, "bucket").agg(F.try_divide(F.sum(weight * F.col("__value")), F.sum(weight)).alias(value))
+    first, last = bucket(F.col("__start"), interval_ms), bucket(F.col("__end") - 1, interval_ms)
+    whole_from = F.when(first == F.col("__start"), first).otherwise(first + interval_ms)
+    whole_to = F.when(last + interval_ms == F.col("__end"), F.col("__end")).otherwise(last)
+
+    def part(start: Column, end: Column, weight: Column, when: Column) -> Column:
+        return F.when(when, F.struct(start.alias("from_ms"), end.alias("to_ms"), weight.alias("__weight")))
+
+    head = part(first, first + interval_ms, F.least(F.col("__end"), first + interval_ms) - F.col("__start"), first < whole_from)
+    inner = part(whole_from, whole_to, F.lit(None).cast("long"), whole_from < whole_to)
+    tail = part(last, last + interval_ms, F.col("__end") - last, (whole_to == last) & ((first < last) | (first == whole_from)))
+    parts = held.select(*keys, "__value", F.inline(F.filter(F.array(head, inner, tail), lambda p: p.isNotNull())))
+    shared = parts.filter("__weight IS NOT NULL").groupBy(*keys, "from_ms", "to_ms").agg(F.try_divide(F.sum(F.col("__weight") * F.col("__value")), F.sum("__weight")).alias(value))
+    return parts.filter("__weight IS NULL").select(*keys, "from_ms", "to_ms", F.col("__value").cast(shared.schema[value].dataType).alias(value)).unionByName(shared)
+
+
+def align(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None) -> DataFrame:
+    """Per key and bucket the time-weighted average of samples, each of which holds since the key's sample before it.
+
+    A key's first sample gives nothing, nor does one that is more than max_gap later than the one before; without max_gap, a silence
+    gives a row for each of its buckets (see align_runs). mode 'latest' uses only the last sample of each bucket.
+    """
+    runs = align_runs(samples, keys, time, value, interval_ms, mode, tiebreak, max_gap)
+    return runs.select(*keys, F.explode(_buckets(F.col("from_ms"), F.col("to_ms"), interval_ms)).alias("bucket"), value)
 
 
 def attribute_resources(thread_samples: DataFrame, ops: DataFrame, value: str, interval_ms: int = 5000, dims: Sequence[str] = ("op", "index_name", "shard_id"), thread: Sequence[str] = ("node_id", "thread_id")) -> DataFrame:
@@ -69,18 +87,30 @@ def gate_by_collector(samples: DataFrame, enabled: DataFrame, collector: str = "
     return samples.join(enabled.select(collector).distinct(), collector, "left_semi")
 
 
-def gate_by_state(events: DataFrame, intervals: DataFrame, time: str, cluster: str = "cluster_id", feature: str = "pipeline") -> DataFrame:
-    """Events at whose time the feature was on. intervals: cluster, feature, from_ms, to_ms (null: still), enabled, as fold_feature_state gives them.
+def covered(events: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, ranges: int | None = None) -> DataFrame:
+    """Events at whose time some interval [from_ms, to_ms) of their keys holds; to_ms null: without an end. Null keys and times are in none.
 
-    Joined on cluster and day: an interval stands under each day that it meets, up to the last day of events.
+    Intervals and events go along a key's time line together. An interval begun by then covers an event if and only if the latest of their
+    ends is later than the event: what is carried is that end. An interval is a row, however long it is. ranges: see `running`.
     """
-    until = events.agg(F.max(time) + 1).scalar()
-    on = intervals.filter((F.col("feature") == feature) & F.col("enabled")).select(F.col(cluster).alias("__cluster"), "from_ms", "to_ms")
-    on = on.withColumn("__to", F.least(F.coalesce(F.col("to_ms"), until), until)).filter("from_ms < __to")
-    days = on.withColumn("__day", F.explode(_buckets(F.col("from_ms"), F.col("__to"), DAY_MS)))
-    rows = events.withColumn("__on", bucket(F.col(time), DAY_MS))
-    inside = (F.col(cluster) == F.col("__cluster")) & (F.col("__on") == F.col("__day")) & (F.col(time) >= F.col("from_ms")) & (F.col(time) < F.col("__to"))
-    return rows.join(days, inside, "left_semi").drop("__on")
+    at, is_event, end, most = (unused([*events.columns, *intervals.columns], n) for n in ("__at", "__is_event", "__end", "__most"))
+    begun = intervals.filter(F.col("from_ms").isNotNull()).select(*keys, F.col("from_ms").cast("long").alias(at), F.lit(0).alias(is_event), F.coalesce(F.col("to_ms").cast("long"), F.lit((1 << 63) - 1)).alias(end))
+    for k in keys:
+        begun = begun.filter(F.col(k).isNotNull())
+    rows = events.withColumns({at: F.col(time).cast("long"), is_event: F.lit(1), end: F.lit(None).cast("long")}).unionByName(begun, allowMissingColumns=True)
+    found = running(rows, keys, [at, is_event], most={most: F.col(end)}, ranges=ranges)
+    return found.filter((F.col(is_event) == 1) & (F.col(most) > F.col(at))).select(*[F.col(f"`{c}`") for c in events.columns])
+
+
+def gate_by_state(events: DataFrame, intervals: DataFrame, time: str, cluster: str = "cluster_id", feature: str = "pipeline", ranges: int | None = None) -> DataFrame:
+    """Events at whose time the feature was on. intervals: cluster, feature, from_ms, to_ms (null: still), enabled, as fold_feature_state gives them."""
+    return covered(events, intervals.filter((F.col("feature") == feature) & F.col("enabled")).select(cluster, "from_ms", "to_ms"), [cluster], time, ranges)
+
+
+def gate_as_of(samples: DataFrame, intervals: DataFrame, time: str, cluster: str = "cluster_id", collector: str = "collector", kind: str = "collectors", ranges: int | None = None) -> DataFrame:
+    """Samples whose collector was enabled in their cluster at their time. intervals: as override_intervals gives them."""
+    on = intervals.filter(F.col("kind") == kind).select(F.col(cluster), F.col("name").alias(collector), "from_ms", "to_ms")
+    return covered(samples, on, [cluster, collector], time, ranges)
 
 
 def with_units(metrics: DataFrame, units: DataFrame) -> DataFrame:

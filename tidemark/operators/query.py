@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import unused
 from ..sources.shared import new_path
 
 AGGREGATIONS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -63,9 +64,10 @@ def query_batch(store: DataFrame, metrics: Sequence[str], start: int, end: int,
 def sampled(store: DataFrame, metrics: Sequence[str], start: int, end: int, period_ms: int) -> DataFrame:
     """Per node, metric and part of a period the rows of its first bucket. Start and end are multiples of the period."""
     rows = store.filter(F.col("metric").isin(*metrics) & (F.col("bucket") >= start) & (F.col("bucket") < end))
-    rows = rows.withColumn("__part", F.floor((F.col("bucket") - start) / period_ms))
-    first = rows.groupBy("node_id", "metric", "__part").agg(F.min("bucket").alias("bucket"))
-    return rows.join(first, ["node_id", "metric", "__part", "bucket"], "left_semi").drop("__part")
+    part = unused(store.columns, "__part")
+    rows = rows.withColumn(part, F.floor((F.col("bucket") - start) / period_ms))
+    first = rows.groupBy("node_id", "metric", part).agg(F.min("bucket").alias("bucket"))
+    return rows.join(first, ["node_id", "metric", part, "bucket"], "left_semi").drop(part)
 
 
 def cap_points(df: DataFrame, limit: int = MAX_POINTS) -> DataFrame:

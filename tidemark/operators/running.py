@@ -9,6 +9,8 @@ with a large part of all rows:
    before (or after) it is a window over these summaries: a row per key and range.
 3. A window by (range, key) runs within ranges, and begins with what was taken over.
 
+`cut` names a column of ranges that rows have already, as of a file that is read by parts: nothing is written then.
+
 Results are the same either way. Rows of a key must differ in `order`; nulls come first, and null keys are one key.
 """
 
@@ -24,25 +26,27 @@ from ..sources.shared import stored_table
 
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], before: Mapping[str, Column] | None = None, upto: Mapping[str, Column] | None = None,
-    after: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None, ranges: int | None = None,
+    after: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None, most: Mapping[str, Column] | None = None, ranges: int | None = None, cut: str | None = None,
 ) -> DataFrame:
     """Adds columns, along the rows of each key in order.
 
     before: the last value that is not null in rows before. upto: the same, the row itself included. after: the
-    next row's value, null or not. sums: of values so far, the row itself included; nulls count as 0.
+    next row's value, null or not. sums, most: sum and largest of values so far, the row itself included; for sums nulls count as 0.
     """
     named = [("before", n, c) for n, c in (before or {}).items()] + [("upto", n, c) for n, c in (upto or {}).items()]
-    named += [("after", n, c) for n, c in (after or {}).items()] + [("sums", n, c) for n, c in (sums or {}).items()]
+    named += [("after", n, c) for n, c in (after or {}).items()] + [("sums", n, c) for n, c in (sums or {}).items()] + [("most", n, c) for n, c in (most or {}).items()]
     given = df.columns
     rows = df.withColumns({f"__v{i}": c for i, (_, _, c) in enumerate(named)})
     by, taken = list(keys), {}
     if ranges is not None:
         rows = stored_table(rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-        by = ["__range", *keys]
-        rows, taken = _with_taken(rows, keys, order, named)
+        cut = "__range"
+    if cut is not None:
+        by = [cut, *keys]
+        rows, taken = _with_taken(rows, keys, order, named, cut)
     along = Window.partitionBy(*by).orderBy(*order)
     made = {n: _along(kind, F.col(f"__v{i}"), along, taken.get(i)) for i, (kind, n, _) in enumerate(named)}
-    return rows.select(*[c for c in given if c not in made], *[c.alias(n) for n, c in made.items()])
+    return rows.select(*[F.col(f"`{c}`") for c in given if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def _along(kind: str, value: Column, along: Window, taken: Column | None) -> Column:
@@ -52,11 +56,14 @@ def _along(kind: str, value: Column, along: Window, taken: Column | None) -> Col
     if kind == "sums":
         found = F.coalesce(F.sum(value).over(along.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
         return found if taken is None else found + F.coalesce(taken, F.lit(0))
+    if kind == "most":
+        found = F.max(value).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        return found if taken is None else F.greatest(found, taken)
     found = F.last(value, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1 if kind == "before" else 0))
     return found if taken is None else F.coalesce(found, taken)
 
 
-def _with_taken(rows: DataFrame, keys: Sequence[str], order: Sequence[str], named: Sequence[tuple[str, str, Column]]) -> tuple[DataFrame, dict[int, Column]]:
+def _with_taken(rows: DataFrame, keys: Sequence[str], order: Sequence[str], named: Sequence[tuple[str, str, Column]], cut: str) -> tuple[DataFrame, dict[int, Column]]:
     """Rows with what their range takes over from others, by number of the value."""
     at, summaries, takes = F.struct(*order), [], []
     along = Window.partitionBy(*[f"__k{j}" for j in range(len(keys))]).orderBy("__own")
@@ -69,16 +76,19 @@ def _with_taken(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name
         elif kind == "sums":
             summaries.append(F.sum(v).alias(f"__s{i}"))
             takes.append(F.sum(s).over(earlier).alias(f"__t{i}"))
+        elif kind == "most":
+            summaries.append(F.max(v).alias(f"__s{i}"))
+            takes.append(F.max(s).over(earlier).alias(f"__t{i}"))
         else:
             summaries.append(F.max_by(v, F.when(v.isNotNull(), at)).alias(f"__s{i}"))
             takes.append(F.last(s, ignorenulls=True).over(earlier).alias(f"__t{i}"))
-    found = rows.groupBy(F.col("__range").alias("__own"), *[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)]).agg(*summaries)
+    found = rows.groupBy(F.col(cut).alias("__own"), *[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)]).agg(*summaries)
     found = found.select("__own", *[f"__k{j}" for j in range(len(keys))], *takes)
     # most keys lie in one range and take over nothing
     some = F.lit(False)
     for i in range(len(named)):
         some |= F.col(f"__t{i}").isNotNull()
-    same = F.col("__range") == F.col("__own")
+    same = F.col(cut) == F.col("__own")
     for j, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"__k{j}"))
     return rows.join(found.filter(some), same, "left"), {i: F.col(f"__t{i}") for i in range(len(named))}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import unused
+
 
 def rotating_sample(keys: DataFrame, by: Sequence[str], order: Sequence[str], ticks: int, n: int) -> DataFrame:
     """Which keys each tick from 0 on handles: per owner (by) the next n of its ordered list, which begins again at its end.
@@ -23,5 +25,5 @@ def rotating_sample(keys: DataFrame, by: Sequence[str], order: Sequence[str], ti
 
 def hot_shards(trackers: DataFrame, by: Sequence[str], size: str, tiebreak: Sequence[str], limit: int = 50) -> DataFrame:
     """Per snapshot (by) the limit trackers with the largest size."""
-    order = [F.col(size).desc(), *tiebreak]
-    return trackers.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= limit).drop("__n")
+    n = unused(trackers.columns, "__n")
+    return trackers.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(size).desc(), *tiebreak))).filter(F.col(n) <= limit).drop(n)

@@ -286,6 +286,18 @@ def e1_align_latest(spark, sf_dir):
     return _aligned(spark, sf_dir, "latest").withColumn("cpu", F.round("cpu", 6))
 
 
+@registered("thread_samples", WEIGHTED + """,
+    q AS (SELECT *, t0 - t0 % 3600000 AS f, (t1 - 1) - (t1 - 1) % 3600000 AS l FROM h WHERE t0 < t1),
+    r AS (SELECT node_id, thread_id, cpu, CASE WHEN f = t0 THEN f ELSE f + 3600000 END AS from_ms, CASE WHEN l + 3600000 = t1 THEN t1 ELSE l END AS to_ms FROM q),
+    o AS (SELECT *, least(t1, bucket + 3600000) - greatest(t0, bucket) AS w FROM x)
+    SELECT node_id, thread_id, from_ms, to_ms, round(cpu, 6) AS cpu FROM r WHERE from_ms < to_ms
+    UNION ALL SELECT node_id, thread_id, bucket, bucket + 3600000, round(sum(w * cpu) / sum(w), 6) FROM o WHERE w < 3600000 GROUP BY ALL""")
+def e1_align_runs(spark, sf_dir):
+    """Aligned values with whole buckets of one sample as one row."""
+    found = correlate.align_runs(view(spark, sf_dir, "thread_samples"), ["node_id", "thread_id"], "sample_ms", "cpu", HOUR, tiebreak=["seq"])
+    return found.withColumn("cpu", F.round("cpu", 6))
+
+
 @registered("thread_samples op_start op_finish", WEIGHTED + PAIRED + """,
     o AS (SELECT *, unnest(generate_series(start_ms - start_ms % 3600000, finish_ms - 1 - (finish_ms - 1) % 3600000, 3600000)) AS bucket FROM pair WHERE start_ms < finish_ms),
     b AS (SELECT node_id, thread_id, bucket, op, index_name, shard_id, sum(least(finish_ms, bucket + 3600000) - greatest(start_ms, bucket)) AS busy FROM o GROUP BY ALL),
@@ -301,8 +313,8 @@ def e2_attribute_resources(spark, sf_dir):
 OVERRIDES = """, m AS (SELECT cluster_id, kind, component, arg_max(enabled, (ts, seq)) AS enabled FROM overrides WHERE NOT two_sided GROUP BY ALL)"""
 
 
-def _overrides(spark, sf_dir):
-    rows = view(spark, sf_dir, "overrides")
+def _overrides(spark, sf_dir, name="overrides"):
+    rows = view(spark, sf_dir, name)
     side = lambda on: F.struct(*[F.when((F.col("kind") == i) & (F.col("two_sided") | (F.col("enabled") == on)), F.array("component")).alias(k) for i, k in enumerate(config.KINDS)])
     return rows.select("cluster_id", "ts", "seq", side(True).alias("enable"), side(False).alias("disable"))
 
@@ -313,6 +325,23 @@ def e3_gate_by_collector(spark, sf_dir):
     return correlate.gate_by_collector(view(spark, sf_dir, "ev").select("event_id", F.concat(F.lit("x"), F.col("k") % 10).alias("collector")), on)
 
 
+INTERVALS = """, s AS (SELECT cluster_id, component, ts, arg_max(enabled, seq) AS enabled FROM switches WHERE NOT two_sided AND kind = 3 GROUP BY ALL),
+    b AS (SELECT *, coalesce(lag(enabled) OVER (PARTITION BY cluster_id, component ORDER BY ts), false) AS was FROM s),
+    i AS (SELECT *, lead(ts) OVER (PARTITION BY cluster_id, component ORDER BY ts) AS to_ms FROM b WHERE enabled <> was)"""
+
+
+@registered("switches", f"{INTERVALS} SELECT cluster_id, 'collectors' AS kind, component AS name, ts AS from_ms, to_ms FROM i WHERE enabled")
+def h1_override_intervals(spark, sf_dir):
+    return config.override_intervals(_overrides(spark, sf_dir, "switches")).filter("kind = 'collectors'")
+
+
+@registered("switches", f"{INTERVALS} SELECT e.event_id, e.cluster_id, e.collector, e.ms FROM (SELECT event_id, 'c' || (user_id % 3) AS cluster_id, 'x' || (k % 7) AS collector, ms FROM ev) e WHERE EXISTS (FROM i WHERE i.cluster_id = e.cluster_id AND i.component = e.collector AND enabled AND e.ms >= i.ts AND e.ms < coalesce(i.to_ms, 9e15))")
+def e3_gate_as_of(spark, sf_dir):
+    """Samples whose collector was enabled in their cluster when they were taken."""
+    samples = view(spark, sf_dir, "ev").select("event_id", F.concat(F.lit("c"), F.col("user_id") % 3).alias("cluster_id"), F.concat(F.lit("x"), F.col("k") % 7).alias("collector"), "ms")
+    return correlate.gate_as_of(samples, config.override_intervals(_overrides(spark, sf_dir, "switches")), "ms")
+
+
 FOLDED = """, f AS (
     SELECT cluster_id, ts AS from_ms, lead(ts) OVER (PARTITION BY cluster_id ORDER BY ts, seq) AS to_ms, state & 1 AS p,
         last_value(CASE WHEN (state & 2) = 2 AND (state & 1) = 0 THEN NULL ELSE (state >> 1) & 1 END IGNORE NULLS) OVER w AS r,
@@ -446,12 +475,38 @@ def a2_sample_records(spark, sf_dir):
     return logs.quarantine(logs.parsed(logs.sample_rows(_rows(spark, sf_dir), "record", "text"), FAMILIES["circuit_breaker"]))[0]
 
 
+@registered("", "SELECT ms AS time_ms, event_type AS type, k AS estimated, CASE WHEN k % 2 = 0 THEN user_id END AS tripped, NULL::BIGINT AS \"limit\" FROM ev WHERE ms >= 1705000000000 UNION ALL SELECT ms, 'x', NULL, NULL, 7 FROM ev WHERE event_id % 3 <> 0 AND ms >= 1705000000000")
+def a2_read_samples(spark, sf_dir):
+    """The same records written to files of many headers each, and read by parts, from a time on."""
+    path = new_path(spark, "samples")
+    _rows(spark, sf_dir).select("text").write.text(path)
+    found = logs.quarantine(logs.read_samples(spark, path, "circuit_breaker", between=(1_705_000_000_000, None)))[0]
+    return found.drop("record", "pos")
+
+
 @registered("", "SELECT count(*) AS bad FROM ev WHERE event_id % 3 = 0")
 def a5_quarantine(spark, sf_dir):
     bad = logs.quarantine(logs.parsed(logs.sample_rows(_rows(spark, sf_dir), "record", "text"), FAMILIES["circuit_breaker"]))[1]
     return bad.agg(F.count(F.lit(1)).alias("bad"))
 
 
+def _paths(spark, sf_dir):
+    """Paths of which every fifth has too few keys and every seventh a key of another type."""
+    ev = view(spark, sf_dir, "ev")
+    thread = F.when(F.col("event_id") % 7 == 0, F.lit("x")).otherwise(F.col("user_id").cast("string"))
+    whole = F.array(thread, F.col("event_type"), F.col("event_id").cast("string"), F.lit("start"))
+    return ev.select("event_id", F.when(F.col("event_id") % 5 == 0, F.slice(whole, 1, 2)).otherwise(whole).alias("path"))
+
+
+@registered("", "SELECT unnest(['good', 'bad', 'bad.arity', 'bad.type']) AS outcome, unnest([count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 <> 0), count(*) FILTER (event_id % 5 = 0 OR event_id % 7 = 0), count(*) FILTER (event_id % 5 = 0), count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 = 0)]) AS n FROM ev")
+def a5_write_good(spark, sf_dir):
+    """Good rows written, and the bad ones counted by reason in the same pass."""
+    found = logs.split_family(_paths(spark, sf_dir), "shard_search", {"thread_id": "bigint"})
+    path = new_path(spark, "good")
+    counts = logs.write_good(found, lambda good: good.write.parquet(path), logs.path_reasons("shard_search"))
+    return spark.createDataFrame([*counts.items()], "outcome string, n long")
+
+
 @registered("", "SELECT event_id, min(CASE WHEN event_id % 10 = 0 THEN user_id END) OVER (PARTITION BY user_id % 3, g) AS owner FROM (SELECT *, count(CASE WHEN event_id % 10 = 0 THEN 1 END) OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS g FROM ev) QUALIFY event_id % 10 <> 0")
 def a3_carry_headers(spark, sf_dir):
     rows = view(spark, sf_dir, "ev").select("event_id", (F.col("user_id") % 3).alias("part"), F.when(F.col("event_id") % 10 == 0, F.col("user_id")).alias("owner"))
@@ -460,10 +515,7 @@ def a3_carry_headers(spark, sf_dir):
 
 @registered("", "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS good, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN user_id END AS thread_id, CASE WHEN event_id % 5 <> 0 THEN 'start' END AS edge FROM ev")
 def a4_split_family(spark, sf_dir):
-    ev = view(spark, sf_dir, "ev")
-    thread = F.when(F.col("event_id") % 7 == 0, F.lit("x")).otherwise(F.col("user_id").cast("string"))
-    whole = F.array(thread, F.col("event_type"), F.col("event_id").cast("string"), F.lit("start"))
-    paths = ev.select("event_id", F.when(F.col("event_id") % 5 == 0, F.slice(whole, 1, 2)).otherwise(whole).alias("path"))
+    paths = _paths(spark, sf_dir)
     found = logs.split_family(paths, "shard_search", {"thread_id": "bigint"})
     return found.select("event_id", F.col("_corrupt").isNull().alias("good"), "thread_id", "edge")
 

@@ -30,6 +30,7 @@ VIEWS = {
     "error_log": "SELECT event_id, ms AS ts, CASE WHEN k % 5 = 0 THEN NULL ELSE event_type END AS code FROM {ev}",
     "stage_log": "SELECT event_type AS collector, CASE WHEN k % 2 = 0 THEN 'execution_ms' ELSE 'errors' END AS stat, CAST(floor(value) AS BIGINT) AS value FROM {ev}",
     "overrides": "SELECT 'c' || (user_id % 3) AS cluster_id, ms AS ts, event_id AS seq, CAST(user_id % 4 AS INT) AS kind, 'x' || (k % 10) AS component, k % 2 = 0 AS enabled, event_id % 7 = 0 AS two_sided FROM {ev}",
+    "switches": "SELECT 'c' || (user_id % 3) AS cluster_id, ms AS ts, event_id AS seq, 3 AS kind, 'x' || (user_id % 7) AS component, k % 2 = 0 AS enabled, event_id % 7 = 0 AS two_sided FROM {ev}",
     "units": "SELECT DISTINCT event_type AS metric, CASE WHEN event_type = 'error' THEN 'count' ELSE 'ms' END AS unit FROM {ev} WHERE event_type <> 'view'",
     "nodes": "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS host_address, s_nationkey % 2 = 0 AS is_data, s_nationkey % 3 = 0 AS is_master_eligible FROM {supplier}",
     "node_names": "SELECT CAST(s_suppkey AS STRING) AS node_id, s_name AS node_name FROM {supplier} WHERE s_suppkey < 100",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +31,18 @@ def read_events(spark: SparkSession, path: str, between: str = "$^") -> DataFram
     return rows.select("file", F.split(F.element_at(lines, 1), "/").alias("path"), F.map_from_entries(last).alias("kv"))
 
 
+def _objects(text: str) -> Column:
+    """The JSON objects of a text, one a line or one after another on a line; blank lines count for nothing."""
+    return F.filter(F.split(F.regexp_replace(text, r"\}\s*\{", "}\n{"), "\n"), lambda line: F.trim(line) != "")
+
+
+def _header_time(json: str) -> Column:
+    return F.get_json_object(json, "$.current_time").cast("long")
+
+
 def sample_rows(records: DataFrame, record: str, text: str) -> DataFrame:
     """Record texts to a row per JSON object: record, pos, time_ms, json. A {"current_time":N} object gives its time to those after it."""
-    apart = F.split(F.regexp_replace(text, r"\}\s*\{", "}\n{"), "\n")
-    rows = records.select(record, F.posexplode(apart).alias("pos", "json")).filter(F.trim("json") != "")
-    rows = rows.withColumn("__time", F.get_json_object("json", "$.current_time").cast("long"))
+    rows = records.select(record, F.posexplode(_objects(text)).alias("pos", "json")).withColumn("__time", _header_time("json"))
     return carry_headers(rows, ["pos"], "__time", [record]).withColumnRenamed("__time", "time_ms")
 
 
@@ -44,11 +52,24 @@ def carry_headers(df: DataFrame, order: Sequence[str], header: str, partition: S
     return rows.filter(~F.col("__is_header")).select(*df.columns)
 
 
-def read_samples(spark: SparkSession, path: str, family: str | Family) -> DataFrame:
-    """Sample records of a family, a file each: record, pos, time_ms, the family's columns, _corrupt for what can't be parsed."""
+def read_samples(spark: SparkSession, path: str, family: str | Family, between: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Sample records of a family, a file each: record, pos, time_ms, the family's columns, _corrupt for what can't be parsed.
+
+    A file is read by parts, each by a task of its own. A part sums up its last header and its number of objects, and takes over
+    those of the parts before it, so that no task holds a file and rows are those of the whole read. between: times [from, to)
+    of rows that are wanted; others go before they are parsed. Objects don't go over several lines.
+    """
     family = FAMILIES[family] if isinstance(family, str) else family
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("record"), "value")
-    return parsed(sample_rows(raw, "record", "value"), family)
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("record"), at.alias("__part"), F.monotonically_increasing_id().alias("__line"), "value")
+    objects = lines.select("record", "__part", "__line", F.posexplode(_objects("value")).alias("__at", "json")).withColumn("__header", _header_time("json"))
+    rows = running(objects, ["record"], ["__line", "__at"], upto={"time_ms": F.col("__header")}, sums={"__n": F.lit(1)}, cut="__part").filter("__header IS NULL")
+    first, end = between
+    if first is not None:
+        rows = rows.filter(F.col("time_ms") >= first)
+    if end is not None:
+        rows = rows.filter(F.col("time_ms") < end)
+    return parsed(rows.select("record", (F.col("__n") - 1).cast("int").alias("pos"), "time_ms", "json"), family)
 
 
 def parsed(rows: DataFrame, family: Family) -> DataFrame:
@@ -73,6 +94,24 @@ def quarantine(df: DataFrame, corrupt: str = "_corrupt") -> tuple[DataFrame, Dat
     return df.filter(~bad).drop(corrupt), df.filter(bad)
 
 
+def write_good(df: DataFrame, write: Callable[[DataFrame], object], reasons: Mapping[str, Column] | None = None, corrupt: str = "_corrupt") -> dict[str, int]:
+    """Gives the good rows of a parsed DataFrame to write, and returns how many were good and bad, and bad by reason, of the same pass.
+
+    reasons: conditions on bad rows, such as path_reasons(family); a row may have several. write must read what it is given to its end, once.
+    """
+    bad = F.col(corrupt).isNotNull()
+    seen = Observation(f"quarantine-{uuid.uuid4().hex}")
+    counts = {"good": ~bad, "bad": bad} | {f"bad.{n}": bad & F.coalesce(c, F.lit(False)) for n, c in (reasons or {}).items()}
+    write(df.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]).filter(~bad).drop(corrupt))
+    return {n: v or 0 for n, v in seen.get.items()}
+
+
+def path_reasons(family: str) -> dict[str, Column]:
+    """Why split_family sets a path aside: its number of keys, or a key of another type."""
+    fits = F.size("path") == len(PATHS[family])
+    return {"arity": ~F.coalesce(fits, F.lit(False)), "type": fits}
+
+
 def check_contract(raw: DataFrame, dims: Sequence[str], values: Sequence[str], json: str = "json", family: str | None = None) -> DataFrame:
     """Keys of JSON rows against those declared: (family,) key, kind (missing: not in all rows, unknown: not declared), n rows that lack or have it."""
     by = [family] if family else []

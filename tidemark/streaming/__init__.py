@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import threading
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import bucket
 from ..operators.events import EXPIRY_MS, KEYS
+from ..sources.shared import File
 from .ordered import Walk, walked
 
 
@@ -159,10 +164,69 @@ def dropped_late(query: StreamingQuery) -> int:
     return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
+class LateCounter(StreamingQueryListener):
+    """Adds up the late events that streams drop, over their whole lives.
+
+    A stream's count is a small file, named after its id, which its checkpoint keeps across restarts. A micro-batch counts once: the file
+    holds the last one that it has. Use as a context: within it, the counts of all of the session's streams are kept.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.seen: dict[str, int] = {}
+        self.changed = threading.Condition()
+
+    def __enter__(self) -> LateCounter:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.streams.removeListener(self)
+
+    def _file(self, query_id: str) -> File:
+        return File(self.spark, f"{self.path}/late-{query_id}.json")
+
+    def count(self, query_id: str) -> int:
+        """Late events of a stream so far; 0 for one that was never seen."""
+        return json.loads(self._file(str(query_id)).read() or '{"late": 0}')["late"]
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 30) -> int:
+        """The count of a stream that has ended, once its last progress has come: progress comes after its micro-batch."""
+        last = query.lastProgress
+        with self.changed:
+            if last is not None and not self.changed.wait_for(lambda: self.seen.get(str(query.id), -1) >= last["batchId"], seconds):
+                raise TimeoutError("the progress of the last micro-batch hasn't come")
+        return self.count(query.id)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        file = self._file(str(p.id))
+        held = json.loads(file.read() or '{"batch": -1, "late": 0}')
+        if p.batchId > held["batch"]:
+            file.replace(json.dumps({"batch": p.batchId, "late": held["late"] + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)}))
+        with self.changed:
+            self.seen[str(p.id)] = max(p.batchId, self.seen.get(str(p.id), -1))
+            self.changed.notify_all()
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, counts: dict[str, int] | None = None) -> DataFrame:
-    """Runs a stream over all that there is into Parquet at path, and reads it. Each batch is committed once. counts gets `late`, the late events that were dropped."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if counts is not None:
-        counts["late"] = dropped_late(query)
+    """Runs a stream over all that there is into Parquet at path, and reads it. Each batch is committed once.
+
+    counts gets `late`, the late events that the stream has dropped since its checkpoint began; they are kept beside the checkpoint.
+    """
+    counter = None if counts is None else LateCounter(stream.sparkSession, f"{checkpoint}-counts")
+    with counter or contextlib.nullcontext():
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if counter:
+            counts["late"] = counter.wait_for(query)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
