@@ -167,6 +167,9 @@ def dropped_late(query: StreamingQuery) -> int:
 class LateCounter(StreamingQueryListener):
     """Adds up the late events that streams drop, over their whole lives.
 
+    They are counted where they are dropped: an aggregation combines a task's events of one bucket and key before, and
+    drops and counts them as one; joins and stateful processors drop and count each.
+
     A stream's count is a small file, named after its id, which its checkpoint keeps across restarts. A micro-batch counts once: the file
     holds the last one that it has. Use as a context: within it, the counts of all of the session's streams are kept.
     """
