@@ -6,8 +6,8 @@ the source in their order, its title and its links; the conversion record's bloc
 the page's text. Record ids follow from the response's id and the kind of record, so that
 reruns agree and derivatives can be matched.
 
-A null, empty or unreadable record and one that is not a response gives one row with a
-null record_type and the reason in `error`. A damaged or cut file gives its records up to the
+A null, empty or unreadable record, one that is not a response, and one whose body unpacks to more than
+LARGEST bytes gives one row with a null record_type and the reason in `error`. A damaged or cut file gives its records up to the
 damage and one row with a null record and the reason. A response without a record id or a digest
 has null there, and its payload's digest is computed. Repeated rows repeat their results.
 """
@@ -74,6 +74,8 @@ def _cut(data: bytes) -> tuple[bytes, int]:
 
 #: Bytes that a step of unpacking takes in and gives out, and that a record's headers may have.
 PIECE, LONGEST_HEAD = 1 << 18, 1 << 20
+#: Bytes that a body may unpack to.
+LARGEST = 1 << 28
 
 
 def _unpacked(data: bytes) -> Iterator[bytes]:
@@ -94,9 +96,39 @@ def _unpacked(data: bytes) -> Iterator[bytes]:
         at -= len(member.unused_data)
 
 
+def bounded(pieces: Iterator[bytes]) -> bytes:
+    """The pieces joined; more than LARGEST bytes are an error, and are not held."""
+    out = bytearray()
+    for piece in pieces:
+        out += piece
+        if len(out) > LARGEST:
+            raise TooLarge(f"the body unpacks to more than {LARGEST} bytes")
+    return bytes(out)
+
+
+class TooLarge(Exception):
+    pass
+
+
 def gunzipped(data: bytes) -> bytes:
     """All members of a gzip file, or the data itself."""
-    return b"".join(_unpacked(data))
+    return bounded(_unpacked(data))
+
+
+def inflated(data: bytes) -> bytes:
+    """A zlib stream."""
+    member = zlib.decompressobj()
+
+    def pieces() -> Iterator[bytes]:
+        rest = data
+        while not member.eof:
+            piece = member.decompress(rest, PIECE)
+            if not piece and not member.unconsumed_tail and not member.eof:
+                raise ValueError("a zlib stream is cut short")
+            rest = member.unconsumed_tail
+            yield piece
+
+    return bounded(pieces())
 
 
 def split_records(data: bytes) -> Iterator[tuple[bytes | None, str | None]]:
@@ -143,42 +175,131 @@ def parse_record(record: bytes) -> tuple[Headers, bytes]:
     return headers, record[body : body + int(length)]
 
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|title)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_LINK = re.compile(r"""<(a|area|link|img|script|iframe|source|embed)\b[^>]*?\s(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+# Elements whose content isn't text, those that end a line, and those that hold links.
+DROPPED = ("script", "style", "template", "noscript", "svg", "title")
+BLOCKS = (
+    "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre "
+    "section select table tbody td tfoot th thead tr ul"
+).split()
+LINKS = ("a", "area", "link", "img", "script", "iframe", "source", "embed")
+
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in DROPPED}
+_REFERENCE = re.compile(r"\s(?:href|src)\s*=\s*", re.I)
+_BARE = re.compile(r"""[^\s>"']+""")
+_NUMBER = re.compile(r"&#(?:(?=[0-9])0*([0-9]*)|[xX](?=[0-9a-fA-F])0*([0-9a-fA-F]*));?")
+
+
+def _short(m: re.Match) -> str:
+    """A numeric reference without needless zeros; the replacement character for a number beyond all characters."""
+    digits, hexadecimal = m[1], m[2]
+    if len(digits or "") > 7 or len(hexadecimal or "") > 6:
+        return "\ufffd"
+    return f"&#{digits or 0};" if hexadecimal is None else f"&#x{hexadecimal or 0};"
+
+
+def unescaped(text: str) -> str:
+    """Character references as characters, however long their numbers are."""
+    return html.unescape(_NUMBER.sub(_short, text))
+
+
+def tags(page: str, skip: bool) -> Iterator[tuple[int, int, str, bool]]:
+    """Places [start, end) of tags and comments with their name ("" for others than elements) and whether it is an end tag, from left to right.
+
+    A tag goes to the next `>`. Each place is looked at once. skip: what stands inside elements of DROPPED is passed over, and the
+    place of such an element includes it.
+    """
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False
+            continue
+        following = page[start + 1 : start + 2]
+        if not (following and following in "/!?" or following.isascii() and following.isalpha()):
+            at = start + 1
+            continue
+        end = page.find(">", start)
+        if end < 0:  # nothing that follows is a tag either, but comments are
+            start = page.find("<!--", start)
+            if start < 0:
+                return
+            at = start
+            continue
+        at = end + 1
+        named = _NAME.match(page, start, end)
+        name, closing = named[1].lower() if named else "", following == "/"
+        if skip and name in _CLOSE and not closing:
+            found = _CLOSE[name].search(page, at)
+            at = found.end() if found else len(page)
+        yield start, at, name, closing
 
 
 def page_text(page: str) -> str:
     """Visible text: a line per block, without white space at its ends or in rows."""
-    page = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub(" ", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
+    out, at = [], 0
+    for start, end, name, closing in tags(page, skip=True):
+        out.append(page[at:start])
+        out.append(" " if page.startswith("<!--", start) or (name in _CLOSE and not closing) else "\n" if name in BLOCKS else "")
+        at = end
+    out.append(page[at:])
+    lines = (" ".join(line.split()) for line in unescaped("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def page_title(page: str) -> str | None:
+    for start, end, name, closing in tags(page, skip=True):
+        if name == "title" and not closing:
+            text = page[page.find(">", start) + 1 : end]
+            close = [m.start() for m in _CLOSE[name].finditer(text)]
+            return " ".join(unescaped(text[: close[0]] if close else text).split())
+    return None
+
+
 def page_links(page: str, base: str) -> list[dict[str, str]]:
     """Tag and absolute address of each link outside comments; one that can't be resolved stays as it is."""
-    found = []
-    for m in _LINK.finditer(re.sub(r"<!--.*?(?:-->|$)", " ", page, flags=re.S)):
-        url = html.unescape(next(g for g in m.groups()[1:] if g is not None)).strip()
+    found, after = [], 0
+    ends: dict[str, bool] = {}  # quotes that don't come again
+    for start, end, name, closing in tags(page, skip=False):
+        if start < after or closing or name not in LINKS:
+            continue
+        # an element's own attribute, whose value may hold a `>`
+        if (named := _REFERENCE.search(page, start, end)) is None:
+            continue
+        at = named.end()
+        quote = page[at : at + 1]
+        if quote in ('"', "'"):
+            stop = -1 if quote in ends else page.find(quote, at + 1)
+            if stop < 0:
+                ends[quote] = True
+                continue
+            value, after = page[at + 1 : stop], stop
+        elif bare := _BARE.match(page, at):
+            value = bare[0]
+        else:
+            continue
+        url = unescaped(value).strip()
         try:
             url = urljoin(base, url)
         except ValueError:
             pass
-        found.append({"path": f"{m[1].upper()}@/{'href' if m[1].lower() in ('a', 'area', 'link') else 'src'}", "url": url})
+        found.append({"path": f"{name.upper()}@/{'href' if name in ('a', 'area', 'link') else 'src'}", "url": url})
     return found
 
 
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*\Z")
+
+
 def _body(http: Headers, payload: bytes) -> bytes:
     """The payload without its transfer and content coding; as it is where these can't be undone."""
     if (_get(http, "Transfer-Encoding") or "").lower() == "chunked":
         out, at = [], 0
         while (end := payload.find(b"\r\n", at)) >= 0:
-            try:
-                n = int(payload[at:end].split(b";")[0], 16)
-            except ValueError:
+            size = _CHUNK.match(payload[at:end].split(b";")[0]) if end - at < 4096 else None
+            if size is None:
                 break
+            n = int(size[1], 16)
             if not n:
                 payload = b"".join(out)
                 break
@@ -186,7 +307,7 @@ def _body(http: Headers, payload: bytes) -> bytes:
             at = end + 4 + n
     coding = (_get(http, "Content-Encoding") or "").lower()
     try:
-        return gunzipped(payload) if coding == "gzip" else zlib.decompress(payload) if coding == "deflate" else payload
+        return gunzipped(payload) if coding == "gzip" else inflated(payload) if coding == "deflate" else payload
     except (ValueError, zlib.error):
         return payload
 
@@ -222,12 +343,14 @@ def derive(record: bytes | None) -> list[tuple]:
     payload = block[at:]
     source, uri, date = (_get(headers, f"WARC-{x}") for x in ("Record-ID", "Target-URI", "Date"))
     sha1 = _get(headers, "WARC-Payload-Digest") or digest(payload)
-    page = _decoded(http, _body(http, payload))
-    title = _TITLE.search(page)
+    try:
+        page = _decoded(http, _body(http, payload))
+    except TooLarge as e:
+        return [(None,) * 11 + (str(e),)]
     meta = {
         "WARC-Header-Metadata": headers,
         "HTTP-Response-Metadata": {"Status": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": digest(payload)},
-        "HTML-Metadata": {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Links": page_links(page, uri or "")},
+        "HTML-Metadata": {"Title": page_title(page), "Links": page_links(page, uri or "")},
     }
     made = []
     for kind, mime, text in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", page_text(page))):
