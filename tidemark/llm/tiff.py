@@ -245,19 +245,36 @@ def directories(content: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + place, content, start + n * entry)[0]
 
 
+def _whole(fields: dict[int, tuple], tag: int) -> tuple[int, ...]:
+    """A tag's values, which must be whole numbers that fit into 31 bits."""
+    values = fields[tag]
+    if not values or not all(isinstance(v, int) and 0 <= v < 1 << 31 for v in values):
+        raise ValueError(f"tag {tag} has no usable value")
+    return values
+
+
+def _rows_per_strip(fields: dict[int, tuple], height: int) -> int:
+    """At most the height; the largest number there is stands for a page of one strip."""
+    values = fields.get(ROWS_PER_STRIP, (height,))
+    if not values or not isinstance(values[0], int):
+        raise ValueError(f"tag {ROWS_PER_STRIP} has no usable value")
+    return min(values[0], height)
+
+
 def _page(number: int, content: bytes, order: str, fields: dict[int, tuple]) -> Page:
-    one = lambda tag, default: fields.get(tag, (default,))[0]
-    width, height, samples, bits = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
-    page = Page(number, width, height, samples, bits, one(COMPRESSION, PLAIN), one(PREDICTOR, 1), TILE_OFFSETS in fields, None)
+    one = lambda tag, default: _whole(fields, tag)[0] if tag in fields else default
+    page = Page(number, 0, 0, 0, 0, 0, 0, TILE_OFFSETS in fields, None)
     try:
+        width, height, samples, bits = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
+        page = Page(number, width, height, samples, bits, one(COMPRESSION, PLAIN), one(PREDICTOR, 1), TILE_OFFSETS in fields, None)
         if len(set(fields.get(BITS, (bits,)))) > 1 or one(FILL_ORDER, 1) != 1:
             raise ValueError("mixed sample sizes or reversed bits are not supported")
         planes = samples if one(PLANAR, 1) == 2 else 1
         each = samples // planes
         if page.tiled:
-            columns, rows, places, sizes = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0), fields[TILE_OFFSETS], fields[TILE_COUNTS]
+            columns, rows, places, sizes = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0), _whole(fields, TILE_OFFSETS), _whole(fields, TILE_COUNTS)
         else:
-            columns, rows, places, sizes = width, min(one(ROWS_PER_STRIP, height), height), fields[STRIP_OFFSETS], fields[STRIP_COUNTS]
+            columns, rows, places, sizes = width, _rows_per_strip(fields, height), _whole(fields, STRIP_OFFSETS), _whole(fields, STRIP_COUNTS)
         pixel = each * max(1, bits // 8)
         across = -(-width // columns)
         down = -(-height // rows)
@@ -292,7 +309,7 @@ def pages_of(content: bytes | None) -> Iterator[Page]:
             number += 1
         if not number:
             raise ValueError("no image directory")
-    except (ValueError, OverflowError, MemoryError, struct.error) as e:
+    except (ValueError, OverflowError, MemoryError, IndexError, struct.error) as e:
         yield Page(-1, 0, 0, 0, 0, 0, 0, False, None, f"{type(e).__name__}: {e}")
 
 
