@@ -53,7 +53,8 @@ ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # from the left end of a run of its characters: each place of a run would be tried to the run's end otherwise
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pay_key", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
 )
@@ -101,7 +102,7 @@ def _derived(nodes) -> tuple[set[bytes] | None, object]:
             own = {chr(value).lower().encode()}
         elif op is ops.IN:
             own = _set_members(value)
-        elif op is ops.AT:
+        elif op in (ops.AT, ops.ASSERT, ops.ASSERT_NOT):
             own = {b""}
         elif op is ops.SUBPATTERN:
             own, needs = _derived(value[3])
