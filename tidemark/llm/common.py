@@ -49,14 +49,15 @@ def steps(batch: pa.RecordBatch, column: str | int, limit: int = STEP_BYTES) ->
 
 def map_texts(docs: DataFrame, keep: list[str], text_col: str, fields: T.StructType, fn: Callable[[list[str | None]], dict[str, pa.Array]]) -> DataFrame:
     """Columns `keep` of docs and, per row, what fn makes of a list of whole texts."""
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    schema = T.StructType([*given.schema.fields[: len(keep)], *fields.fields])
-    names = [f.name for f in schema.fields]
+    # columns go by place: a name may hold anything, or come twice
+    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
+    made = T.StructType([T.StructField(f"m{i}", f.dataType) for i, f in enumerate(fields)])
+    schema = T.StructType([*given.schema.fields[: len(keep)], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, len(keep)):
-                made = fn(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[made[f.name] for f in fields.fields]], names)
+                found = fn(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[found[f.name] for f in fields]], schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*keep, *fields.names)

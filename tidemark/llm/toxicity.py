@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import unused
 from .common import map_texts, stored
 from .words import LOWER, split_words, xxh64_ranges
 
@@ -204,5 +205,6 @@ THRESHOLD = 0.3
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is below threshold, with all their columns."""
-    scored = toxicity(docs, train(docs, labels, id_col, text_col), text_col, score_col="__score")
-    return scored.filter(F.col("__score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = unused(docs.columns, "score")
+    scored = toxicity(docs, train(docs, labels, id_col, text_col), text_col, score_col=score)
+    return scored.filter(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
