@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import exact_dedup, secrets, simhash, substring_dedup, tiff, token_counts, toxicity, warc
+from tidemark.llm import exact_dedup, secrets, simhash, substring_dedup, tiff, token_counts, toxicity, warc, wide_simhash
 from tidemark.llm.queries import public_tokenizers
 
 # --- WARC
@@ -171,7 +171,7 @@ def test_operators_take_any_names(spark, odd):
 
 def test_stages_take_any_names(spark, odd):
     labels = spark.createDataFrame([(i, int(i == 2)) for i in range(6)], "`a.b` long, toxic int")
-    for f in (lambda d: toxicity.clean(d, labels, id_col="a.b"), lambda d: exact_dedup.exact_dedup(d, "a.b"), lambda d: simhash.near_dedup(d, "a.b")):
+    for f in (lambda d: toxicity.clean(d, labels, id_col="a.b"), lambda d: exact_dedup.exact_dedup(d, "a.b"), lambda d: simhash.near_dedup(d, "a.b"), lambda d: wide_simhash.near_dedup(d, "a.b")):
         got = f(odd)
         assert got.schema.names == odd.schema.names and [t for _, t in got.dtypes] == [t for _, t in odd.dtypes]
         assert 0 < got.count() <= odd.count()
