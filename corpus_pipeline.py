@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, packing, simhash, toxicity
+from tidemark.llm import exact_dedup, mixing, packing, toxicity, wide_simhash
 from tidemark.llm.common import stored
 
 
@@ -23,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints the document with the smallest id."""
-    return simhash.near_dedup(docs)
+    """Of each class of near-copies the document with the smallest id; near-copies share 0.8 of their shingles of five words, or more."""
+    return wide_simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
