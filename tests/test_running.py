@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import config, counters, events
+from tidemark.operators import config, correlate, counters, events
 from tidemark.operators.running import running
 from tidemark.sources import logs
 
@@ -63,6 +63,8 @@ def test_operators_give_the_same(hot):
         lambda r: counters.interval_failures(hot, ["k"], ["t", "seq"], "v", ranges=r),
         lambda r: events.implicit_finish(hot.select("k", F.col("t").alias("start_ms"), F.col("seq").alias("op_id"), F.when(F.col("n") > 5, F.col("v")).alias("finish_ms")), ["k"], ranges=r),
         lambda r: events.poll_to_events(hot.select("k", F.col("t").alias("poll_ms"), "seq", F.when(F.col("n") > 2, F.floor(F.col("t") / 40)).alias("head_order"), F.lit("a b").alias("source")), node=["k"], ranges=r),
+        lambda r: events.task_runs(events.poll_to_events(hot.select("k", F.col("t").alias("poll_ms"), "seq", F.when(F.col("n") > 2, F.floor(F.col("t") / 40)).alias("head_order"), F.lit("a b").alias("source")), node=["k"], ranges=r), ["k"], ranges=r),
+        lambda r: correlate.align(hot, ["k"], "t", "v", 50, tiebreak=["seq"], ranges=r).withColumn("v", F.round("v", 6)),
         lambda r: logs.carry_headers(hot.withColumn("h", F.when(F.col("n") == 3, F.col("seq"))), ["t", "seq"], "h", ["k"], ranges=r),
         lambda r: config.fold_feature_state(hot.select(F.col("k").alias("cluster_id"), F.col("t").alias("ts"), "seq", F.col("n").cast("int").alias("state")), ranges=r),
     ):

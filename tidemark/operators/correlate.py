@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bucket, unused
@@ -25,17 +25,18 @@ def _overlap(start: Column, end: Column, interval_ms: int) -> Column:
     return F.least(end, F.col("bucket") + interval_ms) - F.greatest(start, F.col("bucket"))
 
 
-def align_runs(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None) -> DataFrame:
+def align_runs(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None, ranges: int | None = None) -> DataFrame:
     """What align gives, with neighbouring buckets that one sample fills wholly as one row: keys, from_ms, to_ms, value.
 
     However long a silence is, it costs three rows at most: the buckets that its ends share with other samples, and what lies between.
+    ranges: cuts hot keys, see `running`.
     """
     if mode not in ("weighted", "latest"):
         raise ValueError(f"mode must be weighted or latest, not {mode}")
     if mode == "latest":
         samples = last_sample(samples, keys, time, interval_ms, tiebreak).drop("bucket")
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(time, *tiebreak))
-    held = samples.select(*keys, F.col(time).alias("__end"), F.col(value).alias("__value"), before.alias("__start")).filter("__start < __end")
+    rows = running(samples.select(*keys, time, *tiebreak, value), keys, [time, *tiebreak], before={"__start": F.col(time)}, ranges=ranges)
+    held = rows.select(*keys, F.col(time).alias("__end"), F.col(value).alias("__value"), "__start").filter("__start < __end")
     if max_gap is not None:
         held = held.filter(F.col("__end") - F.col("__start") <= max_gap)
     first, last = bucket(F.col("__start"), interval_ms), bucket(F.col("__end") - 1, interval_ms)
@@ -53,13 +54,13 @@ def align_runs(samples: DataFrame, keys: Sequence[str], time: str, value: str, i
     return parts.filter("__weight IS NULL").select(*keys, "from_ms", "to_ms", F.col("__value").cast(shared.schema[value].dataType).alias(value)).unionByName(shared)
 
 
-def align(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None) -> DataFrame:
+def align(samples: DataFrame, keys: Sequence[str], time: str, value: str, interval_ms: int = 5000, mode: str = "weighted", tiebreak: Sequence[str] = (), max_gap: int | None = None, ranges: int | None = None) -> DataFrame:
     """Per key and bucket the time-weighted average of samples, each of which holds since the key's sample before it.
 
     A key's first sample gives nothing, nor does one that is more than max_gap later than the one before; without max_gap, a silence
     gives a row for each of its buckets (see align_runs). mode 'latest' uses only the last sample of each bucket.
     """
-    runs = align_runs(samples, keys, time, value, interval_ms, mode, tiebreak, max_gap)
+    runs = align_runs(samples, keys, time, value, interval_ms, mode, tiebreak, max_gap, ranges)
     return runs.select(*keys, F.explode(_buckets(F.col("from_ms"), F.col("to_ms"), interval_ms)).alias("bucket"), value)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bucket, task_metadata, task_type
@@ -121,13 +121,14 @@ def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str
     return rows.select(*node, order[-1], (F.col("poll_ms") - interval_ms // 2).alias("time_ms"), F.inline(both))
 
 
-def task_runs(events: DataFrame, node: Sequence[str] = ("node_id",)) -> DataFrame:
-    """Runs of poll_to_events by task type: count, sums of run time and of time in the queue.
+def task_runs(events: DataFrame, node: Sequence[str] = ("node_id",), ranges: int | None = None) -> DataFrame:
+    """Runs of poll_to_events by task type: count, sums of run time and of time in the queue. ranges: see `running`.
 
     A node has one task at the head of its queue, so a run's finish is the next event of its task after the start: no join is needed.
     """
-    run = Window.partitionBy(*node).orderBy("time_ms", "run", F.col("event").desc())
-    after = F.lead(F.struct("event", "task", "run", "time_ms")).over(run)
-    starts = events.withColumn("__next", after).filter((F.col("event") == "start") & (F.col("__next.event") == "finish") & (F.col("__next.task") == F.col("task")) & (F.col("__next.run") == F.col("run")))
+    # of a run's events at one time the start comes first
+    rows = events.withColumn("__ends", (F.col("event") != "start").cast("int"))
+    rows = running(rows, node, ["time_ms", "run", "__ends"], after={"__next": F.struct("event", "task", "run", "time_ms")}, ranges=ranges)
+    starts = rows.filter((F.col("event") == "start") & (F.col("__next.event") == "finish") & (F.col("__next.task") == F.col("task")) & (F.col("__next.run") == F.col("run")))
     queued = F.sum("age_ms") if "age_ms" in events.columns else F.lit(None).cast("long")
     return starts.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__next.time_ms") - F.col("time_ms")).alias("run_ms"), queued.alias("queue_ms"))
