@@ -83,7 +83,7 @@ def test_resources_go_to_tasks_and_the_rest_to_other(spark):
 
 
 def test_gate_by_state_covers_days(spark):
-    day = correlate.DAY_MS
+    day = 86_400_000
     events = spark.createDataFrame([("c", t) for t in (5, 3 * day, 3 * day + 10, 9 * day)] + [("d", 5)], "cluster_id string, ms long")
     on = spark.createDataFrame([("c", "pipeline", 4, 3 * day + 10, True), ("c", "pipeline", 3 * day + 10, 8 * day, False), ("c", "pipeline", 8 * day, None, True)], "cluster_id string, feature string, from_ms long, to_ms long, enabled boolean")
     assert column(correlate.gate_by_state(events, on, "ms"), "ms", "ms") == [5, 3 * day, 9 * day]

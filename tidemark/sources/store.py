@@ -226,19 +226,21 @@ def retain_store(spark: SparkSession, path: str, now: int, minutes: int, grace_m
 def to_response(df: DataFrame, fields: Sequence[str], node: str = "node_id", time: str = "bucket", most: int = 100_800) -> DataFrame:
     """Per node its result as JSON: fields with VARCHAR or DOUBLE, records in their order, the node's latest time.
 
-    A node with more than `most` records has several responses of at most as many. Its records are dealt over them by
-    their hash, so that no task sorts a node's records together.
+    A node with more than `most` records has several responses, all but one of them full. Its records are dealt into salts by
+    their hash and numbered within, each salt on from the one before, so that no task sorts a node's records together.
     """
     kinds = {c: "VARCHAR" if t in ("string", "boolean") else "DOUBLE" for c, t in df.dtypes}
     named = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(kinds[c]).alias("type")) for c in fields])
     record = F.array(*[F.col(c).cast("string") if kinds[c] == "VARCHAR" else F.col(c).cast("double").cast("string") for c in fields])
     held = df.select(F.col(node).alias("__node"), F.col(time).alias("__time"), record.alias("__record"))
     sizes = held.groupBy("__node").agg(F.count(F.lit(1)).alias("__n"), F.max("__time").alias("__latest")).withColumnRenamed("__node", "__own")
-    held = held.join(sizes, F.col("__node").eqNullSafe(F.col("__own")))
-    # a salt has about half of what a response may hold; what it has beyond `most`, as of equal records, is a response of its own
-    salt = F.when(F.col("__n") <= most, F.lit(0)).otherwise(F.pmod(F.xxhash64("__record"), F.ceil(F.col("__n") * 2 / most)))
-    part = F.floor((F.row_number().over(Window.partitionBy("__node", "__salt").orderBy("__record")) - 1) / most)
-    rows = held.withColumn("__salt", salt).withColumn("__part", part).groupBy("__node", "__salt", "__part")
+    salts = F.when(F.col("__n") <= most, F.lit(1)).otherwise(F.ceil(F.col("__n") * 2 / most))
+    held = held.join(sizes, F.col("__node").eqNullSafe(F.col("__own"))).withColumn("__salt", F.pmod(F.xxhash64("__record"), salts)).drop("__own", "__n")
+    before = F.sum("__n").over(Window.partitionBy("__of").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1))
+    counts = held.groupBy(F.col("__node").alias("__of"), F.col("__salt").alias("__from")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    held = held.join(counts, F.col("__node").eqNullSafe(F.col("__of")) & (F.col("__salt") == F.col("__from")))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__node", "__salt").orderBy("__record")) - 1
+    rows = held.withColumn("__part", F.floor(number / most)).groupBy("__node", "__part")
     rows = rows.agg(F.sort_array(F.collect_list("__record")).alias("records"), F.first("__latest").alias("timestamp"))
     return rows.select(F.col("__node").alias(node), F.to_json(F.struct(F.struct(named.alias("fields"), F.col("records")).alias("data"), F.col("timestamp"))).alias("response"))
 
