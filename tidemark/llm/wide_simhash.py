@@ -33,7 +33,7 @@ from .common import map_texts, row_hash, stored
 from .simhash import bit_counts, components, linked_labels, shingle_hashes
 from .words import LOWER, split_words
 
-SHINGLE, SEGMENTS, WIDTH, WEAK = 5, 10, 24, 5
+SHINGLE, SEGMENTS, WIDTH, WEAK = 5, 12, 26, 5
 #: Bits of a fingerprint, and in how many of them linked ones may differ.
 BITS, MAX_BITS = 512, 88
 #: Which of the WEAK bits a lookup turns: none, one or two.
@@ -122,31 +122,46 @@ def _forests(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield links()
 
 
-def _keys(first: DataFrame, own: bool) -> DataFrame:
-    """From (nid, fp, weak): (key, nid) of the segments themselves, or of the turned ones."""
+def _keys(prints: DataFrame, own: bool) -> DataFrame:
+    """From (nid, root, fp, weak): (key, nid, root) of the segments themselves, or of the turned ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                prints, weak = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("fp", "weak"))
-                found = lookups(prints, weak)
+                bits, weak = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("fp", "weak"))
+                found = lookups(bits, weak)
                 found = found[:, :, :1] if own else found[:, :, 1:]
-                nid = np.repeat(part.column("nid").to_numpy(), found.shape[1] * found.shape[2])
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(nid)], ["key", "nid"])
+                nid, root = (np.repeat(part.column(c).to_numpy(), found.shape[1] * found.shape[2]) for c in ("nid", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(nid), pa.array(root)], ["key", "nid", "root"])
 
-    return first.select("nid", "fp", "weak").mapInArrow(run, "key bigint, nid bigint")
+    return prints.select("nid", "root", "fp", "weak").mapInArrow(run, "key bigint, nid bigint, root bigint")
 
 
-def near_links(first: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """From distinct fingerprints (nid, fp, weak): links (a, b) of nids, which connect those that are found to differ in `most` bits at most."""
-    members, probes = _keys(first, True), _keys(first, False)
-    filled = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hits = stored(probes.join(filled.select("key"), "key", "left_semi"), "hits")
-    worth = filled.filter("n > 1").select("key").union(hits.select("key")).distinct()
-    rows = members.join(worth, "key", "left_semi").withColumn("looks", F.lit(0)).union(hits.withColumn("looks", F.lit(1)))
+def _compared(rows: DataFrame, first: DataFrame, most: int) -> DataFrame:
+    """From (key, looks, nid): the links of each bucket. Trees begin at their smallest nid, so that the buckets of a class give the same links mostly."""
     rows = rows.join(first.select("nid", "fp"), "nid").select("key", "looks", "nid", "fp")
-    return rows.repartition("key").sortWithinPartitions("key", "looks").mapInArrow(lambda batches: _forests(batches, most), "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "looks", "nid").mapInArrow(lambda batches: _forests(batches, most), "a bigint, b bigint").distinct()
+
+
+def near_links(first: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """From distinct fingerprints (nid, fp, weak): links (a, b) of nids, which connect those that are found to differ in `most` bits at most.
+
+    First those that share a segment are linked, which brings the members of a large class together. Of the lookups only those
+    count then that lead to another component than the fingerprint's own.
+    """
+    alone = first.withColumn("root", F.col("nid"))
+    members = _keys(alone, True)
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    links = stored(_compared(members.join(shared, "key", "left_semi").withColumn("looks", F.lit(0)), first, most), "links")
+    roots = components(links).select(F.col("fp").alias("nid"), "root")
+    rooted = stored(first.join(roots, "nid", "left").select("nid", "fp", "weak", F.coalesce("root", "nid").alias("root")), "rooted")
+    members = _keys(rooted, True)
+    filled = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumnRenamed("key", "at")
+    elsewhere = (F.col("key") == F.col("at")) & ((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root")))
+    hits = stored(_keys(rooted, False).join(filled, elsewhere, "left_semi").select("key", "nid"), "hits")
+    rows = members.select("key", "nid").join(hits.select("key").distinct(), "key", "left_semi").withColumn("looks", F.lit(0)).union(hits.withColumn("looks", F.lit(1)))
+    return links.union(_compared(rows.select("key", "looks", "nid"), first, most))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
