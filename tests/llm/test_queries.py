@@ -4,8 +4,10 @@ import hashlib
 import json
 from collections import defaultdict
 
+import duckdb
 import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.test_dedup import plain_print
@@ -95,3 +97,15 @@ def test_components_of_all_documents(spark):
                 label[y] = x
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op10_simhash(spark, FOLDER).collect()}
     assert got == {d: (f"{p:016x}", top(d)) for d, p in prints.items()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_and_sql_agree(spark, name):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, folder)
+    columns = sorted(got.columns)
+    rows = lambda found: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in found)
+    assert rows(got.select(*columns).collect()) == rows(db.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall())
