@@ -1,8 +1,13 @@
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import streaming
 from tidemark.operators import counters, events
+from tidemark.streaming import ordered
 
 
 def files(spark, tmp_path, parts):
@@ -179,3 +184,49 @@ def test_states_of_pairs_as_in_batch(spark, tmp_path):
     # a pair that took longer than operations may stay open is two rows of the stream, and what is still open gives none
     late = [("5", "expired", None), ("5", "orphan_finish", None)]
     assert rows(got) == sorted([r for r in rows(want) if r[0] not in ("5", "10")] + late, key=str)
+
+
+class Held:
+    """A value state outside of Spark, and a handle that gives no other state."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return None
+
+
+def test_a_hot_key_is_emitted_in_frames_and_not_put_into_slots(spark):
+    """Steps go no further than the frame that is taken, and rows of a micro-batch make no calls of the state store."""
+    n, large = 50_000, (1 << 53) + 1
+    steps = []
+    fields, emitted = T.StructType.fromDDL("t long, v string"), T.StructType.fromDDL("t long, v string, before long")
+
+    def step(state, row):
+        steps.append(row)
+        return (row[0],), [(*row, None if state is None else state[0])]
+
+    walk = ordered.Walk(fields, T.StructType.fromDDL("t long"), emitted, step, lambda r: (r[0] is not None, r[0] or 0), lambda r: r[0], chunk=7_000)
+    processor = ordered.OrderedProcessor(walk, ["k"])
+    processor.init(Held())
+    times = [large + i for i in range(n)]
+    random.Random(1).shuffle(times)
+    given = [pd.DataFrame({"k": "a", "t": times[i : i + 9_000], "v": "", ordered.BITS: 2}) for i in range(0, n, 9_000)]
+    given.append(pd.DataFrame({"k": ["a"], "t": [0], "v": ["x"], ordered.BITS: [1]}))
+    frames = processor.handleInputRows(("a",), iter(given), None)
+    first = next(frames)
+    assert len(first) == len(steps) == ordered.EMITTED
+    assert [tuple(r) for r in first.head(3).itertuples(index=False)] == [("a", None, "x", None), ("a", large, None, None), ("a", large + 1, None, large)]
+    rest = pd.concat(frames)
+    assert rest["t"].tolist() == sorted(times)[ordered.EMITTED - 1 :] and processor.carried.get() == (large + n - 1,)

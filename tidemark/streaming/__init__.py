@@ -82,9 +82,9 @@ def _delta(kind: str, value: int, time: int, before: int | None, when: int | Non
 DELTAS = ("first_absolute", "max_gap", "baseline_zero", "baseline_zero_signed")
 
 
-def _first_null(*values: object) -> tuple:
+def _first_null(a: int | None, b: int | None) -> tuple:
     """Sort key with nulls first, as windows have it."""
-    return tuple((v is not None, 0 if v is None else v) for v in values)
+    return a is not None, a or 0, b is not None, b or 0
 
 
 def stream_counter_deltas(
@@ -104,12 +104,12 @@ def stream_counter_deltas(
         raise ValueError(f"kind must be one of {', '.join(DELTAS)}; max_gap goes with the second")
     if (ordered and ts is None) or (ttl_ms is not None and ts is not None):
         raise ValueError("ordered needs ts, and ttl_ms goes without")
-    emitted = T.StructType([*[samples.schema[k] for k in keys], T.StructField(time, T.LongType()), T.StructField(tiebreak, T.LongType()), T.StructField("delta", T.LongType())])
+    emitted = T.StructType([T.StructField(time, T.LongType()), T.StructField(tiebreak, T.LongType()), T.StructField("delta", T.LongType())])
 
-    def step(key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
         t, tie, v = row
         before, when = state or (None, None)
-        made = [(*key, t, tie, None if v is None else _delta(kind, v, t, before, when, max_gap))]
+        made = [(t, tie, None if v is None else _delta(kind, v, t, before, when, max_gap))]
         return (state if v is None else (v, t)), made
 
     held = samples if ts is None else samples.withWatermark(ts, grace)
@@ -123,9 +123,9 @@ def stream_counter_deltas(
 
 def stream_poll_events(polls: DataFrame, interval_ms: int = 1000, slot_ms: int = 60_000) -> DataFrame:
     """node_id, seq, time_ms, event, task, run, task_type, metadata of polls (node_id, seq, poll_ms, head_order, source). State: a node's head and number of starts."""
-    emitted = T.StructType.fromDDL("node_id string, seq long, time_ms long, event string, task long, run long, task_type string, metadata string")
+    emitted = T.StructType.fromDDL("seq long, time_ms long, event string, task long, run long, task_type string, metadata string")
 
-    def step(key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
         ms, seq, task, source = row
         head, n = state or (-1, 0)
         task = -1 if task is None else task
@@ -133,11 +133,11 @@ def stream_poll_events(polls: DataFrame, interval_ms: int = 1000, slot_ms: int =
         if task != head:
             at = None if ms is None else ms - interval_ms // 2
             if head != -1:
-                made.append((key[0], seq, at, "finish", head, n, None, None))
+                made.append((seq, at, "finish", head, n, None, None))
             if task != -1:
                 n += 1
                 kind, space, rest = (None, "", "") if source is None else source.partition(" ")
-                made.append((key[0], seq, at, "start", task, n, kind, None if kind is None else space + rest))
+                made.append((seq, at, "start", task, n, kind, None if kind is None else space + rest))
         return (task, n), made
 
     fields, state = T.StructType.fromDDL("poll_ms long, seq long, head_order long, source string"), T.StructType.fromDDL("head long, run long")
@@ -149,10 +149,10 @@ def stream_implicit_finish(starts: DataFrame, slot_ms: int = 60_000) -> DataFram
 
     An operation without a start time comes first on its thread, as in the batch operator.
     """
-    emitted = T.StructType.fromDDL("node_id string, thread_id long, op_id long, start_ms long, finish_ms long")
+    emitted = T.StructType.fromDDL("op_id long, start_ms long, finish_ms long")
 
-    def step(key: tuple, state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
-        return row, [] if state is None else [(*key, *state, row[1])]
+    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        return row, [] if state is None else [(*state, row[1])]
 
     fields = T.StructType.fromDDL("op_id long, start_ms long")
     walk = Walk(fields, fields, emitted, step, lambda r: _first_null(r[1], r[0]), lambda r: r[1], slot_ms)
