@@ -230,3 +230,19 @@ def test_a_hot_key_is_emitted_in_frames_and_not_put_into_slots(spark):
     assert [tuple(r) for r in first.head(3).itertuples(index=False)] == [("a", None, "x", None), ("a", large, None, None), ("a", large + 1, None, large)]
     rest = pd.concat(frames)
     assert rest["t"].tolist() == sorted(times)[ordered.EMITTED - 1 :] and processor.carried.get() == (large + n - 1,)
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 10, 11, 30, 499])
+def test_sorted_files_are_merged(n):
+    rows = [(i * 7919 % 101, i) for i in range(n)]
+    assert list(ordered.in_order(iter(rows), lambda r: r, chunk=10, files=3)) == sorted(rows)
+
+
+def test_keys_of_any_type_keep_their_values(spark, tmp_path):
+    some = "(1L << 53) + 1 + id % 2 AS a, 0.1D * (id % 2) AS b, timestamp_micros(1704067200000001 + id % 2) AS c, id % 2 = 0 AS d, concat(char(1), char(34)) AS e, 12345678901234567890.12BD + id % 2 AS f"
+    df = spark.sql(f"SELECT if(id < 6, a, null) AS a, if(id < 6, b, null) AS b, if(id < 6, c, null) AS c, if(id < 6, d, null) AS d, if(id < 6, e, null) AS e, if(id < 6, f, null) AS f, id, id AS seq, id AS v FROM (SELECT {some}, id FROM range(8))")
+    keys = ["a", "b", "c", "d", "e", "f"]
+    got = ran(streaming.stream_counter_deltas(files(spark, tmp_path, [df]), keys, "id", "seq", "v"), tmp_path)
+    want = counters.delta_first_absolute(df, keys, ["id"], ["v"]).withColumnRenamed("v", "delta")
+    rows = lambda d: sorted((tuple(r) for r in d.select(*keys, "id", "delta").collect()), key=lambda r: r[-2])
+    assert rows(got) == rows(want)
