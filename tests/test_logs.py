@@ -19,6 +19,16 @@ def test_events_on_lines_of_their_own_and_an_empty_log(spark, tmp_path):
     assert logs.read_events(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_conditions_on_paths_parse_no_text_again(spark, tmp_path):
+    """What is kept of a log is known before its values are parsed, and from one parse of each path; a key may come thrice."""
+    (tmp_path / "a").write_text("^1/query/7/start\nk:1\nm:\nk:2\n:x\nk:3$^1/query/7/finish\nk:4$^1/start$")
+    good, bad = logs.quarantine(logs.split_family(logs.read_events(spark, f"file://{tmp_path}/a"), "shard_search", {"thread_id": "bigint"}))
+    found = good.filter("edge = 'start'").select("thread_id", "kv")
+    assert [(r["thread_id"], r["kv"]) for r in found.collect()] == [(1, {"m": "", "": "x", "k": "3"})] and bad.count() == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("substring_index(text") == 1 and plan.index("map_from_entries") < plan.index("= start")
+
+
 def test_paths_of_another_arity_are_set_aside(spark):
     df = spark.createDataFrame([(["1", "query", "7", "start"],), (["1", "7", "start"],), (["x", "query", "7", "start"],)], "path array<string>")
     good, bad = logs.quarantine(logs.split_family(df, "shard_search", {"thread_id": "bigint"}))

@@ -20,15 +20,20 @@ def read_events(spark: SparkSession, path: str, between: str = "$^") -> DataFram
     Lines are split at their first colon. between: what parts two records, "$\\n^" where each stands on lines of its own.
     """
     raw = spark.read.option("lineSep", between).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace(F.regexp_replace("value", r"\A\s*\^", ""), r"\$\s*\z", "")
+    texts = raw.select("file", F.regexp_replace("value", r"\A\s*\^|\$\s*\z", "").alias("text"))
+    # conditions on the path go below the parsing, but not below an inline: there each use of the path would parse the text again
+    path_keys = F.split(F.substring_index("text", "\n", 1), "/")
+    rows = texts.select("file", F.inline(F.array(F.struct("text", path_keys.alias("path"))))).filter(F.trim("text") != "")
     lines = F.split(F.col("text"), "\n")
-    entry = lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.substr(x, F.instr(x, ":") + 1).alias("value"))
     rest = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.instr(x, ":") > 0)
+    entry = lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.substr(x, F.instr(x, ":") + 1).alias("value"))
+    # a column of its own: what a lambda captures is evaluated again for each element
+    rows = rows.select("file", "path", F.transform(rest, entry).alias("__entries"))
+    keys, n = F.col("__entries.key"), F.size("__entries")
     # of a key that comes twice the last value counts
-    entries = F.transform(rest, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    rows = raw.withColumn("text", text).filter(F.trim("text") != "")
-    return rows.select("file", F.split(F.element_at(lines, 1), "/").alias("path"), F.map_from_entries(last).alias("kv"))
+    last = F.filter("__entries", lambda e, i: i == n - F.array_position(F.reverse(keys), e["key"]))
+    kv = F.when(F.size(F.array_distinct(keys)) == n, F.map_from_entries("__entries")).otherwise(F.map_from_entries(last))
+    return rows.select("file", "path", kv.alias("kv"))
 
 
 def _objects(text: str) -> Column:
