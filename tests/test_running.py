@@ -5,7 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import config, correlate, counters, events
-from tidemark.operators.running import running
+from tidemark.operators.running import CUT, in_ranges, running
+from tidemark.plans import catalog
 from tidemark.sources import logs
 
 
@@ -75,3 +76,19 @@ def test_rates_of_a_hot_key(hot):
     names = ("in_packets", "in_delivers", "in_bytes", "out_packets", "out_discards", "out_no_routes", "out_bytes")
     wide = hot.select("k", "t", "seq", *[(F.col("v") * (i + 2)).alias(n) for i, n in enumerate(names)])
     same(counters.counter_rate(wide, ["k"], "t", ["seq"], ranges=5), counters.counter_rate(wide, ["k"], "t", ["seq"]))
+
+
+def test_task_runs_of_hot_nodes_in_ranges_that_are_cut_once(spark, tmp_path):
+    """No window of c8_task_runs goes over all polls of a node, and runs go on over the edges of ranges."""
+    polls = spark.range(3000).select(
+        F.col("id").alias("seq"), (F.col("id") * 7919 % 3000).alias("poll_ms"), F.when(F.col("id") % 5 == 0, "x").otherwise("hot").alias("node_id"),
+        F.when(F.col("id") % 17 != 0, F.floor(F.col("id") / 3)).alias("head_order"), F.concat(F.lit("t"), F.col("id") % 4, F.lit(" [m]")).alias("source"), F.col("id").alias("age_ms"),
+    )
+    cut = events.poll_to_events(in_ranges(polls, ["node_id"], ["poll_ms", "seq"], 16), cut=CUT)
+    plain = events.poll_to_events(polls)
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(cut.drop(CUT)) == rows(plain) and cut.select(CUT).distinct().count() > 8
+    assert rows(events.task_runs(cut, cut=CUT)) == rows(events.task_runs(plain))
+    plan = catalog.QUERIES["c8_task_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all(f"[{CUT}#" in line or "[__k0#" in line for line in windows)

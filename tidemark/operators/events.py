@@ -95,15 +95,15 @@ def fault_metrics(events: DataFrame, interval_ms: int = 5000) -> DataFrame:
     )
 
 
-def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str] = ("node_id",), order: Sequence[str] = ("poll_ms", "seq"), ranges: int | None = None) -> DataFrame:
+def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str] = ("node_id",), order: Sequence[str] = ("poll_ms", "seq"), ranges: int | None = None, cut: str | None = None) -> DataFrame:
     """Polls of a queue's head to start and finish events of its tasks, both stamped half an interval before the poll.
 
-    `run` counts a node's starts, so that a task that comes to the head again is another run. ranges: see `running`.
+    `run` counts a node's starts, so that a task that comes to the head again is another run. ranges, cut: see `running`; the events keep cut.
     """
     head = F.coalesce("head_order", F.lit(-1).cast("long"))
-    rows = running(polls.withColumn("__head", head), node, order, before={"__before": F.col("__head")}, ranges=ranges)
+    rows = running(polls.withColumn("__head", head), node, order, before={"__before": F.col("__head")}, ranges=ranges, cut=cut)
     rows = rows.withColumn("__before", F.coalesce("__before", F.lit(-1).cast("long"))).filter("__head <> __before")
-    rows = running(rows, node, order, sums={"__run": (F.col("__head") != -1).cast("long")}, ranges=ranges)
+    rows = running(rows, node, order, sums={"__run": (F.col("__head") != -1).cast("long")}, ranges=ranges, cut=cut)
     started = F.coalesce(F.col("__head") != -1, F.lit(False))
     extra = [c for c in ("priority", "age_ms", "thread_id") if c in polls.columns]
     null = lambda c: F.lit(None).cast(polls.schema[c].dataType)
@@ -118,17 +118,17 @@ def poll_to_events(polls: DataFrame, interval_ms: int = 1000, node: Sequence[str
     finish = F.when(F.col("__before") != -1, event("finish", "__before", F.col("__run") - started.cast("long"), False))
     start = F.when(started, event("start", "__head", F.col("__run"), True))
     both = F.filter(F.array(finish, start), lambda e: e.isNotNull())
-    return rows.select(*node, order[-1], (F.col("poll_ms") - interval_ms // 2).alias("time_ms"), F.inline(both))
+    return rows.select(*[cut] * (cut is not None), *node, order[-1], (F.col("poll_ms") - interval_ms // 2).alias("time_ms"), F.inline(both))
 
 
-def task_runs(events: DataFrame, node: Sequence[str] = ("node_id",), ranges: int | None = None) -> DataFrame:
-    """Runs of poll_to_events by task type: count, sums of run time and of time in the queue. ranges: see `running`.
+def task_runs(events: DataFrame, node: Sequence[str] = ("node_id",), ranges: int | None = None, cut: str | None = None) -> DataFrame:
+    """Runs of poll_to_events by task type: count, sums of run time and of time in the queue. ranges, cut: see `running`.
 
     A node has one task at the head of its queue, so a run's finish is the next event of its task after the start: no join is needed.
     """
     # of a run's events at one time the start comes first
     rows = events.withColumn("__ends", (F.col("event") != "start").cast("int"))
-    rows = running(rows, node, ["time_ms", "run", "__ends"], after={"__next": F.struct("event", "task", "run", "time_ms")}, ranges=ranges)
+    rows = running(rows, node, ["time_ms", "run", "__ends"], after={"__next": F.struct("event", "task", "run", "time_ms")}, ranges=ranges, cut=cut)
     starts = rows.filter((F.col("event") == "start") & (F.col("__next.event") == "finish") & (F.col("__next.task") == F.col("task")) & (F.col("__next.run") == F.col("run")))
     queued = F.sum("age_ms") if "age_ms" in events.columns else F.lit(None).cast("long")
     return starts.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__next.time_ms") - F.col("time_ms")).alias("run_ms"), queued.alias("queue_ms"))

@@ -9,7 +9,8 @@ with a large part of all rows:
    before (or after) it is a window over these summaries: a row per key and range.
 3. A window by (range, key) runs within ranges, and begins with what was taken over.
 
-`cut` names a column of ranges that rows have already, as of a file that is read by parts: nothing is written then.
+`cut` names a column of ranges that rows have already, as of a file that is read by parts, or from `in_ranges` for several passes
+along one order: nothing is written then.
 
 Results are the same either way. Rows of a key must differ in `order`; nulls come first, and null keys are one key.
 """
@@ -24,6 +25,15 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored_table
 
 
+#: The column of ranges that `in_ranges` adds.
+CUT = "__range"
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
+    """Rows with the number of their range of (key, order), written once. Later passes take it as `cut`, along this order or one that agrees with it."""
+    return stored_table(df.repartitionByRange(ranges, *keys, *order).withColumn(CUT, F.spark_partition_id()), "ranges")
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], before: Mapping[str, Column] | None = None, upto: Mapping[str, Column] | None = None,
     after: Mapping[str, Column] | None = None, sums: Mapping[str, Column] | None = None, most: Mapping[str, Column] | None = None, ranges: int | None = None, cut: str | None = None,
@@ -39,8 +49,7 @@ def running(
     rows = df.withColumns({f"__v{i}": c for i, (_, _, c) in enumerate(named)})
     by, taken = list(keys), {}
     if ranges is not None:
-        rows = stored_table(rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-        cut = "__range"
+        rows, cut = in_ranges(rows, keys, order, ranges), CUT
     if cut is not None:
         by = [cut, *keys]
         rows, taken = _with_taken(rows, keys, order, named, cut)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import streaming
 from ..operators import config, correlate, counters, events, query, sampling, shape
+from ..operators.running import CUT, in_ranges
 from ..schemas import FAMILIES, Family, MetricSpec
 from ..sources import logs, store
 from ..sources.shared import new_path
@@ -188,7 +189,9 @@ def c7_poll_to_events(spark, sf_dir):
 
 @registered("polls", f"{POLLED} SELECT s.task_type, count(*) AS n, sum(f.time_ms - s.time_ms)::BIGINT AS run_ms, sum(s.age_ms)::BIGINT AS queue_ms FROM e s JOIN e f USING (node_id, task, run) WHERE s.event = 'start' AND f.event = 'finish' AND f.time_ms >= s.time_ms GROUP BY ALL")
 def c8_task_runs(spark, sf_dir):
-    return events.task_runs(events.poll_to_events(view(spark, sf_dir, "polls")))
+    """A node has a third of all polls: they are cut into ranges once, for all passes along them."""
+    polls = in_ranges(view(spark, sf_dir, "polls"), ["node_id"], ["poll_ms", "seq"], RANGES)
+    return events.task_runs(events.poll_to_events(polls, cut=CUT), cut=CUT)
 
 
 # --- D: counters and gauges
