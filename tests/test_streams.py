@@ -1,13 +1,15 @@
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import streaming
 from tidemark.operators import counters, events
-from tidemark.streaming import ordered
+from tidemark.streaming import ordered, packed
 
 
 def files(spark, tmp_path, parts):
@@ -246,3 +248,64 @@ def test_keys_of_any_type_keep_their_values(spark, tmp_path):
     want = counters.delta_first_absolute(df, keys, ["id"], ["v"]).withColumnRenamed("v", "delta")
     rows = lambda d: sorted((tuple(r) for r in d.select(*keys, "id", "delta").collect()), key=lambda r: r[-2])
     assert rows(got) == rows(want)
+
+
+def unordered(n, seed=3, size=700):
+    """Blocks of rows that repeat times, some without a time, and the rows in order."""
+    random.Random(seed).shuffle(rows := [(None if i % 97 == 0 else i * 7919 % 1009, i) for i in range(n)])
+    columns = {"t": np.array([t or 0 for t, _ in rows], np.int64), "i": np.array([i for _, i in rows], np.int64), packed.BITS: np.array([int(t is None) for t, _ in rows], np.int64)}
+    return [{c: v[at : at + size] for c, v in columns.items()} for at in range(0, n, size)], sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+@pytest.mark.parametrize(("n", "size"), [(0, 700), (1, 700), (1000, 700), (1001, 7), (9000, 700), (30_000, 700), (5000, 5000)])
+def test_blocks_are_merged_from_files(n, size):
+    blocks, want = unordered(n, size=size)
+    found = list(packed.blocks_in_order(blocks, [("t", 0), ("i", 1)], chunk=1000, files=3, size=50))
+    got = [(None if bits else t, i) for b in found for t, i, bits in zip(b["t"].tolist(), b["i"].tolist(), b[packed.BITS].tolist(), strict=True)]
+    assert got == want and all(0 < len(b["t"]) <= 50 for b in found)
+
+
+@pytest.mark.parametrize("overlap", [True, False])
+def test_a_merge_holds_a_block_and_a_half_of_each_file(overlap):
+    """Files read side by side, or one after another, are never read far ahead of what is emitted."""
+    n, size, read = 4, 50, 0
+
+    def source(k):
+        nonlocal read
+        for at in range(0, 2000, size):
+            times = np.arange(at, at + size, dtype=np.int64)
+            read += size
+            yield {"t": times * n + k if overlap else times + 2000 * k, packed.BITS: np.zeros(size, np.int64)}
+
+    emitted, got = 0, []
+    for block in packed.merged([source(k) for k in range(n)], [("t", 0)], size):
+        emitted += len(block["t"])
+        got += block["t"].tolist()
+        assert read - emitted <= n * size * 2
+    assert got == list(range(2000 * n))
+
+
+def test_rows_are_packed_by_key():
+    keys = [None, "a", "", "b", "a", None] * 50
+    batch = pa.RecordBatch.from_pydict({"k": keys, "m": ["x", "y"] * 150, "v": list(range(300)), "s": [str(i) for i in range(300)]})
+    made = packed.pack(batch, 2, 32)
+    found = [(r["k"], r["m"], v, s) for r in made.to_pylist() for v, s in zip(r["v"], r["s"], strict=True)]
+    assert sorted(found, key=lambda r: r[2]) == [tuple(r.values()) for r in batch.to_pylist()]
+    assert sorted(len(r["v"]) for r in made.to_pylist()) == sorted([32, 18] * 6)
+
+
+def test_ends_along_packed_rows_and_over_batches(spark, tmp_path):
+    """A stream's rows go to the processor packed, and give what the batch operator gives: hot keys, equal times, nulls, ids above 2^53."""
+    large = (1 << 53) + 1
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), F.col("id") % 2)).alias("node_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("thread_id"),
+        (F.col("id") + large).alias("op_id"), F.when(F.col("id") != 11, F.floor(F.col("id") * 7919 % 20_000 / 2 + F.floor(F.col("id") / 20_000) * 100_000)).alias("start_ms"),
+    )
+    parts = [df.filter(f"op_id < {large + 20_000}"), df.filter(f"op_id >= {large + 20_000}")]
+    stream = streaming.stream_implicit_finish(files(spark, tmp_path, parts))
+    assert "MapInArrow" in stream._jdf.queryExecution().analyzed().toString()
+    got = ran(stream, tmp_path)
+    want = events.implicit_finish(df.withColumn("finish_ms", F.lit(None).cast("long"))).filter("finish_ms IS NOT NULL")
+    columns = ("node_id", "thread_id", "op_id", "start_ms", "finish_ms")
+    rows = lambda d: sorted((tuple(r) for r in d.select(*columns).collect()), key=str)
+    assert rows(got) == rows(want)

@@ -8,6 +8,7 @@ import threading
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from ..functions import bucket
 from ..operators.events import EXPIRY_MS, KEYS
 from ..sources.shared import File
 from .ordered import Walk, walked
+from .packed import Block, nulls
 
 
 def route_buckets(events: DataFrame, purge_ms: int, interval_ms: int = 5000, time: str = "ms") -> DataFrame:
@@ -115,7 +117,7 @@ def stream_counter_deltas(
     held = samples if ts is None else samples.withWatermark(ts, grace)
     walk = Walk(
         T.StructType([T.StructField(c, T.LongType()) for c in ("time", "tie", "value")]), T.StructType.fromDDL("value long, time long"), emitted, step,
-        lambda r: _first_null(r[0], r[1]), lambda r: r[0], slot_ms, max_gap if ts is not None else None, ordered, ttl_ms,
+        lambda r: _first_null(r[0], r[1]), lambda r: r[0], slot_ms, max_gap if ts is not None else None, ordered, ttl_ms, by=("time", "tie"),
     )
     named = held.select(*keys, F.col(time).cast("long").alias("time"), F.col(tiebreak).cast("long").alias("tie"), F.col(counter).cast("long").alias("value"), *[ts] * (ts is not None))
     return walked(named, keys, walk)
@@ -141,7 +143,7 @@ def stream_poll_events(polls: DataFrame, interval_ms: int = 1000, slot_ms: int =
         return (task, n), made
 
     fields, state = T.StructType.fromDDL("poll_ms long, seq long, head_order long, source string"), T.StructType.fromDDL("head long, run long")
-    return walked(polls.select("node_id", *[F.col(f.name).cast(f.dataType) for f in fields]), ["node_id"], Walk(fields, state, emitted, step, lambda r: _first_null(r[0], r[1]), lambda r: r[0], slot_ms))
+    return walked(polls.select("node_id", *[F.col(f.name).cast(f.dataType) for f in fields]), ["node_id"], Walk(fields, state, emitted, step, lambda r: _first_null(r[0], r[1]), lambda r: r[0], slot_ms, by=("poll_ms", "seq")))
 
 
 def stream_implicit_finish(starts: DataFrame, slot_ms: int = 60_000) -> DataFrame:
@@ -151,11 +153,16 @@ def stream_implicit_finish(starts: DataFrame, slot_ms: int = 60_000) -> DataFram
     """
     emitted = T.StructType.fromDDL("op_id long, start_ms long, finish_ms long")
 
-    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
-        return row, [] if state is None else [(*state, row[1])]
+    def along(state: tuple | None, block: Block) -> tuple[tuple, list[tuple]]:
+        columns = [(block[name], nulls(block, i)) for i, name in enumerate(("op_id", "start_ms"))]
+        first = state or (None, None)
+        before = [(np.append(v or 0, values[:-1]), np.append(v is None, null[:-1])) for v, (values, null) in zip(first, columns, strict=True)]
+        skipped = int(state is None)
+        made = [(values[skipped:], null[skipped:]) for values, null in [*before, columns[1]]]
+        return tuple(None if null[-1] else int(values[-1]) for values, null in columns), made
 
     fields = T.StructType.fromDDL("op_id long, start_ms long")
-    walk = Walk(fields, fields, emitted, step, lambda r: _first_null(r[1], r[0]), lambda r: r[1], slot_ms)
+    walk = Walk(fields, fields, emitted, None, lambda r: _first_null(r[1], r[0]), lambda r: r[1], slot_ms, by=("start_ms", "op_id"), along=along)
     return walked(starts.select("node_id", "thread_id", *[F.col(f.name).cast(f.dataType) for f in fields]), ["node_id", "thread_id"], walk)
 
 

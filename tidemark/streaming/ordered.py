@@ -4,7 +4,8 @@ Spark hands a processor the rows of a key in no order, as pandas frames of bound
 frames one after another: a task holds one chunk of rows and one frame to emit, however many rows a key has.
 
 * Without event time, rows are walked at the end of the micro-batch that brought them: they must not come late by more than that.
-  Chunks of a large key are sorted into files of the task, which are read side by side.
+  They come packed, many rows of a key in one (`packed`), and are put in order as columns; chunks of a large key are sorted
+  into files of the task, which are read side by side. Rows with a time column for the watermark, or a ttl, come one by one.
 * With event time (`ordered`), rows go into slots of time in the state store (RocksDB, which spills to disk), and a slot waits
   for its timer: it is walked once the watermark has passed its end, so that rows are in order across micro-batches as well.
   What comes later still is dropped and counted by Spark.
@@ -23,20 +24,21 @@ from dataclasses import dataclass
 from itertools import islice
 from typing import IO, Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .packed import BITS, Block, blocks_in_order, packed, unpacked
+
 #: Rows of a key that are sorted at once; rows of a sorted file that are read at once, of a frame that is emitted; files that are read side by side.
 CHUNK, BLOCK, EMITTED, FILES = 100_000, 1_000, 10_000, 128
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Slot of rows without a time, which come first.
 _NO_TIME = -(1 << 62)
-#: The column that marks which fields of a row are null.
-BITS = "null_bits"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -51,12 +53,15 @@ class Walk:
 
     step: (state, row) to (state, rows to emit, after their keys). order: sort key of a row. time: a row's time in
     milliseconds, or None. keep_ms: how long after its last row's time the state of a silent key is kept (event time).
+    by: the fields, numbers, that `order` goes by, nulls first; with them, rows without event time or ttl come packed. along: `step` for a
+    block of rows as columns, (state, block) to (state, values and nulls of each column to emit, all numbers); for walks without
+    event time or ttl, and then in place of `step`.
     """
 
     fields: T.StructType
     state: T.StructType
     emitted: T.StructType
-    step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]]
+    step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]] | None
     order: Callable[[tuple], Any]
     time: Callable[[tuple], int | None]
     slot_ms: int = 60_000
@@ -64,6 +69,8 @@ class Walk:
     ordered: bool = False
     ttl_ms: int | None = None
     chunk: int = CHUNK
+    by: Sequence[str] = ()
+    along: Callable[[tuple | None, Block], tuple[tuple | None, list[tuple[np.ndarray, np.ndarray]]]] | None = None
 
 
 def _filed(rows: Iterable[tuple]) -> IO[bytes]:
@@ -127,8 +134,8 @@ class OrderedProcessor(StatefulProcessor):
             self.waiting.updateValue((slot,), (held + new,))
         return set(by_slot)
 
-    def _given(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        """The rows of frames, with their nulls."""
+    def _given(self, frames: Iterable[pd.DataFrame | Block]) -> Iterator[tuple]:
+        """The rows of frames or blocks, with their nulls."""
         for frame in frames:
             for *values, bits in zip(*[frame[c].tolist() for c in [*self.walk.fields.names, BITS]], strict=True):
                 yield tuple(None if bits >> i & 1 else v for i, v in enumerate(values)) if bits else tuple(values)
@@ -195,6 +202,26 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
+class PackedProcessor(OrderedProcessor):
+    """For packed rows, without event time or ttl."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        w = self.walk
+        names = w.fields.names
+        blocks = blocks_in_order(unpacked(rows, [*names, BITS]), [(n, names.index(n)) for n in w.by], w.chunk, FILES)
+        if w.along is None:
+            yield from self._walked(key, self._given(blocks))
+            return
+        state = tuple(self.carried.get()) if self.carried.exists() else None
+        for block in blocks:
+            state, made = w.along(state, block)
+            if n := len(made[0][0]):
+                columns = {k: pd.Series([v] * n, dtype=object) for k, v in zip(self.keys, key, strict=True)}
+                yield pd.DataFrame(columns | {f: pd.Series(pd.arrays.IntegerArray(*c)) for f, c in zip(w.emitted.names, made, strict=True)})
+        if state is not None:
+            self.carried.update(state)
+
+
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -218,5 +245,7 @@ def walked(stream: DataFrame, keys: Sequence[str], walk: Walk) -> DataFrame:
     rest = [c for c in stream.columns if c not in keys and c not in walk.fields.names]
     given = stream.select(*map(_as_text, held), *[F.coalesce(f.name, none(f)).alias(f.name) for f in fields], bits.alias(BITS), *rest)
     emitted = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *walk.emitted.fields])
-    made = given.groupBy(*keys).transformWithStateInPandas(OrderedProcessor(walk, keys), emitted, "Append", mode)
+    by_block = bool(walk.by) and mode == "None" and not rest
+    given, processor = (packed(given, len(keys)), PackedProcessor(walk, keys)) if by_block else (given, OrderedProcessor(walk, keys))
+    made = given.groupBy(*keys).transformWithStateInPandas(processor, emitted, "Append", mode)
     return made.select(*map(_from_text, held), *walk.emitted.names)
